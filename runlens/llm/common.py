@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def slices(batches, text: str, limit: int):
         if not b.num_rows:
             continue
         col = b.column(b.schema.get_field_index(text))
-        size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         total, start = 0, 0
         for i, x in enumerate(size):
             if total + x > limit and i > start:
