@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import fmindex, warc, wavelet
+from runlens.llm import fmindex, isolation, warc, wavelet
 from runlens.llm.common import table
 
 
@@ -57,6 +57,12 @@ FROM h
 """
 
 
+def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = isolation.fit(docs, table(spark, sf_dir, "labels"))
+    return isolation.judged(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
