@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import fmindex, isolation, warc, wavelet
-from runlens.llm.common import table
+from runlens.llm import fmindex, isolation, toxicity, warc, wavelet
+from runlens.llm.common import fold, table
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=fold("doc_id", 3) != 1)
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = fmindex.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return fmindex.report(hits)
