@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import fmindex, isolation, toxicity, warc, wavelet
+from runlens.llm import fmindex, isolation, near_dups, toxicity, warc, wavelet
 from runlens.llm.common import fold, table
 
 
@@ -17,6 +17,10 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5).select("doc_id", "class_id", "n_links")
+
+
 def op7_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=fold("doc_id", 3) != 1)
