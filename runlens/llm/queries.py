@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import fmindex, isolation, near_dups, toxicity, warc, wavelet
+from runlens.llm import fmindex, isolation, langid, near_dups, pieces, token_counts, toxicity, warc, wavelet
 from runlens.llm.common import fold, table
 
 
@@ -17,6 +17,21 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_recurrent_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs, learn=fold("doc_id", 4) != 2)
+    return langid.predicted(docs, net).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "lossless")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5).select("doc_id", "class_id", "n_links")
 
