@@ -8,10 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import fmindex, isolation, langid, near_dups, pieces, token_counts, toxicity, warc, wavelet
+from runlens.llm import fmindex, isolation, langid, near_dups, pieces, preference, token_counts, toxicity, warc, wavelet
 from runlens.llm.common import fold, table
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return preference.formatted(pairs).withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+OP1_SQL = """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+                  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r
+           FROM conversations WHERE conv_id IS NOT NULL),
+     l AS (SELECT conv_id, max(k) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
+     a AS (SELECT t.conv_id, n, text, r FROM t JOIN l ON t.conv_id = l.conv_id AND t.k = l.n),
+     p AS (SELECT t.conv_id, string_agg(t.r, '' ORDER BY t.k) AS lead FROM t JOIN l ON t.conv_id = l.conv_id AND t.k < l.n GROUP BY t.conv_id),
+     j AS (SELECT c.conv_id, c.n, coalesce(lead, '') AS lead, c.r AS cr, d.r AS dr, c.text IS NOT DISTINCT FROM d.text AS same
+           FROM a c JOIN a d ON d.conv_id = xor(c.conv_id, 1) LEFT JOIN p ON p.conv_id = c.conv_id)
+SELECT conv_id AS pair_id, (n - CASE WHEN same THEN 0 ELSE 1 END)::INTEGER AS n_prompt_turns,
+       lead || CASE WHEN same THEN cr ELSE '' END AS prompt,
+       CASE WHEN same THEN '' ELSE cr END AS chosen, CASE WHEN same THEN '' ELSE dr END AS rejected,
+       CASE WHEN same THEN '' ELSE '14-' || length(cr) END AS chosen_mask, CASE WHEN same THEN '' ELSE '14-' || length(dr) END AS rejected_mask,
+       same AS identical
+FROM j
+"""
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return wavelet.token_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -95,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_fm_decontamination": OP8_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op1_preference_pairs": OP1_SQL, "op8_fm_decontamination": OP8_SQL, "op9_warc_revisits": OP9_SQL}
