@@ -58,6 +58,11 @@ def write_file(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under names that clash with nothing an operator adds."""
+    return df.toDF(*(f"_own{k}" for k in range(len(df.columns))))
+
+
 def fold(col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n: the rule by which rows are held out of training."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

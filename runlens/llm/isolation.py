@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import ship, slices
+from runlens.llm.common import numbered, ship, slices
 
 WINDOW = 8
 #: Characters that count as symbols.
@@ -196,20 +196,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_clean:
     return forest
 
 
-def judged(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, the rule figures, base_failed, the anomaly score and kept, for every document."""
+def judged(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """`keep`, the rule figures, base_failed, the anomaly score and kept, for every document. text: the name of its column."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     keep = tuple(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            counts = np.array([row_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.int64)
+        for b in slices(batches, text, 8 << 20):
+            counts = np.array([row_of(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.int64)
             failed = base_failed(counts[:, 0], counts[:, 4])
             score = shared.value.score(features(counts))
             made = [*counts.T, failed, score, ~failed & (score <= shared.value.threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), *map(pa.array, made)], names=[*keep, *COUNTS, *MORE, "base_failed", "anomaly", "kept"])
 
-    rows = docs.select(*dict.fromkeys(("text", *keep)))
+    rows = docs.select(*dict.fromkeys((text, *keep)))
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), STATS, "base_failed boolean, anomaly double, kept boolean"])
     return rows.mapInArrow(run, schema)
+
+
+def passed(docs: DataFrame, forest: Forest) -> DataFrame:
+    """The documents that pass, with their own columns, whatever these are called."""
+    plain = numbered(docs)
+    kept = judged(plain, forest, keep=tuple(plain.columns), text=plain.columns[docs.columns.index("text")]).where("kept")
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import ship, slices
+from runlens.llm.common import numbered, ship, slices
 
 WORDS = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"“”„«»‹›]")
@@ -241,18 +241,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, most_to
     return model
 
 
-def featured(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def featured(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """`keep`, the window scores and the probability, of every whole text."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 6 << 20):
-            x = shared.value.features(b.column(b.schema.get_field_index("text")).to_pylist())
+        for b in slices(batches, text, 6 << 20):
+            x = shared.value.features(b.column(b.schema.get_field_index(text)).to_pylist())
             kept = [b.column(b.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(shared.value.probability(x))], names=[*keep, "features", "score"])
 
-    rows = docs.select(*dict.fromkeys(("text", *keep)))
+    rows = docs.select(*dict.fromkeys((text, *keep)))
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "features array<double>, score double"])
     return rows.mapInArrow(run, schema)
 
@@ -260,3 +260,10 @@ def featured(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and score, the probability of being toxic."""
     return featured(docs, model, keep).drop("features")
+
+
+def accepted(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
+    """The documents with a score below `limit`, with their own columns, whatever these are called."""
+    plain = numbered(docs)
+    rows = featured(plain, model, tuple(plain.columns), text=plain.columns[docs.columns.index("text")]).where(F.col("score") < limit)
+    return rows.select(*plain.columns).toDF(*docs.columns)
