@@ -1,0 +1,405 @@
+"""Queries over the test tables, each with the same question in DuckDB SQL.
+
+`events` stands in for spans: a trace is a group of users, an agent is a user, and event types are kinds of spans. The operators are those of the
+transcript plans; only the adapter differs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from runlens.functions import text as tx
+from runlens.operators import cost, detect, timeline
+from runlens.operators.normalize import agents_of
+from runlens.schema import USAGE, USAGE_FIELDS
+from runlens.sources import rates
+from runlens.workers import ship
+
+GAP = 6 * 3600
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ev_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as spans."""
+    e = table(spark, sf_dir, "events")
+    call, tool = F.col("kind") == "model_call", F.col("kind") == "tool_call"
+    d = lambda c: c.cast("decimal(20,0)")
+    rows = e.select(
+        "event_id", "user_id", "event_type", "props", F.lpad((F.col("user_id") % 8).cast("string"), 16, "0").alias("trace_id"), F.concat(F.lit("u"), "user_id").alias("agent_id"), F.col("ts").cast("timestamp").alias("start"),
+        F.when(F.col("event_type") == "view", "model_call").when(F.col("event_type") == "signup", "user_message").otherwise("tool_call").alias("kind"), F.round(F.col("value") * 100).cast("long").alias("tokens"),
+    )
+    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("trace_id").orderBy("event_id")) - 1).cast("int"))
+    before = F.last(F.when(call, F.col("seq")), ignorenulls=True).over(Window.partitionBy("trace_id", "agent_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    use = F.struct(d(F.col("tokens")).alias(USAGE_FIELDS[0]), d(F.col("tokens") % 1000).alias(USAGE_FIELDS[1]), d(F.col("tokens") * 2).alias(USAGE_FIELDS[2]), d(F.col("tokens") % 7).alias(USAGE_FIELDS[3]), d(F.col("event_id") % 2).alias(USAGE_FIELDS[4]))
+    model = F.when(F.col("user_id") % 6 == 0, "atlas-large-2").when(F.col("user_id") % 6 == 1, "atlas-small-2-20250101").when(F.col("user_id") % 6 == 2, "atlas").when(F.col("user_id") % 6 == 3, "nova-1").when(F.col("user_id") % 6 == 4, "<synthetic>").otherwise("atlas-small-2-1")
+    bad = F.col("event_type") == "error"
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        "trace_id", "seq", tx.digest_id(F.col("trace_id"), F.col("agent_id"), F.col("seq"), F.col("kind")).alias("span_id"), none("string").alias("parent_span_id"), F.when(tool, before).alias("parent_seq"), "agent_id", "kind", "start",
+        (F.col("start") + F.make_dt_interval(secs=(F.col("tokens") / 10).cast("decimal(18,6)"))).alias("end"), F.when(call, model).alias("model"), F.when(call & (F.col("event_id") % 11 != 0), use).cast(USAGE).alias("usage"), none("string").alias("stop_reason"),
+        F.when(tool, F.col("event_type")).alias("tool_name"), none("string").alias("tool_use_id"), F.when(tool, tx.short_sha(F.col("props"))).alias("tool_input_digest"),
+        F.when(tool & bad, "error").when(tool & (F.col("event_type") == "purchase") & (F.col("event_id") % 10 == 0), "missing").when(tool, "ok").alias("tool_result_status"),
+        F.when(call, F.col("props")).otherwise("").alias("text_preview"), F.when(tool, F.col("props")).otherwise("").alias("tool_input_preview"),
+        F.when(bad & (F.col("event_id") % 20 == 0), "Unknown tool: x").when(bad, F.concat(F.lit("failed "), (F.col("user_id") % 3).cast("string"))).otherwise("").alias("tool_result_preview"),
+        none("struct<code:string,detail:string>").alias("error"), F.lit(0).alias("extras_dropped"),
+    )
+
+
+EV = """
+WITH e0 AS (
+  SELECT event_id, user_id, event_type, props, ts AS start, lpad((user_id % 8)::VARCHAR, 16, '0') AS trace_id, 'u' || user_id AS agent_id, round(value * 100)::BIGINT AS tokens,
+         CASE event_type WHEN 'view' THEN 'model_call' WHEN 'signup' THEN 'user_message' ELSE 'tool_call' END AS kind FROM events),
+e1 AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY event_id) - 1 AS seq FROM e0),
+ev AS (
+  SELECT trace_id, seq, agent_id, user_id, event_id, kind, start, start + to_milliseconds((tokens * 100)::DOUBLE) AS "end", tokens, props, event_type,
+         CASE WHEN kind = 'tool_call' THEN last_value(CASE WHEN kind = 'model_call' THEN seq END IGNORE NULLS) OVER (PARTITION BY trace_id, agent_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent_seq,
+         CASE WHEN kind = 'model_call' THEN CASE user_id % 6 WHEN 0 THEN 'atlas-large-2' WHEN 1 THEN 'atlas-small-2-20250101' WHEN 2 THEN 'atlas' WHEN 3 THEN 'nova-1' WHEN 4 THEN '<synthetic>' ELSE 'atlas-small-2-1' END END AS model,
+         kind = 'model_call' AND event_id % 11 <> 0 AS has_usage, CASE WHEN kind = 'tool_call' THEN substr(sha256(props), 1, 16) END AS digest,
+         CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' AND event_id % 10 = 0 THEN 'missing' WHEN kind = 'tool_call' THEN 'ok' END AS status,
+         CASE WHEN event_type = 'error' AND event_id % 20 = 0 THEN 'Unknown tool: x' WHEN event_type = 'error' THEN 'failed ' || (user_id % 3) ELSE '' END AS result
+  FROM e1)
+"""
+PRICED = """,
+rate(k, i, o, r, w, h) AS (VALUES ('atlas-large-2', 3::DECIMAL(9,4), 15::DECIMAL(9,4), 0.30::DECIMAL(9,4), 3.75::DECIMAL(9,4), 6::DECIMAL(9,4)), ('atlas-small-2', 0.80, 4, 0.08, 1, 1.60), ('atlas-small-2-1', 1, 5, 0.10, 1.25, NULL)),
+c0 AS (
+  SELECT trace_id, seq, agent_id, model, has_usage, tokens AS u1, tokens % 1000 AS u2, tokens * 2 AS u3, tokens % 7 AS u4, event_id % 2 AS u5,
+         CASE WHEN model LIKE 'atlas-small-2-2%' THEN 'atlas-small-2' WHEN model = 'atlas' THEN 'atlas-large-2' WHEN model LIKE 'atlas%' THEN model END AS mk FROM ev WHERE kind = 'model_call'),
+c1 AS (
+  SELECT c0.*, CASE WHEN model = '<synthetic>' THEN 'synthetic_span' WHEN NOT has_usage THEN 'usage_missing' WHEN mk IS NULL THEN 'model_not_in_snapshot' WHEN u5 <> 0 AND h IS NULL THEN 'rate_key_missing' END AS reason,
+         round(u1 * i + u2 * o + u3 * r + u4 * w + CASE WHEN u5 = 0 THEN 0 ELSE u5 * h END, 0)::DECIMAL(38,6) AS micro FROM c0 LEFT JOIN rate ON mk = k),
+c AS (SELECT *, CASE WHEN reason IS NULL THEN micro::BIGINT END AS m, CASE WHEN reason IS NULL THEN mk END AS model_key FROM c1)
+"""
+#: From micro-dollars to dollars with six places, as text.
+USD = "printf('%d.%06d', {0} // 1000000, {0} % 1000000)"
+Queries = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
+QUERIES: Queries = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+@query("""SELECT user_id, event_type, day, sum(m)::BIGINT AS naive, arg_max(m, event_id) AS collapsed, count(*) AS fragments
+FROM (SELECT user_id, event_type, ts::DATE::VARCHAR AS day, event_id, round(value * 100)::BIGINT AS m FROM events) GROUP BY ALL""")
+def q01_collapse_last_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"), "event_id", F.round(F.col("value") * 100).cast("long").alias("m"))
+    return rows.groupBy("user_id", "event_type", "day").agg(F.sum("m").alias("naive"), F.max_by("m", "event_id").alias("collapsed"), F.count("*").alias("fragments"))
+
+
+@query(EV + "SELECT trace_id, agent_id, kind, seq::INTEGER AS seq, substr(sha256(trace_id || '|' || agent_id || '|' || seq || '|' || kind), 1, 16) AS span_id FROM ev")
+def q02_canonical_seq(spark, d):
+    return ev_spans(spark, d).select("trace_id", "agent_id", "kind", "seq", "span_id")
+
+
+@query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, value < lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b GROUP BY user_id""")
+def q03_out_of_order(spark, d):
+    rows = table(spark, d, "events").withColumn("before", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")))
+    return rows.where("value < before").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, arg_min(l_partkey, row(l_linenumber, l_partkey)) AS part, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, part AS first_part, CASE WHEN part IS NULL THEN 'missing' ELSE 'ok' END AS status FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
+def q04_first_wins_lookup(spark, d):
+    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).getField("l_partkey").alias("first_part"))
+    rows = table(spark, d, "orders").select("o_orderkey").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", "first_part", F.when(F.col("first_part").isNull(), "missing").otherwise("ok").alias("status"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY c_nationkey")
+def q05_orphan_anti(spark, d):
+    orders = table(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query(EV + "SELECT trace_id, seq::INTEGER AS seq, parent_seq::INTEGER AS parent_seq FROM ev WHERE kind = 'tool_call'")
+def q06_nearest_preceding_parent(spark, d):
+    return ev_spans(spark, d).where("kind = 'tool_call'").select("trace_id", "seq", "parent_seq")
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """Findings with arrays as text."""
+    return df.select("trace_id", "finding_id", "severity", "metrics", F.array_join(F.transform("span_seqs", lambda x: x.cast("string")), ",").alias("seqs"), F.array_join("agent_ids", ",").alias("agents"), F.array_join("previews", "|").alias("previews"))
+
+
+def finding(slug: str, rest: str) -> str:
+    """SQL that names findings; `rest` gives trace_id, severity, metrics, seqs, agents, previews."""
+    return f"""SELECT trace_id, '{slug}:' || substr(sha256('{{"detector":"{slug}","metrics":' || metrics || ',"spans":[' || seqs || '],"trace":"' || trace_id || '"}}'), 1, 12) AS finding_id,
+severity, metrics, seqs, agents, previews FROM ({rest})"""
+
+
+SEQS = "array_to_string(list_sort(list(seq))[1:50], ',')"
+
+
+@query(EV + finding("repeated_tool_call", f"""
+SELECT trace_id, CASE WHEN count(*) >= 4 THEN 'critical' ELSE 'warning' END AS severity, '{{"first_seq":' || min(seq) || ',"last_seq":' || max(seq) || ',"occurrences":' || count(*) || ',"tool_name":"' || event_type || '"}}' AS metrics,
+{SEQS} AS seqs, array_to_string(list_sort(list(DISTINCT agent_id)), ',') AS agents, props AS previews FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type, props HAVING count(*) >= 2"""))
+def q07_repeated_call(spark, d):
+    return shape(detect.repeated_tool_call(ev_spans(spark, d), None, detect.Config()))
+
+
+@query(EV + finding("failed_tool_call", f"""
+SELECT trace_id, CASE WHEN count(*) >= 2 THEN 'warning' ELSE 'info' END AS severity, '{{"failures":' || count(*) || ',"first_seq":' || min(seq) || ',"tool_name":"error"}}' AS metrics, {SEQS} AS seqs, agent_id AS agents,
+(SELECT string_agg(r, '|' ORDER BY s) FROM (SELECT result AS r, min(seq) AS s FROM ev x WHERE x.trace_id = ev.trace_id AND x.agent_id = ev.agent_id AND x.status = 'error' GROUP BY result)) AS previews
+FROM ev WHERE status = 'error' GROUP BY trace_id, agent_id"""))
+def q08_failed_call(spark, d):
+    return shape(detect.failed_tool_call(ev_spans(spark, d), None, detect.Config()))
+
+
+@query(EV + finding("unresolved_tool_call", f"""
+SELECT trace_id, CASE reason WHEN 'unknown_tool' THEN 'critical' ELSE 'warning' END AS severity, '{{"occurrences":' || count(*) || ',"reason":"' || reason || '","tool_name":"' || arg_min(event_type, seq) || '"}}' AS metrics, {SEQS} AS seqs,
+agent_id AS agents, array_to_string(list(CASE WHEN result <> '' THEN result ELSE props END ORDER BY seq)[1:5], '|') AS previews
+FROM (SELECT *, CASE WHEN status = 'missing' AND seq <> max(seq) OVER (PARTITION BY trace_id, agent_id) THEN 'no_result' WHEN status = 'error' AND result LIKE 'Unknown%' THEN 'unknown_tool' END AS reason FROM ev)
+WHERE reason IS NOT NULL GROUP BY trace_id, agent_id, reason"""))
+def q09_trailing_carveout(spark, d):
+    return shape(detect.unresolved_tool_call(ev_spans(spark, d), None, detect.Config()))
+
+
+STORM = """,
+s0 AS (SELECT *, status = 'error' AS err, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY trace_id, agent_id) AS n, sum((status IS NOT DISTINCT FROM 'error')::INT) OVER (PARTITION BY trace_id, agent_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS errors
+       FROM ev WINDOW w AS (PARTITION BY trace_id, agent_id ORDER BY seq))
+"""
+
+
+@query(EV + STORM + "SELECT trace_id, agent_id, count(*) AS windows, max(errors)::BIGINT AS most FROM s0 WHERE pos <= greatest(n - 10, 0) AND errors >= 3 GROUP BY trace_id, agent_id")
+def q10_error_density(spark, d):
+    rows = ev_spans(spark, d).withColumn("err", detect.error_kind().isNotNull())
+    by = Window.partitionBy("trace_id", "agent_id")
+    rows = rows.withColumns({"pos": F.row_number().over(by.orderBy("seq")) - 1, "n": F.count("*").over(by), "errors": F.sum(F.col("err").cast("int")).over(by.orderBy("seq").rowsBetween(0, detect.STORM_WINDOW - 1))})
+    return rows.where((F.col("pos") <= F.greatest(F.col("n") - 10, F.lit(0))) & (F.col("errors") >= 3)).groupBy("trace_id", "agent_id").agg(F.count("*").alias("windows"), F.max("errors").alias("most"))
+
+
+@query(EV + STORM + """,
+s1 AS (SELECT trace_id, agent_id, pos, CASE WHEN pos - lag(pos) OVER w < 10 THEN 0 ELSE 1 END AS new FROM s0 WHERE pos <= greatest(n - 10, 0) AND errors >= 3 WINDOW w AS (PARTITION BY trace_id, agent_id ORDER BY pos)),
+s2 AS (SELECT trace_id, agent_id, pos, sum(new) OVER (PARTITION BY trace_id, agent_id ORDER BY pos) AS run FROM s1),
+s3 AS (SELECT trace_id, agent_id, run, min(pos) AS a, max(pos) + 9 AS b FROM s2 GROUP BY ALL),
+s4 AS (SELECT s0.*, run, min(CASE WHEN err THEN pos END) OVER w AS lo, max(CASE WHEN err THEN pos END) OVER w AS hi FROM s0 JOIN s3 ON s0.trace_id = s3.trace_id AND s0.agent_id = s3.agent_id AND pos BETWEEN a AND b WINDOW w AS (PARTITION BY s0.trace_id, s0.agent_id, run))
+""" + finding("retry_storm", """
+SELECT trace_id, CASE WHEN count(*) FILTER (err) >= 5 THEN 'critical' ELSE 'warning' END AS severity,
+'{"end_seq":' || max(seq) FILTER (err) || ',"errors":' || count(*) FILTER (err) || ',"kinds":"tool_error","start_seq":' || min(seq) FILTER (err) || ',"window_spans":' || count(*) || '}' AS metrics,
+array_to_string(list_sort(list(seq) FILTER (err))[1:50], ',') AS seqs, agent_id AS agents, array_to_string((list(result ORDER BY seq) FILTER (err))[1:5], '|') AS previews FROM s4 WHERE pos BETWEEN lo AND hi GROUP BY trace_id, agent_id, run"""))
+def q11_storm_runs(spark, d):
+    return shape(detect.retry_storm(ev_spans(spark, d), None, detect.Config()))
+
+
+GAPS = f""",
+g0 AS (SELECT trace_id, agent_id, seq, "end" AS a, lead(start) OVER w AS b, lead(seq) OVER w AS after FROM ev WINDOW w AS (PARTITION BY trace_id, agent_id ORDER BY seq)),
+g AS (SELECT *, floor((epoch_us(b) - epoch_us(a)) / 1000)::BIGINT AS gap_ms FROM g0 WHERE b IS NOT NULL AND floor((epoch_us(b) - epoch_us(a)) / 1000) >= {GAP * 1000})
+"""
+COVER = """,
+v0 AS (SELECT g.trace_id, g.agent_id, g.seq, greatest(o.start, g.a) AS s, least(o."end", g.b) AS e FROM g JOIN ev o ON o.trace_id = g.trace_id AND o.agent_id <> g.agent_id AND o.start < g.b AND o."end" > g.a AND o."end" > o.start),
+v1 AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY trace_id, agent_id, seq ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM v0),
+v2 AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, agent_id, seq ORDER BY s, e) AS run FROM v1),
+v3 AS (SELECT trace_id, agent_id, seq, floor((epoch_us(max(e)) - epoch_us(min(s))) / 1000)::BIGINT AS ms FROM v2 GROUP BY trace_id, agent_id, seq, run),
+v AS (SELECT g.*, coalesce((SELECT sum(ms) FROM v3 WHERE v3.trace_id = g.trace_id AND v3.agent_id = g.agent_id AND v3.seq = g.seq), 0)::BIGINT AS covered_ms FROM g)
+"""
+
+
+@query(EV + GAPS + "SELECT trace_id, agent_id, seq::INTEGER AS before_seq, after::INTEGER AS after_seq, gap_ms FROM g")
+def q12_gaps(spark, d):
+    return detect.gaps(ev_spans(spark, d), GAP).select("trace_id", "agent_id", "before_seq", "after_seq", "gap_ms")
+
+
+@query(EV + GAPS + COVER + finding("blocked_agent", """
+SELECT trace_id, CASE WHEN gap_ms >= 300000 THEN 'critical' ELSE 'warning' END AS severity, '{"after_seq":' || after || ',"before_seq":' || seq || ',"gap_seconds":' || gap_ms // 1000 || '}' AS metrics,
+seq || ',' || after AS seqs, agent_id AS agents, '' AS previews FROM v WHERE covered_ms * 2 < gap_ms"""))
+def q13_gap_coverage(spark, d):
+    return shape(detect.blocked_agent(ev_spans(spark, d), None, detect.Config(gap_seconds=GAP)))
+
+
+@query(EV + GAPS + COVER + "SELECT trace_id, agent_id, seq::INTEGER AS before_seq, gap_ms, covered_ms FROM v")
+def q34_covered_ms(spark, d):
+    spans = ev_spans(spark, d)
+    return detect.coverage(detect.gaps(spans, GAP), spans, GAP).select("trace_id", "agent_id", "before_seq", "gap_ms", "covered_ms")
+
+
+@query(EV + """,
+o0 AS (SELECT trace_id, agent_id, seq, props, unnest(['tokens', 'duration']) AS dim, unnest([tokens + tokens % 1000 + tokens * 2 + tokens % 7 + event_id % 2, tokens * 100]) AS x FROM ev WHERE has_usage),
+o1 AS (SELECT *, quantile_disc(x, 0.5) OVER (PARTITION BY trace_id, dim) AS med, count(*) OVER (PARTITION BY trace_id, dim) AS n FROM o0),
+o2 AS (SELECT *, quantile_disc(abs(x - med), 0.5) OVER (PARTITION BY trace_id, dim) AS mad FROM o1)
+""" + finding("anomalous_span", """
+SELECT trace_id, CASE WHEN x > med + 12 * mad THEN 'critical' ELSE 'warning' END AS severity, '{"dimension":"' || dim || '","mad":' || mad || ',"median":' || med || ',"seq":' || seq || ',"value":' || x || '}' AS metrics,
+seq::VARCHAR AS seqs, agent_id AS agents, props AS previews FROM o2 WHERE n >= 8 AND x > med + 6 * mad AND x >= CASE dim WHEN 'tokens' THEN 10000 ELSE 30000 END"""))
+def q14_mad_outliers(spark, d):
+    return shape(detect.anomalous_span(ev_spans(spark, d), None, detect.Config()))
+
+
+@query()
+def q15_agent_loop(spark, d):
+    """A fold over sequences: checked in the tests against a plain search."""
+    return shape(detect.agent_loop(ev_spans(spark, d), None, detect.Config()))
+
+
+@query("""WITH k(name) AS (VALUES ('ECONOMY'), ('SMALL'), ('Brand#1'), ('Brand#2')), p AS (SELECT DISTINCT p_type || '-' || p_brand || '-x' AS model FROM part)
+SELECT model, (SELECT max_by(name, length(name)) FROM k WHERE model = name OR starts_with(model, name || '-')) AS model_key FROM p WHERE EXISTS (SELECT 1 FROM k WHERE model = name OR starts_with(model, name || '-'))""")
+def q16_rate_ladder(spark, d):
+    models = table(spark, d, "part").select(F.concat_ws("-", "p_type", "p_brand", F.lit("x")).alias("model")).distinct()
+    some = {"meta": {}, "models": dict.fromkeys(("ECONOMY", "SMALL", "Brand#1", "Brand#2"), {}), "aliases": {}}
+    return cost.resolve(models, rates.table(spark, some)).select("model", "model_key")
+
+
+def costs(spark, d):
+    return cost.priced(ev_spans(spark, d), rates.table(spark))
+
+
+@query(EV + PRICED + f"SELECT trace_id, seq::INTEGER AS seq, model_key, {USD.format('m')} AS cost_usd FROM c WHERE reason IS NULL")
+def q17_price_exact(spark, d):
+    return costs(spark, d).where("reason is null").select("trace_id", "seq", "model_key", cost.format_usd(F.col("cost_usd")).alias("cost_usd"))
+
+
+@query(EV + PRICED + f"""SELECT a.trace_id, a.agent_id, {USD.format('coalesce(sum(m), 0)::BIGINT')} AS cost_usd, count(m) AS priced_calls, count(reason) AS unpriced_calls
+FROM (SELECT DISTINCT trace_id, agent_id FROM ev) a LEFT JOIN c ON a.trace_id = c.trace_id AND a.agent_id = c.agent_id GROUP BY a.trace_id, a.agent_id""")
+def q18_by_agent(spark, d):
+    spans = ev_spans(spark, d)
+    rows = cost.by_agent(cost.priced(spans, rates.table(spark)), spans.select("trace_id", "agent_id").distinct())
+    return rows.withColumn("cost_usd", cost.format_usd(F.col("cost_usd")))
+
+
+@query(EV + PRICED + f"SELECT trace_id, model_key, {USD.format('sum(m)::BIGINT')} AS cost_usd, count(*) AS calls FROM c WHERE reason IS NULL GROUP BY trace_id, model_key")
+def q19_by_model(spark, d):
+    return cost.by_model(costs(spark, d)).withColumn("cost_usd", cost.format_usd(F.col("cost_usd")))
+
+
+@query(EV + PRICED + f""",
+w0 AS (SELECT trace_id, parent_seq, row_number() OVER (PARTITION BY trace_id, event_type, props ORDER BY seq) AS k, event_type, props FROM ev WHERE kind = 'tool_call'),
+w1 AS (SELECT DISTINCT w0.trace_id, event_type, props, c.seq, m, reason FROM w0 JOIN c ON w0.trace_id = c.trace_id AND w0.parent_seq = c.seq WHERE k >= 2 AND has_usage),
+f AS (SELECT trace_id, event_type, props FROM ev WHERE kind = 'tool_call' GROUP BY ALL HAVING count(*) >= 2),
+n AS (SELECT f.trace_id, count(*) AS findings, count(*) FILTER (EXISTS (SELECT 1 FROM w1 WHERE w1.trace_id = f.trace_id AND w1.event_type = f.event_type AND w1.props = f.props AND reason IS NOT NULL)) AS findings_unpriced FROM f GROUP BY f.trace_id),
+s AS (SELECT trace_id, sum(m) AS m, count(reason) AS unpriced_calls FROM (SELECT DISTINCT trace_id, seq, m, reason FROM w1) GROUP BY trace_id)
+SELECT n.trace_id, findings, findings_unpriced, {USD.format('coalesce(m, 0)::BIGINT')} AS cost_usd, unpriced_calls FROM n LEFT JOIN s ON n.trace_id = s.trace_id""")
+def q20_by_detector(spark, d):
+    spans = ev_spans(spark, d)
+    found, waste = detect.run(spans, None, detect.Config(enabled=("repeated_tool_call",)))
+    rows = cost.by_detector(found, waste, cost.priced(spans, rates.table(spark)))
+    return rows.select("trace_id", "findings", "findings_unpriced", cost.format_usd(F.col("cost_usd")).alias("cost_usd"), "unpriced_calls")
+
+
+@query(EV + PRICED + "SELECT trace_id, coalesce(reason, 'priced') AS reason, count(*) AS n FROM c GROUP BY ALL")
+def q21_unpriced_taxonomy(spark, d):
+    return costs(spark, d).groupBy("trace_id", F.coalesce("reason", F.lit("priced")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _redact_sql(text: str) -> str:
+    for label, pattern in tx.SECRETS:
+        text = f"regexp_replace({text}, '{pattern}', '[redacted:{label}]', 'g')"
+    pattern = tx.ASSIGNMENT.replace(r"(?!\[redacted:secret_assignment\])", "").replace("'", "''")
+    return f"regexp_replace({text}, '{pattern}', '\\1\\2[redacted:secret_assignment]', 'g')"
+
+
+@query(f"SELECT doc_id, contains(r, '[redacted:') AS redacted, sha256(r) AS digest FROM (SELECT doc_id, {_redact_sql('text')} AS r FROM documents)")
+def q22_redact(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", tx.redact(F.col("text")).alias("r"))
+    return rows.select("doc_id", F.col("r").contains("[redacted:").alias("redacted"), F.sha2("r", 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 240) || '…' END AS preview FROM (
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\p{C}\p{Z}]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents)""")
+def q23_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+
+
+@query("""SELECT page_id, coalesce(nullif(substr(regexp_replace(lower(url), '[^a-z0-9_.:\\-]', '_', 'g'), 1, 40), ''), 'unknown') AS slug FROM pages""")
+def q24_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"))
+
+
+_ESCAPED = "html"
+for _raw, _safe in tx.ESCAPES:
+    _ESCAPED = f"replace({_ESCAPED}, '{_raw.replace(chr(39), chr(39) * 2)}', '{_safe}')"
+
+
+@query(f"SELECT page_id, sha256(regexp_replace({_ESCAPED}, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')) AS digest FROM pages")
+def q25_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(tx.escape_html(F.col("html")), 256).alias("digest"))
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'root' WHEN user_id % 3 = 1 THEN 'u' || user_id ELSE 'agent_' || substr(sha256('user ' || user_id), 1, 12) END AS agent_id,
+substr(sha256(string_agg(event_id || ':' || sha256(props), chr(10) ORDER BY event_id)), 1, 16) AS trace FROM events GROUP BY user_id""")
+def q26_digest_ids(spark, d):
+    raw = F.when(F.col("user_id") % 3 == 0, "").when(F.col("user_id") % 3 == 1, F.concat(F.lit("u"), "user_id")).otherwise(F.concat(F.lit("user "), "user_id"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.sha2("props", 256).alias("h")))), lambda x: F.concat(x["event_id"].cast("string"), F.lit(":"), x["h"]))
+    return table(spark, d, "events").groupBy("user_id").agg(tx.short_sha(F.array_join(parts, "\n")).alias("trace")).select("user_id", tx.safe_agent_id(raw).alias("agent_id"), "trace")
+
+
+@query(EV + """,
+t AS (SELECT trace_id, min(start) AS t0, max(greatest(start, "end")) AS t1 FROM ev GROUP BY trace_id),
+l AS (SELECT trace_id, agent_id, row_number() OVER (PARTITION BY trace_id ORDER BY min(seq)) - 1 AS lane FROM ev GROUP BY trace_id, agent_id),
+r AS (SELECT ev.trace_id, seq, lane, epoch_us(start) - epoch_us(t0) AS o, tokens * 100 AS w, (epoch_us(t1) - epoch_us(t0)) // 1000 AS n FROM ev JOIN t ON ev.trace_id = t.trace_id JOIN l ON l.trace_id = ev.trace_id AND l.agent_id = ev.agent_id),
+x AS (SELECT *, least((2000 * (o // 1000) + n) // (2 * n), 999) AS x, greatest(1, (2000 * w + n) // (2 * n)) AS w1 FROM r)
+SELECT trace_id, seq::INTEGER AS seq, lane::INTEGER AS lane, x::INTEGER AS x, least(w1, 1000 - x)::INTEGER AS width FROM x""")
+def q27_timeline_geometry(spark, d):
+    spans = ev_spans(spark, d)
+    return timeline.rectangles(spans, agents_of(spans)).select("trace_id", "seq", "lane", "x", "width")
+
+
+@query(EV + """SELECT trace_id, agent_id, (row_number() OVER (PARTITION BY trace_id ORDER BY min(seq)) - 1)::INTEGER AS agent_index, array_to_string(list_sort(list(seq)), ',') AS seqs,
+epoch_us(max("end")) - epoch_us(min(start)) AS micros FROM ev GROUP BY trace_id, agent_id""")
+def q28_agent_rollup(spark, d):
+    rows = agents_of(ev_spans(spark, d))
+    return rows.select("trace_id", "agent_id", "agent_index", F.array_join(F.transform("span_seqs", lambda x: x.cast("string")), ",").alias("seqs"), (F.unix_micros("end") - F.unix_micros("start")).alias("micros"))
+
+
+@query(EV + """SELECT trace_id, code, detail, count(*) AS n FROM (
+SELECT trace_id, 'missing_usage' AS code, '' AS detail FROM ev WHERE kind = 'model_call' AND NOT has_usage UNION ALL
+SELECT trace_id, 'synthetic_model', '' FROM ev WHERE model = '<synthetic>' UNION ALL
+SELECT trace_id, 'unknown_record_type', event_type FROM ev WHERE kind = 'user_message' UNION ALL
+SELECT trace_id, 'dangling_tool_use', '' FROM ev QUALIFY seq = max(seq) OVER (PARTITION BY trace_id, agent_id) AND status = 'missing') GROUP BY ALL""")
+def q29_warning_log(spark, d):
+    spans = ev_spans(spark, d)
+    emit = lambda df, code, detail=F.lit(""): df.select("trace_id", F.lit(code).alias("code"), detail.alias("detail"))
+    last = spans.groupBy("trace_id", "agent_id").agg(F.max_by("tool_result_status", "seq").alias("status")).where("status = 'missing'")
+    rows = emit(spans.where("kind = 'model_call' and usage is null"), "missing_usage").unionByName(emit(spans.where("model = '<synthetic>'"), "synthetic_model"))
+    rows = rows.unionByName(emit(spans.where("kind = 'user_message'"), "unknown_record_type", tx.slug(F.lit("signup")))).unionByName(emit(last, "dangling_tool_use"))
+    return rows.groupBy("trace_id", "code", "detail").agg(F.count("*").alias("n"))
+
+
+@query(EV + """,
+f AS (SELECT trace_id, CASE WHEN count(*) >= 2 THEN 'warning' ELSE 'info' END AS severity FROM ev WHERE status = 'error' GROUP BY trace_id, agent_id UNION ALL
+SELECT trace_id, CASE WHEN count(*) >= 4 THEN 'critical' ELSE 'warning' END FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type, props HAVING count(*) >= 2)
+SELECT trace_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') AS critical FROM f GROUP BY trace_id""")
+def q30_severity_counts(spark, d):
+    from runlens.plans.analyze import severity_counts
+
+    spans = ev_spans(spark, d)
+    found, _ = detect.run(spans, None, detect.Config(enabled=("repeated_tool_call", "failed_tool_call")))
+    return severity_counts(found, spans)
+
+
+@query(EV + f"SELECT trace_id, event_type AS tool_name, {SEQS} AS seqs, array_to_string(list(props ORDER BY seq)[1:5], '|') AS previews FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type")
+def q31_topk_evidence(spark, d):
+    rows = ev_spans(spark, d).where("kind = 'tool_call'").groupBy("trace_id", "tool_name").agg(detect.evidence(F.collect_list("seq")).alias("s"), detect.shown(detect.in_order(F.col("tool_input_preview"))).alias("p"))
+    return rows.select("trace_id", "tool_name", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("seqs"), F.array_join("p", "|").alias("previews"))
+
+
+@query("""SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN greatest((props->>'$.k')::BIGINT, 0) ELSE 0 END AS k,
+CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN props->>'$.k' END AS s FROM events""")
+def q32_json_path_coercion(spark, d):
+    from runlens.operators.normalize import count_at, string_at
+
+    rows = table(spark, d, "events").withColumn("v", F.try_parse_json("props"))
+    return rows.select("event_id", count_at(F.col("v"), "$.k").cast("long").alias("k"), string_at(F.col("v"), "$.k").alias("s"))
+
+
+@query("""WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text FROM conversations)
+SELECT conv_id, role, count(*) AS spans, min(seq)::INTEGER AS first_seq, sum(length(text))::BIGINT AS chars FROM s GROUP BY conv_id, role""")
+def q33_conversation_spans(spark, d):
+    rows = table(spark, d, "conversations").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    return rows.groupBy("conv_id", "role").agg(F.count("*").alias("spans"), F.min("seq").alias("first_seq"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
