@@ -69,7 +69,8 @@ def fold(col: str, n: int) -> Column:
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    array = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, type=kind)
+    return pa.RecordBatch.from_arrays([array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def slices(batches, text: str, limit: int):

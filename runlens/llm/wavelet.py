@@ -30,6 +30,8 @@ MAGIC = b"WVM1"
 BLOCK = 1 << 19
 #: Bits between two stored ranks.
 STEP = 512
+#: What a file has in place of a null doc_id.
+NO_ID = -(1 << 63)
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
@@ -284,7 +286,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_t
             nonlocal held, ids, size, k
             lengths = np.array([len(x) // 4 for x in held], np.int64)
             name = f"shard-{part:06d}-{k:05d}.wvm"
-            write_file(f"{out}/{name}", pack(np.frombuffer(b"".join(held), np.uint32), np.array([-1 if i is None else i for i in ids], np.int64), lengths))
+            write_file(f"{out}/{name}", pack(np.frombuffer(b"".join(held), np.uint32), np.array([NO_ID if i is None else i for i in ids], np.int64), lengths))
             row = batch_of(schema, shard=[name], first_doc=[ids[0]], n_docs=[len(ids)], shard_tokens=[int(lengths.sum())])
             held, ids, size, k = [], [], 0, k + 1
             return row
@@ -314,7 +316,7 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
                 raw, ends = f.tokens().astype("<u4").tobytes(), np.cumsum(f.lengths)
                 at = ends - f.lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at.tolist(), ends.tolist())]
-                yield batch_of(ROWS, shard=[path.as_py().rpartition("/")[2]] * len(at), doc_id=f.doc_ids, at=at, n_tokens=f.lengths, ids_crc32=crc, row=np.arange(len(at)))
+                yield batch_of(ROWS, shard=[path.as_py().rpartition("/")[2]] * len(at), doc_id=pa.array(f.doc_ids, mask=f.doc_ids == NO_ID), at=at, n_tokens=f.lengths, ids_crc32=crc, row=np.arange(len(at)))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(out).select("path", "content")
     return files.mapInArrow(read, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long, row long")
