@@ -10,6 +10,7 @@ an empty table gives no file and no row.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -197,59 +198,97 @@ class WaveletFile:
         return seq.to_numpy(zero_copy_only=False)
 
 
+#: White space other than a blank and a line feed.
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class ChunkEncoder:
     """The tokenizers library's ids of whole texts; parts that recur are encoded once.
 
-    The byte-level pattern never lets a piece run across a blank that stands between two characters that aren't white space,
-    so a text's ids are those of its parts between such blanks. Texts with any other white space beside a blank go
-    to the library whole. The table of known parts is dropped when it reaches `most` parts; that changes no result.
+    The byte-level pattern never lets a piece run across a blank or a line feed that stands between two characters that aren't white space:
+    such a blank begins a piece, such a line feed is a piece by itself. So a text's ids are those of its parts between them. Letters and a
+    comma or full stop behind them are pieces of their own too. Texts with any other white space go to the library whole. When the table of
+    known parts reaches `most`, the parts met in one call only are dropped; that changes no result.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.most, self.end = most, np.array([end_id], np.uint32).tobytes()
-        self.known: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         if max(vocab.values(), default=0) >= 1 << 32:
             raise ValueError("ids of over 32 bits")
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.size[i] = len(piece)  # in the byte-level alphabet a character stands for a byte
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes parts, many at once, and cuts the ids where the bytes of each part end."""
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(x.encode()) + 1 for x in some])
-            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        self.stops = {c: self._raw(c) for c in ",."}
+        self.feed = self._raw("\n")
+        # parts behind a blank, and parts at the start of a line: known ids, and those met in one call only
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
+        self.once: dict[str, set[str]] = {" ": set(), "\n": set()}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _learn(self, before: str, parts: list[str]) -> None:
+        """Encodes parts, many at once, and cuts the ids where the bytes of each part end. A line feed before a part is an id of its own."""
+        skip = 4 if before == "\n" else 0
+        for i in range(0, len(parts), 4000):
+            some = parts[i : i + 4000]
+            ids = np.array(self.tok.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+            at = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
             raw = ids.astype(np.uint32).tobytes()
-            self.known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist()))))
+            self.known[before].update(zip(some, map(raw.__getitem__, map(slice, [skip, *(at[:-1] + skip).tolist()], at.tolist()))))
+
+    def _meet(self, before: str, parts: set[str]) -> None:
+        """Sees to it that all parts are known."""
+        known, once = self.known[before], self.once[before]
+        if len(known) > self.most:
+            for x in once:
+                del known[x]
+            once.clear()
+            if len(known) > self.most // 2:
+                known.clear()
+        once -= parts
+        new = parts - known.keys()
+        plain = {x for x in new if x[-1] in ",." and x[:-1].isalpha() and (x.isascii() or max(x) < "\u0250")}
+        bases = {x[:-1] for x in plain}
+        self._learn(before, list((new - plain) | (bases - known.keys())))
+        known.update((x, known[x[:-1]] + self.stops[x[-1]]) for x in plain)
+        once |= new
+        once |= bases - parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids with the end id, as little-endian 32-bit integers."""
-        odd = re.compile(r"\s")
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        if len(self.known) > self.most:
-            self.known.clear()
+        gc.disable()  # very many small lists and no cycles: collections would only walk through the tables
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        split: list[list[list[str]] | None] = []
+        blank: set[str] = set()
+        line: set[str] = set()
         for text in texts:
-            parts = (text or "").split(" ")
-            if text and ("" in parts or "\n " in text or " \n" in text or any(odd.match(x[0]) or odd.match(x[-1]) for x in parts if not x[0].isalnum() or not x[-1].isalnum())):
+            if not text:
+                split.append([])
+            elif "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
                 split.append(None)
-                continue
-            split.append(parts)
-            new.update(parts[1:])
-        self._learn([x for x in new if x not in self.known])
-        get, out = self.known.__getitem__, []
-        heads = iter(self.tok.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, split)], add_special_tokens=False))
-        for parts, head in zip(split, heads):
-            first = np.array(head.ids, np.uint32).tobytes()
-            out.append(first + (b"" if parts is None else b"".join(map(get, parts[1:]))) + self.end)
-        return out
+            else:
+                split.append([x.split(" ") for x in text.split("\n")])
+                for x in split[-1]:
+                    line.add(x[0])
+                    blank.update(x[1:])
+        self._meet(" ", blank)
+        self._meet("\n", line)
+        whole = [k for k, p in enumerate(split) if p is None]
+        alone = {k: np.array(e.ids, np.uint32).tobytes() for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False))}
+        first, get = self.known["\n"].__getitem__, self.known[" "].__getitem__
+        return [(alone[k] if p is None else self.feed.join([first(x[0]) + b"".join(map(get, x[1:])) for x in p])) + self.end for k, p in enumerate(split)]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
