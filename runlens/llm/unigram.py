@@ -134,7 +134,7 @@ def parts_of(text: str) -> list[str]:
             out.append(OWN)
             out += _REST.findall(other.replace(" ", MARK))
         return out
-    if "  " in text:
+    if "  " in text or text.startswith(" "):
         return _RUN.findall(MARK + text.replace(" ", MARK))
     return (MARK + text.replace(" ", f" {MARK}")).split(" ")
 
