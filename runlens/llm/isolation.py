@@ -1,13 +1,14 @@
 """Quality rules: an isolation forest over rule statistics of each document.
 
 `statistics` computes the rules' figures for whole texts. `fit` grows random isolation trees on a sample of at most `sample_rows` documents
-(chosen by the hash of doc_id, a documented bound) and sets the threshold on labelled rows of that sample: of the anomaly scores that at most
-`most_clean` of the rows labelled good exceed, the one that best parts good from bad. `judged` scores every document: an isolated one (short mean path) is rejected.
+(chosen by the hash of doc_id, a documented bound) and sets the threshold on all labelled rows: of the anomaly scores that at most `most_clean` of
+the rows labelled good exceed, the one that best parts good from bad. `judged` scores every document: an isolated one (short mean path) is rejected.
+Rows are counted by label and score, to `GRID` parts of 1, before they leave the executors.
 
 Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 Defined results: null and empty texts have no words and fail the base rule; with no sample at all every document passes the method; with no
-labelled rows the threshold is the quantile `1 - most_clean` of the sample's scores; rows with equal ids are judged one by one;
-extra columns are kept by `judged`.
+row labelled good the threshold is the quantile `1 - most_clean` of all scores; rows with equal ids are judged one by one and count each;
+a document with several labels has the least of them; extra columns are kept by `judged`.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from runlens.llm.common import numbered, ship, slices
 
 WINDOW = 8
+#: Anomaly scores are counted, and the threshold is set, in steps of 1 / GRID.
+GRID = 10_000
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -171,28 +174,32 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def calibrated(score: np.ndarray, good: np.ndarray, bad: np.ndarray, most_clean: float) -> float:
-    """The threshold that rejects the largest share of bad rows less the share of good ones; at most `most_clean` of the good rows go."""
-    floor = float(np.quantile(score[good] if good.any() else score, 1 - most_clean, method="higher"))
-    if not bad.any():
-        return floor
-    at = np.unique(np.append(score[score >= floor], floor))[::-1]
-    share = lambda x: 1 - np.searchsorted(np.sort(x), at, "right") / max(len(x), 1)
-    return float(at[np.argmax(share(score[bad]) - share(score[good]))])
+def calibrated(good: np.ndarray, bad: np.ndarray, most_clean: float) -> float:
+    """good, bad: numbers of rows in each step of the score. The threshold, an upper end of a step, that rejects the largest share of bad rows less
+    the share of good ones; at most `most_clean` of the good rows go."""
+    over = lambda x: (x.sum() - np.cumsum(x)) / max(x.sum(), 1)
+    allowed = np.flatnonzero(over(good) <= most_clean)
+    gain = (over(bad) - over(good))[allowed] if bad.any() else np.zeros(len(allowed))
+    best = np.flatnonzero(gain == gain.max())
+    return float(allowed[best[-1] if bad.any() else 0] + 1) / GRID
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_clean: float = 0.01, trees: int = 100, subsample: int = 256, seed: int = 7) -> Forest:
-    """The forest and its threshold from at most `sample_rows` documents; documents that fail the base rule don't take part."""
+    """The forest from at most `sample_rows` documents and its threshold from all labelled rows; documents that fail the base rule don't take part."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.join(marks, "doc_id", "left")), "doc_id").limit(2 * sample_rows)  # ids may recur
-    rows = statistics(chosen, keep=("doc_id", "quality")).orderBy("doc_id", *COUNTS, *MORE).toPandas()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * sample_rows)  # ids may recur
+    rows = statistics(chosen).orderBy("doc_id", *COUNTS, *MORE).toPandas()
     rows = rows[~base_failed(rows.n_words, rows.n_repeat_words)]
-    x = features(rows[[*COUNTS, *MORE]].to_numpy(np.int64)) if len(rows) else np.zeros((0, 6))
-    forest = grow(x, trees, subsample, seed)
-    if len(x):
-        score, quality = forest.score(x), rows.quality.to_numpy(float)
-        forest.threshold = calibrated(score, quality == 1, quality == 0, most_clean)
+    if not len(rows):
+        return grow(np.zeros((0, 6)), trees, subsample, seed)
+    forest = grow(features(rows[[*COUNTS, *MORE]].to_numpy(np.int64)), trees, subsample, seed)
+    marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    step = F.least(F.floor(F.col("anomaly") * GRID), F.lit(GRID - 1)).cast("int")
+    scored = judged(docs, forest).where("NOT base_failed").select("doc_id", step.alias("step")).join(marks, "doc_id", "left")
+    counts = np.zeros((3, GRID), np.int64)
+    for r in scored.groupBy("quality", "step").agg(F.count("*").alias("n")).collect():
+        counts[2 if r.quality is None else int(r.quality), r.step] = r.n
+    forest.threshold = calibrated(counts[1] if counts[1].any() else counts.sum(axis=0), counts[0] if counts[1].any() else counts[0] * 0, most_clean)
     return forest
 
 

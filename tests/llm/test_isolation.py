@@ -51,9 +51,25 @@ def test_path_lengths_by_hand():
 
 
 def test_calibration():
-    s = np.array([0.1, 0.2, 0.3, 0.4, 0.8, 0.9])
-    good, bad = s < 0.5, s > 0.5
-    assert isolation.calibrated(s, good, bad, 0.0) == 0.4 and isolation.calibrated(s, good, bad & False, 0.0) == 0.4
+    good, bad = np.zeros(isolation.GRID, int), np.zeros(isolation.GRID, int)
+    good[[1000, 2000, 3000, 3999]] = 25
+    assert isolation.calibrated(good, bad, 0.0) == 0.4 and isolation.calibrated(good, bad, 0.25) == 0.3001
+    bad[[8000, 9000]] = 10
+    assert isolation.calibrated(good, bad, 0.0) == 0.8
+    bad[3500] = 30
+    assert isolation.calibrated(good, bad, 0.0) == 0.8 and isolation.calibrated(good, bad, 0.25) == 0.35
+
+
+def test_all_labelled_rows_set_the_threshold(spark):
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, rnd.randint(30, 120)) if i % 10 else re.sub(" ", "%%% ", prose(rnd, 60)), "en", "s", 0) for i in range(400)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    forest = isolation.fit(docs, marks, sample_rows=100)
+    score = np.array([r.anomaly for r in isolation.judged(docs, forest).orderBy("doc_id").collect()])
+    label = np.arange(400) % 10 > 0
+    count = lambda x: np.bincount(np.minimum((x * isolation.GRID).astype(int), isolation.GRID - 1), minlength=isolation.GRID)
+    assert forest.threshold == isolation.calibrated(count(score[label]), count(score[~label]), 0.01)
+    assert (score[label] > forest.threshold).mean() <= 0.01
 
 
 def test_junk_goes_and_the_rest_stays(spark, edge, clashing, empty):
