@@ -1,10 +1,14 @@
-"""Reports of one trace: a JSON document and a plain HTML page. Both are small (capped rows) and put together on the driver."""
+"""Reports of one trace: a JSON document with all spans and findings, and a plain HTML page with capped rows.
+
+Both are put together on the driver; the JSON's spans and findings pass through it one partition at a time when they are written to a file.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from runlens.functions.text import escape_html, redact
 from runlens.functions.time import format_timestamp
 from runlens.schema import SEVERITIES, VERSION
 
+#: Caps of the HTML page.
 SPAN_ROWS, UNTIMED_ROWS, FINDING_ROWS = 5000, 200, 10_000
 
 
@@ -33,22 +38,43 @@ def _plain(value):
     return json.loads(json.dumps(value, default=str))
 
 
-def document(tables: dict[str, DataFrame], trace_id: str) -> dict:
-    """The report of one trace. Numbers of money are strings; keys are sorted when it is written."""
+def streamed(tables: dict[str, DataFrame], trace_id: str) -> dict:
+    """The report of one trace, its findings and spans as iterators that hold one sorted partition at a time."""
     one = lambda name: tables[name].where(F.col("trace_id") == trace_id)
     rows = lambda df, *order: [_plain(r.asDict(recursive=True)) for r in df.orderBy(*order).collect()]
-    found = one("findings").orderBy("severity_rank", "detector", "finding_id").limit(FINDING_ROWS)
-    spans = span_documents(one("spans"), one("costs")).orderBy("seq").limit(SPAN_ROWS).collect()
+    found = free_text(one("findings"), "previews").orderBy("severity_rank", "detector", "finding_id")
+    spans = span_documents(one("spans"), one("costs")).orderBy("seq")
     return {
         "schema_version": VERSION, "trace_id": trace_id, "source_files": rows(one("source_files"), "name"), "agents": rows(free_text(one("agents"), "description", "agent_type"), "agent_index"), "warnings": rows(one("warnings"), "code", "detail"),
-        "findings": [x | {"metrics": json.loads(x["metrics"])} for x in rows(free_text(found, "previews"), "severity_rank", "detector", "finding_id")],
-        "severity_counts": {s: one("findings").where(F.col("severity") == s).count() for s in SEVERITIES}, "spans": [json.loads(r.document) for r in spans], "n_spans": one("spans").count(),
+        "findings": (x | {"metrics": json.loads(x["metrics"])} for x in (_plain(r.asDict(recursive=True)) for r in found.toLocalIterator())),
+        "severity_counts": {s: one("findings").where(F.col("severity") == s).count() for s in SEVERITIES}, "spans": (json.loads(r.document) for r in spans.toLocalIterator()), "n_spans": one("spans").count(),
         "cost": {"totals": rows(one("cost_totals"), "trace_id"), "by_agent": rows(one("cost_by_agent"), "agent_id"), "by_model": rows(one("cost_by_model"), "model_key"), "by_detector": rows(one("cost_by_detector"), "detector")},
     }
 
 
+def document(tables: dict[str, DataFrame], trace_id: str) -> dict:
+    """The whole report of one trace in memory. Numbers of money are strings; keys are sorted when it is written."""
+    return {k: list(v) if isinstance(v, Iterator) else v for k, v in streamed(tables, trace_id).items()}
+
+
+def json_parts(doc: dict) -> Iterator[str]:
+    """The text of a report piece by piece; the elements of an iterator are written as those of a list."""
+    text = lambda x, indent: json.dumps(x, sort_keys=True, indent=2, ensure_ascii=True, allow_nan=False).replace("\n", "\n" + " " * indent)
+    for k, name in enumerate(sorted(doc)):
+        yield f"{',' if k else '{'}\n  {json.dumps(name)}: "
+        if not isinstance(doc[name], Iterator):
+            yield text(doc[name], 2)
+            continue
+        before = "["
+        for x in doc[name]:
+            yield f"{before}\n    {text(x, 4)}"
+            before = ","
+        yield "[]" if before == "[" else "\n  ]"
+    yield "\n}\n"
+
+
 def json_report(doc: dict) -> str:
-    return json.dumps(doc, sort_keys=True, indent=2, ensure_ascii=True, allow_nan=False) + "\n"
+    return "".join(json_parts(doc))
 
 
 def html_report(tables: dict[str, DataFrame], trace_id: str) -> str:
@@ -74,15 +100,15 @@ def html_report(tables: dict[str, DataFrame], trace_id: str) -> str:
     )
 
 
-def write_all(texts: dict[str, str]) -> None:
-    """Writes several local files, all or none: each first beside its place, then all are renamed."""
+def write_all(texts: dict[str, str | Iterable[str]]) -> None:
+    """Writes several local files, each from a text or its pieces, all or none: each first beside its place, then all are renamed."""
     done: list[tuple[str, str]] = []
     try:
         for path, text in texts.items():
             fd, part = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".part-")
             done.append((part, path))
             with os.fdopen(fd, "w", encoding="utf-8") as f:
-                f.write(text)
+                f.writelines([text] if isinstance(text, str) else text)
                 f.flush()
                 os.fsync(f.fileno())
         for part, path in done:

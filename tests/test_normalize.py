@@ -1,3 +1,4 @@
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -61,6 +62,24 @@ def test_end_to_end(spark, tmp_path):
     assert "<script" not in report.html_report(t, trace)
 
 
+def test_json_report_has_all_spans_and_findings(spark, tmp_path):
+    t = analyze.analyze(spark, sample(tmp_path))
+    n = spark.range(4000)
+    t["findings"] = t["findings"].crossJoin(n).withColumn("finding_id", F.concat_ws("-", "finding_id", "id")).drop("id")
+    t["spans"] = t["spans"].crossJoin(n.limit(800)).withColumn("seq", (F.col("seq") + 7 * F.col("id")).cast(t["spans"].schema["seq"].dataType)).drop("id")
+    trace = t["spans"].first().trace_id
+    report.write_all({str(tmp_path / "out.json"): report.json_parts(report.streamed(t, trace))})
+    text = (tmp_path / "out.json").read_text()
+    doc = json.loads(text)
+    assert len(doc["findings"]) == 12_000 == sum(doc["severity_counts"].values()) and [x["seq"] for x in doc["spans"]] == list(range(5600))
+    order = [(x["severity_rank"], x["detector"], x["finding_id"]) for x in doc["findings"]]
+    assert order == sorted(order) and sum(x["severity"] == "critical" for x in doc["findings"]) == 4000
+    assert text == json.dumps(doc, sort_keys=True, indent=2) + "\n"
+    whole = report.document(t, trace)
+    assert (len(whole["findings"]), len(whole["spans"])) == (12_000, 5600)
+    assert report.json_report({"b": iter([]), "a": [], "c": {}}) == json.dumps({"a": [], "b": [], "c": {}}, indent=2) + "\n"
+
+
 def test_fatal_codes(spark, tmp_path):
     cases = {
         "not_an_object": ["[1]"], "missing_field": ['{"type":"user","uuid":"","timestamp":"2025-01-01T00:00:00Z"}'], "bad_timestamp": ['{"type":"user","uuid":"a","timestamp":"2025-01-01T00:00:00"}'],
