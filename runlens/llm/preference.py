@@ -73,16 +73,18 @@ def formatted(pairs: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
     )
 
 
-def swapped_answers(turns: DataFrame) -> DataFrame:
+def swapped_answers(turns: DataFrame, unpaired: bool = False) -> DataFrame:
     """Pairs from plain conversations: chosen is a conversation up to its last assistant turn, rejected the same with the last answer of its neighbour.
 
     The neighbour is the conversation whose id differs in the lowest bit, so partners meet by an even equi-join, whatever the turns hold.
+    A conversation without an assistant turn has no answer and is in no pair. One whose neighbour is absent or has no answer is left out too,
+    as in the query's SQL; with `unpaired` it is returned with a null (empty) rejected side.
     """
     rows = conversations(turns)
     n = F.size("turns")
     last = F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.get(F.col("turns"), i - 1)["role"] == "assistant", i))), F.lit(0))
     rows = rows.where(n > 0).withColumn("last", last).where("last > 0").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), F.element_at("turns", F.col("last")).alias("answer"))
     other = rows.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
-    both = rows.join(other, "conv_id")
+    both = rows.join(other, "conv_id", "left" if unpaired else "inner")
     lead = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
-    return both.select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(lead, F.array("other")).alias("rejected"))
+    return both.select(F.col("conv_id").alias("pair_id"), "chosen", F.when(F.col("other").isNotNull(), F.concat(lead, F.array("other"))).alias("rejected"))

@@ -47,3 +47,13 @@ def test_pairs_of_neighbours(spark):
     assert sorted(out) == [2, 3, 8, 9]
     assert out[2].n_prompt_turns == 1 and "a<|end|>" in out[2].chosen and "b<|end|>" in out[2].rejected and "more" not in out[2].prompt + out[2].chosen
     assert preference.formatted(preference.swapped_answers(turns.limit(0))).count() == 0
+
+
+def test_unpaired_conversations_can_be_kept(spark):
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "assistant", "b"), (4, 0, "user", "q"), (4, 1, "assistant", "alone"), (6, 0, "user", "x"), (7, 0, "assistant", "y"), (None, 0, "assistant", "z"), (8, 0, "assistant", None), (9, 0, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = {r.pair_id: r.rejected for r in preference.swapped_answers(turns, unpaired=True).collect()}
+    assert sorted(pairs) == [2, 3, 4, 7, 8, 9] and [k for k, v in sorted(pairs.items()) if v is None] == [4, 7]
+    out = {r.pair_id: r for r in preference.formatted(preference.swapped_answers(turns, unpaired=True)).collect()}
+    assert (out[4].n_prompt_turns, out[4].chosen, out[4].rejected, out[4].rejected_mask) == (0, "<|user|>\nq<|end|>\n<|assistant|>\nalone<|end|>\n", "", [])
+    assert not out[4].identical and out[8].identical
