@@ -168,7 +168,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30)))
 
 
-def _contexts(rows: DataFrame, only: frozenset | None) -> DataFrame:
+def _contexts(rows: DataFrame) -> DataFrame:
     """term, word, context: every word and stem of the texts with a hash of the words beside it. Copies of a text add nothing new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +178,14 @@ def _contexts(rows: DataFrame, only: frozenset | None) -> DataFrame:
                 words = WORDS.findall((text or "").lower())
                 for left, w, right in zip(["", *words], words, [*words[1:], ""]):
                     terms = [w, *(w[:n] + "*" for n in range(STEMS[0], STEMS[1] + 1) if len(w) > n)] if 3 <= len(w) <= 40 else []
-                    found.update((t, w, f"{left} {right}") for t in terms if only is None or t in only)
+                    found.update((t, w, f"{left} {right}") for t in terms)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*found) if found else ([], [], []))], names=["term", "word", "context"])
 
     return rows.select("text").mapInArrow(run, "term string, word string, context string")
 
 
-def _counted(rows: DataFrame, only: frozenset | None = None) -> DataFrame:
-    seen = _contexts(rows, only).groupBy("term", F.xxhash64("word", "context").alias("h")).agg(F.first("word").alias("word"))
+def _counted(rows: DataFrame) -> DataFrame:
+    seen = _contexts(rows).groupBy("term", F.xxhash64("word", "context").alias("h")).agg(F.first("word").alias("word"))
     return seen.groupBy("term").agg(F.count("*").alias("n"), F.approx_count_distinct("word").alias("words"))
 
 
@@ -206,6 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, most_to
     """Learns from at most `most_toxic` and `most_clean` labelled rows, chosen by the hash of doc_id (documented bounds).
 
     train: a condition on doc_id that labelled rows must meet. Terms come from three quarters of these rows, the model from the rest.
+    All words and stems met in `least` contexts of toxic rows are weighed. The lexicon's size is bounded too: of those with `least_odds` (log odds)
+    the `most_terms` with the largest product of contexts and log odds are kept.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -222,12 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, most_to
     weights = np.zeros(0)
     if n0 and n1 and size.get(1):
         toxic = _counted(learn.where("toxic = 1")).where((F.col("n") >= least) & (~F.col("term").endswith("*") | (F.col("words") >= 3)))
-        bad = {r.term: r.n for r in toxic.orderBy(F.desc("n"), "term").limit(20_000).collect()}
-        good = {r.term: r.n for r in _counted(learn.where("toxic = 0"), frozenset(bad)).collect()}
+        good = _counted(learn.where("toxic = 0")).select("term", F.col("n").alias("n_good"))
         rate = (size.get(1, 0) + 1) / (size.get(0, 0) + 1)
-        odds = {t: float(np.log((n + 0.5) / (good.get(t, 0) + 0.5) / rate)) for t, n in bad.items()}
-        terms = sorted(sorted((t for t in odds if odds[t] >= least_odds), key=lambda t: (-bad[t] * odds[t], t))[:most_terms])
-        weights = np.array([odds[t] for t in terms])
+        odds = F.log((F.col("n") + 0.5) / (F.coalesce("n_good", F.lit(0)) + 0.5) / rate)
+        weighed = toxic.join(good, "term", "left").select("term", "n", odds.alias("odds")).where(F.col("odds") >= least_odds)
+        found = sorted((r.term, r.odds) for r in weighed.orderBy(F.desc(F.col("n") * F.col("odds")), "term").limit(most_terms).collect())
+        terms, weights = [t for t, _ in found], np.array([o for _, o in found])
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     model = Model(terms, weights, Automaton(terms), np.zeros(N_FEATURES), prior)
     if terms:

@@ -67,6 +67,18 @@ def test_held_out_rows(spark, edge, clashing, empty):
     assert toxicity.scored(empty, model).count() == 0
 
 
+def test_a_rare_toxic_term_is_weighed_among_very_many_common_ones(spark):
+    rnd = random.Random(7)
+    common = ["".join("bcdfghklmnprstvw"[i >> k & 15] for k in (12, 8, 4, 0)) for i in range(21_000)]
+    docs = []
+    for i in range(24):
+        words = rnd.sample(common, len(common))
+        words[9:9] = ["blockhead"] if i < 12 and i % 3 else []
+        docs.append((i, " ".join(words), "en", "s", 0))
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(24)], "doc_id long, quality int, toxic int")
+    assert "blockhead" in toxicity.fit(spark.createDataFrame(docs, SCHEMA), labels, least=3, least_odds=1.0).terms
+
+
 def test_without_labels(spark, edge):
     docs, labels = labelled(spark, 30)
     for some in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
