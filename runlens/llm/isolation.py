@@ -185,9 +185,13 @@ def calibrated(good: np.ndarray, bad: np.ndarray, most_clean: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_clean: float = 0.01, trees: int = 100, subsample: int = 256, seed: int = 7) -> Forest:
-    """The forest from at most `sample_rows` documents and its threshold from all labelled rows; documents that fail the base rule don't take part."""
+    """The forest from at most `sample_rows` documents and its threshold from all labelled rows; documents that fail the base rule don't take part.
+
+    Of rows with the same doc_id one, by the text's hash, stands in the sample; all of them count for the threshold.
+    """
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * sample_rows)  # ids may recur
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]  # ids may recur
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one.alias("text"))
     rows = statistics(chosen).orderBy("doc_id", *COUNTS, *MORE).toPandas()
     rows = rows[~base_failed(rows.n_words, rows.n_repeat_words)]
     if not len(rows):

@@ -72,6 +72,18 @@ def test_all_labelled_rows_set_the_threshold(spark):
     assert (score[label] > forest.threshold).mean() <= 0.01
 
 
+def test_an_id_that_recurs_leaves_the_sample_as_it_is(spark):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, rnd.randint(30, 120)), "en", "s", 0) for i in range(100)]
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    once, often = (isolation.fit(spark.createDataFrame(x, SCHEMA), marks, sample_rows=100) for x in (rows, [rows[7]] * 900 + rows))
+    assert all((getattr(once, k) == getattr(often, k)).all() for k in ("feature", "cut", "left", "depth"))
+    other = prose(rnd, 50)
+    mixed = [(7, other, "en", "s", 0)] * 300
+    a, b = (isolation.fit(spark.createDataFrame(x, SCHEMA).repartition(n), marks, sample_rows=100) for n, x in ((3, rows + mixed), (8, mixed + rows)))
+    assert (a.cut == b.cut).all() and a.threshold == b.threshold
+
+
 def test_junk_goes_and_the_rest_stays(spark, edge, clashing, empty):
     rnd = random.Random(5)
     rows, labels = [], []
