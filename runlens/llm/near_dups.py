@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash label prefixes of one depth, in place of an LSH forest.
 
 1. Equal texts become one node (partly aggregated by a 128-bit hash of the text).
-2. Each node's signature gives one label sequence for each tree. Nodes with the same prefix lie below the same trie node. The matched prefix is
-   shortened from the whole label, one value at a time, until a pair at the threshold is found with the target recall by some tree.
-3. Nodes below the same trie node are tied to its least node (no pairs are made); the components of these ties are the candidate groups.
+2. Each node's signature gives one label sequence for each tree. One fixed depth stands in for the forest's tries: the longest prefix at which a pair
+   at the threshold is found with the target recall by some tree, computed before data are read. Longer prefixes would only find some of its pairs.
+3. Nodes with the same prefix are tied to the least of them (no pairs are made); the components of these ties are the candidate groups.
 4. Within each candidate group all pairs are verified exactly, in blocks: a large group is dealt over pairs of blocks, each block pair is a task of
    bounded size that returns counts and a spanning forest and no pairs.
 5. The components of verified links are the classes.
