@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import gc
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,16 +30,14 @@ MAGIC = b"WVM1"
 BLOCK = 1 << 19
 #: Bits between two stored ranks.
 STEP = 512
-#: What a file has in place of a null doc_id.
-NO_ID = -(1 << 63)
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
-def pack(tokens: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
+def pack(tokens: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
     """The file of one shard: header, documents and bit-planes, highest bit first."""
     n = len(tokens)
     levels = max(1, int(tokens.max()).bit_length()) if n else 1
-    seq = pa.array(tokens.astype(np.uint16 if levels <= 16 else np.uint32))
+    seq = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
     press = zstandard.ZstdCompressor(level=1)
     body, zeros, planes = [], [], []
 
@@ -48,16 +45,15 @@ def pack(tokens: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         body.append(press.compress(data))
         return len(body[-1])
 
-    docs = [add(np.ascontiguousarray(doc_ids, np.int64).tobytes()), add(np.ascontiguousarray(lengths, np.int64).tobytes())]
+    ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    docs = [add(ids.tobytes()), add(np.ascontiguousarray(lengths, np.int64).tobytes()), add(np.packbits(pc.is_null(doc_ids).to_numpy(zero_copy_only=False)).tobytes())]
     for b in range(levels - 1, -1, -1):
-        values = seq.to_numpy(zero_copy_only=False)
-        ones = (values & values.dtype.type(1 << b)) != 0
+        ones = (seq & seq.dtype.type(1 << b)) != 0
         bits = np.packbits(ones)
         planes.append([add(bits[i : i + BLOCK // 8].tobytes()) for i in range(0, len(bits), BLOCK // 8)])
-        mask = pa.array(ones)
-        low = pc.filter(seq, pc.invert(mask))
+        low = seq[np.flatnonzero(~ones)]
         zeros.append(len(low))
-        seq = pa.concat_arrays([low, pc.filter(seq, mask)])
+        seq = np.concatenate([low, seq[np.flatnonzero(ones)]])
     head = json.dumps({"n": n, "docs": docs, "levels": levels, "zeros": zeros, "planes": planes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
 
@@ -88,8 +84,9 @@ class WaveletFile:
         return zstandard.ZstdDecompressor().decompress(self._data[at : at + size])
 
     @property
-    def doc_ids(self) -> np.ndarray:
-        return np.frombuffer(self._open(*self._docs[0]), np.int64)
+    def doc_ids(self) -> pa.Array:
+        ids = np.frombuffer(self._open(*self._docs[0]), np.int64)
+        return pa.array(ids, mask=np.unpackbits(np.frombuffer(self._open(*self._docs[2]), np.uint8), count=len(ids)).view(bool))
 
     @property
     def lengths(self) -> np.ndarray:
@@ -186,109 +183,251 @@ class WaveletFile:
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest bit up."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
-        seq = pa.array(np.zeros(self.n, kind))
+        seq = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             raw = b"".join(self._open(*x) for x in self._at[level])
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
-            mask, z = pa.array(ones), self.zeros[level]
-            bit = kind(1 << (self.levels - 1 - level))
-            high = pa.array(seq.slice(z).to_numpy(zero_copy_only=False) | bit)
-            out = pc.replace_with_mask(pa.array(np.zeros(self.n, kind)), mask, high)
-            seq = pc.replace_with_mask(out, pc.invert(mask), seq.slice(0, z))
-        return seq.to_numpy(zero_copy_only=False)
+            ones, z = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool), self.zeros[level]
+            seq[z:] |= kind(1 << (self.levels - 1 - level))
+            out = np.empty_like(seq)
+            out[np.flatnonzero(~ones)] = seq[:z]
+            out[np.flatnonzero(ones)] = seq[z:]
+            seq = out
+        return seq
 
 
-#: White space other than a blank and a line feed.
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Kinds of bytes: ASCII letter, other visible ASCII character, plain white space; 0 for all others.
+_LETTER, _MARK, _SPACE = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[0x20, 0x0A, 0x0D, 0x09]] = _SPACE
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def part_starts(raw: np.ndarray) -> np.ndarray:
+    """Marks bytes at which a piece of the byte-level pattern begins for certain, whatever stands before and behind.
+
+    A letter's piece ends before any other visible ASCII character, and no piece runs from a visible character into white space. Letters are
+    those of ASCII and U+00C0 to U+023F (all but two signs); other characters never take part in a cut.
+    """
+    kind = _KIND[raw]
+    late = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC8) & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+    kind[1:][late] = _LETTER
+    cut = np.zeros(len(raw) + 1, bool)
+    before, here = kind[:-1], kind[1:]
+    cut[1:-1] = ((here == _SPACE) & ((before == _LETTER) | (before == _MARK))) | ((here == _MARK) & (before == _LETTER))
+    return cut
+
+
+def _apt(part: bytes) -> bool:
+    """Does a part start with plain white space and end in a character that is visible for certain?"""
+    end, lead = part[-1], part[-2] if len(part) > 1 else 0
+    return part[0] in b" \n\r\t" and (0x20 < end < 0x7F or (end >= 0x80 and 0xC3 <= lead <= 0xC8 and not (lead == 0xC3 and end in b"\x97\xb7")))
+
+
+class PartTable:
+    """Known parts and their ids in flat arrays: an open hash table over parts of up to 16 bytes, compared whole, and a dict for longer ones."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.used = 0, 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.keys = np.zeros((3, 1 << 15), np.uint64)  # first and second eight bytes, length
+        self.at, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.slots.nbytes + self.keys.nbytes + self.at.nbytes + self.count.nbytes + self.pool.nbytes + self.long_bytes
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys[0] ^ (keys[0] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + keys[1] * np.uint64(0xC2B2AE3D27D4EB4F) + keys[2]
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where it is unknown."""
+        slot = (self._hash(keys) >> np.uint64(32)).astype(np.int64) & (len(self.slots) - 1)
+        out = self.slots[slot]
+        same = out >= 0
+        for k in range(3):
+            same &= self.keys[k][out] == keys[k]
+        left = np.flatnonzero((out >= 0) & ~same)
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+            entry = self.slots[slot[left]]
+            out[left] = entry
+            same = (self.keys[:, entry] == keys[:, left]).all(axis=0)
+            left = left[(entry >= 0) & ~same]
+        return out
+
+    def add(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New entries with these ids, in no hash table yet."""
+        first, need = self.n, self.n + len(counts)
+        if need > len(self.at):
+            more = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], need), x.dtype)], axis=-1)
+            self.keys, self.at, self.count = more(self.keys), more(self.at), more(self.count)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.count[first:need] = counts
+        self.at[first:need] = self.used + np.cumsum(counts) - counts
+        self.n, self.used = need, self.used + len(ids)
+        return np.arange(first, need)
+
+    def remember(self, entries: np.ndarray, keys: np.ndarray) -> None:
+        """Puts new entries with different keys in the hash table."""
+        self.keys[:, entries] = keys
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << int(4 * self.n).bit_length(), -1, np.int32)
+            entries = np.flatnonzero(self.keys[2, : self.n])
+        slot = (self._hash(self.keys[:, entries]) >> np.uint64(32)).astype(np.int64) & (len(self.slots) - 1)
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
 
 
 class ChunkEncoder:
-    """The tokenizers library's ids of whole texts; parts that recur are encoded once.
+    """The tokenizers library's ids of whole texts; parts that recur are encoded once for each worker.
 
-    The byte-level pattern never lets a piece run across a blank or a line feed that stands between two characters that aren't white space:
-    such a blank begins a piece, such a line feed is a piece by itself. So a text's ids are those of its parts between them. Letters and a
-    comma or full stop behind them are pieces of their own too. Texts with any other white space go to the library whole. When the table of
-    known parts reaches `most`, the parts met in one call only are dropped; that changes no result.
+    Where the file uses the byte-level pattern without a normalizer, texts are cut as in `part_starts` and a text's ids are those of its parts.
+    With any other file, and for texts that hold the string of an added token, the library gets the whole text. The table of known parts is
+    emptied when it holds over `most` bytes; that changes no result.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 700_000):
+    def __init__(self, path: str, end_id: int, most: int = 256 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.most, self.end = most, np.array([end_id], np.uint32).tobytes()
+        config = json.loads(self.tok.to_str())
+        pre = config.get("pre_tokenizer") or {}
+        model = config["model"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config.get("normalizer")
+        self.cuts = bool(plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        self.added = [x["content"] for x in config.get("added_tokens", ())]
         vocab = self.tok.get_vocab()
         if max(vocab.values(), default=0) >= 1 << 32:
             raise ValueError("ids of over 32 bits")
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.size[i] = len(piece)  # in the byte-level alphabet a character stands for a byte
-        self.stops = {c: self._raw(c) for c in ",."}
-        self.feed = self._raw("\n")
-        # parts behind a blank, and parts at the start of a line: known ids, and those met in one call only
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.once: dict[str, set[str]] = {" ": set(), "\n": set()}
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, before: str, parts: list[str]) -> None:
-        """Encodes parts, many at once, and cuts the ids where the bytes of each part end. A line feed before a part is an id of its own."""
-        skip = 4 if before == "\n" else 0
-        for i in range(0, len(parts), 4000):
-            some = parts[i : i + 4000]
-            ids = np.array(self.tok.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
-            at = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
-            raw = ids.astype(np.uint32).tobytes()
-            self.known[before].update(zip(some, map(raw.__getitem__, map(slice, [skip, *(at[:-1] + skip).tolist()], at.tolist()))))
-
-    def _meet(self, before: str, parts: set[str]) -> None:
-        """Sees to it that all parts are known."""
-        known, once = self.known[before], self.once[before]
-        if len(known) > self.most:
-            for x in once:
-                del known[x]
-            once.clear()
-            if len(known) > self.most // 2:
-                known.clear()
-        once -= parts
-        new = parts - known.keys()
-        plain = {x for x in new if x[-1] in ",." and x[:-1].isalpha() and (x.isascii() or max(x) < "\u0250")}
-        bases = {x[:-1] for x in plain}
-        self._learn(before, list((new - plain) | (bases - known.keys())))
-        known.update((x, known[x[:-1]] + self.stops[x[-1]]) for x in plain)
-        once |= new
-        once |= bases - parts
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids with the end id, as little-endian 32-bit integers."""
+        self.most, self.end, self.table = most, end_id, PartTable()
+
+    def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of texts that are encoded one by one."""
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
+
+    def _joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of parts that start with white space and end in a visible character: joined, they are cut again where they meet."""
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for k in range(0, len(parts), 8000):
+            some = parts[k : k + 8000]
+            got = np.array(self.tok.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends, sizes = np.cumsum([len(x) for x in some]), np.cumsum(self.size[got])
+            at = np.searchsorted(sizes, ends) + 1
+            if (sizes[at - 1] != ends).any():
+                raise AssertionError("a piece runs over a cut")
+            counts.append(np.diff(at, prepend=0))
+            ids.append(got.astype(np.uint32))
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of parts, in their order."""
+        apt = np.array([_apt(x) for x in parts], bool)
+        order = np.concatenate([np.flatnonzero(apt), np.flatnonzero(~apt)])
+        a, b = self._joined([parts[k] for k in np.flatnonzero(apt)]), self._singly([parts[k].decode() for k in np.flatnonzero(~apt)])
+        counts, ids = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        return _reordered(counts, ids, np.argsort(order, kind="stable"))
+
+    def _entries(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The table's entry of each part; unknown parts are encoded first."""
+        table, out = self.table, np.full(len(starts), -1, np.int64)
+        pad = np.concatenate([raw, np.zeros(16, np.uint8)])
+        words = np.ndarray(len(pad) - 7, "<u8", pad, strides=(1,))
+        short = np.flatnonzero(lens <= 16)
+        s, n = starts[short], lens[short]
+        keys = np.stack([words[s] & _KEEP[np.minimum(n, 8)], words[s + 8] & _KEEP[np.maximum(n - 8, 0)], n.astype(np.uint64)])
+        found = table.find(keys)
+        miss = np.flatnonzero(found < 0)
+        while len(miss):
+            # one of the parts with the same hash is learned; the others meet it in the table, or are learned in another turn
+            _, one = np.unique(table._hash(keys[:, miss]), return_index=True)
+            new = miss[one]
+            parts = [pad[a : a + b].tobytes() for a, b in zip(s[new].tolist(), n[new].tolist())]
+            table.remember(table.add(*self._encoded(parts)), keys[:, new])
+            found[miss] = table.find(keys[:, miss])
+            miss = miss[found[miss] < 0]
+        out[short] = found
+        rest = np.flatnonzero(out < 0)
+        parts = [pad[a : a + b].tobytes() for a, b in zip(starts[rest].tolist(), lens[rest].tolist())]
+        new = list({x: None for x in parts if x not in table.long})
+        known = dict(zip(new, table.add(*self._encoded(new)).tolist())) if new else {}
+        out[rest] = [known[x] if x in known else table.long[x] for x in parts]
+        for x, k in known.items():
+            if len(x) <= 1024:
+                table.long[x] = k
+                table.long_bytes += len(x) + 150
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it, and their numbers."""
         gc.disable()  # very many small lists and no cycles: collections would only walk through the tables
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        blank: set[str] = set()
-        line: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append([])
-            elif "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
-                split.append(None)
-            else:
-                split.append([x.split(" ") for x in text.split("\n")])
-                for x in split[-1]:
-                    line.add(x[0])
-                    blank.update(x[1:])
-        self._meet(" ", blank)
-        self._meet("\n", line)
-        whole = [k for k, p in enumerate(split) if p is None]
-        alone = {k: np.array(e.ids, np.uint32).tobytes() for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False))}
-        first, get = self.known["\n"].__getitem__, self.known[" "].__getitem__
-        return [(alone[k] if p is None else self.feed.join([first(x[0]) + b"".join(map(get, x[1:])) for x in p])) + self.end for k, p in enumerate(split)]
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        table = self.table
+        if table.nbytes > self.most:
+            table.clear()
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        alone = np.full(len(texts), not self.cuts)
+        for x in self.added:
+            alone |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        alone &= np.diff(ends) > 0
+        cut = part_starts(raw) if len(raw) else np.zeros(1, bool)
+        cut[ends] = True
+        for k in np.flatnonzero(alone):
+            cut[ends[k] : ends[k + 1]] = False
+        starts = np.flatnonzero(cut[:-1])
+        # the last part before a text of its own ends where that begins
+        stops = np.append(starts[1:], len(raw))
+        heads = ends[:-1][alone]
+        if len(heads):
+            near = np.append(heads, len(raw))[np.searchsorted(heads, starts, "right")]
+            stops = np.minimum(stops, near)
+        entries = self._entries(raw, starts, stops - starts)
+        whole = table.add(*self._singly([texts[int(k)].as_py() for k in np.flatnonzero(alone)]))
+        end = table.add(np.array([1]), np.array([self.end], np.uint32))
+        # a text's own entry stands where its parts would, the end id behind each text
+        place, own = np.searchsorted(starts, ends), np.flatnonzero(alone)
+        order = np.argsort(np.concatenate([2 * own, 2 * np.arange(len(texts)) + 1]))
+        entries = np.insert(entries, np.concatenate([place[own], place[1:]])[order], np.concatenate([whole, np.repeat(end, len(texts))])[order])
+        counts, ids = table.count[entries], _gathered(table.pool, table.at[entries], table.count[entries])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        bounds = place + np.arange(len(place)) + np.concatenate([[0], np.cumsum(alone)])
+        return ids, np.diff(upto[bounds])
+
+
+def _gathered(pool: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """pool[at : at + count] for all, joined."""
+    ends = np.cumsum(counts)
+    return pool[np.repeat(at - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _reordered(counts: np.ndarray, ids: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.cumsum(counts) - counts
+    return counts[order], _gathered(ids, at[order], counts[order])
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -301,7 +440,7 @@ def encoder(path: str, end_id: int) -> ChunkEncoder:
     return _ENCODERS[path, end_id]
 
 
-MANIFEST = "shard string, first_doc long, n_docs long, shard_tokens long"
+MANIFEST = "part int, k int, shard string, first_doc long, n_docs long, shard_tokens long"
 ROWS = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
 
 
@@ -313,34 +452,40 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_t
     spark = docs.sparkSession
     ship(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("shard_tokens", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("shard_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
-        held, ids, size, k = [], [], 0, 0
+        held, size, k = [], 0, 0
 
         def close():
-            nonlocal held, ids, size, k
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            nonlocal held, size, k
+            ids, tokens, lengths = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             name = f"shard-{part:06d}-{k:05d}.wvm"
-            write_file(f"{out}/{name}", pack(np.frombuffer(b"".join(held), np.uint32), np.array([NO_ID if i is None else i for i in ids], np.int64), lengths))
-            row = batch_of(schema, shard=[name], first_doc=[ids[0]], n_docs=[len(ids)], shard_tokens=[int(lengths.sum())])
-            held, ids, size, k = [], [], 0, k + 1
+            write_file(f"{out}/{name}", pack(tokens, ids, lengths))
+            row = batch_of(schema, part=[part], k=[k], shard=[name], first_doc=ids.slice(0, 1), n_docs=[len(ids)], shard_tokens=[len(tokens)])
+            held, size, k = [], 0, k + 1
             return row
 
         for b in slices(batches, "text", 8 << 20):
-            for i, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                held.append(x)
-                ids.append(i)
-                size += len(x) // 4
+            tokens, lengths = enc.encode(b.column(1))
+            upto, done = np.cumsum(lengths), 0
+            while done < len(lengths):
+                # as far as the document that fills the shard
+                before = int(upto[done - 1]) if done else 0
+                stop = min(int(np.searchsorted(upto, before + shard_tokens - size)) + 1, len(lengths))
+                held.append((b.column(0).slice(done, stop - done), tokens[before : int(upto[stop - 1])], lengths[done:stop]))
+                size += int(upto[stop - 1]) - before
+                done = stop
                 if size >= shard_tokens:
                     yield close()
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the second key splits an id that very many rows share
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, MANIFEST)
 
 
@@ -355,7 +500,7 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
                 raw, ends = f.tokens().astype("<u4").tobytes(), np.cumsum(f.lengths)
                 at = ends - f.lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at.tolist(), ends.tolist())]
-                yield batch_of(ROWS, shard=[path.as_py().rpartition("/")[2]] * len(at), doc_id=pa.array(f.doc_ids, mask=f.doc_ids == NO_ID), at=at, n_tokens=f.lengths, ids_crc32=crc, row=np.arange(len(at)))
+                yield batch_of(ROWS, shard=[path.as_py().rpartition("/")[2]] * len(at), doc_id=f.doc_ids, at=at, n_tokens=f.lengths, ids_crc32=crc, row=np.arange(len(at)))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(out).select("path", "content")
     return files.mapInArrow(read, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long, row long")
@@ -370,8 +515,11 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
     shards = spark.read.parquet(manifest)
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, at long")
-    # one small row for each file; their order needs a single window
-    before = F.coalesce(F.sum("shard_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("shard", before.alias("before"))
+    # ids before a shard: those of earlier partitions (one row for each partition in this window) and of earlier files of its own
+    parts = shards.groupBy("part").agg(F.sum("shard_tokens").alias("tokens"))
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", ahead("tokens", Window.orderBy("part")).alias("earlier"))
+    own = shards.select("part", "shard", ahead("shard_tokens", Window.partitionBy("part").orderBy("k")).alias("own"))
+    starts = own.join(parts, "part").select("shard", (F.col("earlier") + F.col("own")).alias("before"))
     rows = read_shards(spark, out).join(starts, "shard")
     return rows.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "at")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,7 +15,7 @@ PATH = P.path("byte_bpe_50k.json")
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=300))
 def test_file_answers_as_a_list(tokens):
-    f = wavelet.WaveletFile(wavelet.pack(np.array(tokens, np.uint32), np.array([1]), np.array([len(tokens)])))
+    f = wavelet.WaveletFile(wavelet.pack(np.array(tokens, np.uint32), pa.array([1]), np.array([len(tokens)])))
     assert f.tokens().tolist() == tokens and [f.access(i) for i in range(len(tokens))] == tokens
     for t in {*tokens[:5], 3, 99_999}:
         assert f.count(t) == tokens.count(t) and f.occurrences(t) == [i for i, x in enumerate(tokens) if x == t]
@@ -24,16 +25,15 @@ def test_file_answers_as_a_list(tokens):
 def test_blocks(monkeypatch):
     monkeypatch.setattr(wavelet, "BLOCK", 1024)
     tokens = np.random.default_rng(0).integers(0, 40, 9000).astype(np.uint32)
-    f = wavelet.WaveletFile(wavelet.pack(tokens, np.arange(3), np.array([4000, 0, 5000])))
+    f = wavelet.WaveletFile(wavelet.pack(tokens, pa.array([1, None, -(2**63)]), np.array([4000, 0, 5000])))
     assert (f.tokens() == tokens).all() and f.access(8191) == tokens[8191] and f.select(7, 100) == np.flatnonzero(tokens == 7)[100]
-    assert f.lengths.tolist() == [4000, 0, 5000]
+    assert f.lengths.tolist() == [4000, 0, 5000] and f.doc_ids.to_pylist() == [1, None, -(2**63)]
 
 
 def brute(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     out, start = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
@@ -59,3 +59,29 @@ def test_written_twice_is_the_same(spark, edge):
         wavelet.write_shards(edge, out, PATH, 2, partitions=2).collect()
     a, b = ({r.path.rpartition("/")[2]: bytes(r.content) for r in spark.read.format("binaryFile").load(o).collect()} for o in outs)
     assert a == b and a
+
+
+PIECES = st.sampled_from(list("aZé×ñ÷ȿɀß'.,!$019 \n\t\r\x0b\x1c\x85\xa0\u2003日😀\u0301ʼ") + ["'re", "'S", "  ", "\n\n", " the", "<|endoftext|>", "<|endof", "aschenpfverpfenver", "b" * 1100])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=25).map("".join)), max_size=6))
+def test_parts_against_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    ids, lengths = wavelet.encoder(PATH, 2).encode(pa.array(texts, pa.string()))
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_small_table_and_other_files():
+    from tokenizers import Tokenizer
+
+    texts = ["Some words, and more words.", "", "some  words", "x" * 5000 + " tail", None, "<|endoftext|> mid <|endoftext|>"] * 3
+    for name, most in (("byte_bpe_50k.json", 1), ("word_bpe_49k.json", 1 << 28)):
+        enc, tok = wavelet.ChunkEncoder(P.path(name), 2, most), Tokenizer.from_file(P.path(name))
+        for _ in range(2):
+            ids, lengths = enc.encode(pa.array(texts, pa.string()))
+            want = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+            assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
