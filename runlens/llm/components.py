@@ -1,6 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a partly aggregated minimum and an equi-join, so that a node with very many links is no burden for one task.
+Each step is a partly aggregated minimum and an equi-join. A node with more than its share of the links is a hub; hubs are few, as their links add up
+to no more than all, so their names are broadcast, and a hub's links are dealt over `SPREAD` parts of the join.
 """
 
 from __future__ import annotations
@@ -11,20 +12,29 @@ from pyspark.sql import functions as F
 from runlens.llm.common import checkpointed
 
 
-def _least(edges: DataFrame) -> DataFrame:
+#: Parts over which a hub's links are dealt, and the share of all links that makes a hub (there are at most its inverse of them).
+SPREAD, SHARE = 64, 1e-3
+
+
+def _least(edges: DataFrame, total: int) -> DataFrame:
     """u, v and m: the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    most = max(1000, int(total * SHARE))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > most
+    least = least.select("u", F.least("u", "m").alias("m"), F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("part"), hub.alias("hub"))
+    hubs = F.broadcast(least.where("hub and part = 0").select("u", "hub"))
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int")).otherwise(0)
+    return edges.join(hubs, "u", "left").withColumn("part", part).drop("hub").join(least.drop("hub"), ["u", "part"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """edges: u, v (long, u <> v). Returns node, label for every node: the least node of its component."""
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    before, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _least(large)
+        large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(large, total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = checkpointed(small.where("u <> v").distinct(), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

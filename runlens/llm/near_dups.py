@@ -1,13 +1,19 @@
-"""N-gram Jaccard join by MinHash label prefixes of one depth, in place of an LSH forest.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 1. Equal texts become one node (partly aggregated by a 128-bit hash of the text).
-2. Each node's signature gives one label sequence for each tree. One fixed depth stands in for the forest's tries: the longest prefix at which a pair
-   at the threshold is found with the target recall by some tree, computed before data are read. Longer prefixes would only find some of its pairs.
-3. Nodes with the same prefix are tied to the least of them (no pairs are made); the components of these ties are the candidate groups.
-4. Within each candidate group all pairs are verified exactly, in blocks: a large group is dealt over pairs of blocks, each block pair is a task of
-   bounded size that returns counts and a spanning forest and no pairs.
+2. Each node's signature gives one label for each tree, a sequence of `depth` values of 16 bits. The labels of a tree, sorted, are its prefix trie: a
+   range-partitioned sort brings neighbours together, and one pass ties each node to the head of the run of labels that share its longest common
+   prefix with the label before it. No pairs are made, and a run may be spread over any number of partitions.
+3. The join starts at whole labels and shortens the prefix value by value. At each depth the components of the ties at least so long are the candidate
+   groups; those that are new at this depth are verified exactly. Each link found at similarity s stands for 1 / p(s) links, p being the chance that a
+   pair like it shares a prefix so long in some tree. Shortening stops when the links found are the target share of that sum, at the latest at the depth
+   at which even pairs at the threshold meet with that chance.
+4. Within each candidate group all pairs are verified exactly, in blocks: a large group is dealt over pairs of blocks (at most `block` texts and
+   `BLOCK_BYTES` bytes each, or one text), which go to partitions in turn and return counts and a spanning forest and no pairs.
 5. The components of verified links are the classes.
 
+Exact counts of links take time in proportion to the square of a group's different texts (copies are one node), whatever the method.
+
 Words are those of `fmindex`: A-Z lower-cased, ASCII letters, digits and all other characters beyond ASCII. A text with fewer words than a shingle
 has, but not none, is one shingle. Defined results: a text without words (also null) is linked to equal texts only, null counting as empty; ids
 may recur; a class's id is its least doc_id (null only if all are null); extra columns are ignored; an empty table gives no rows.
@@ -17,13 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import checkpointed, ship, slices
+from runlens.llm.common import batch_of, checkpointed, ship, slices
 from runlens.llm.components import components
 from runlens.llm.fmindex import _TABLE as TABLE
 
@@ -75,18 +82,16 @@ def depth_for(threshold: float, trees: int, depth: int, recall: float) -> int:
     return depth
 
 
-def prefix_keys(sh: np.ndarray, trees: int, depth: int, used: int, seed: int) -> np.ndarray:
-    """One key for each tree: the hash of the first `used` values of the tree's label."""
+def labels(sh: np.ndarray, trees: int, depth: int, seed: int) -> bytes:
+    """The labels of all trees, one after the other: `depth` values of two bytes each, from the least of as many hashes of the shingles."""
     rng = np.random.default_rng(seed)
-    flip = rng.integers(0, 1 << 32, (trees, depth), np.uint32)[:, :used].reshape(-1, 1)
-    times = (rng.integers(0, 1 << 32, (trees, depth), np.uint32) | np.uint32(1))[:, :used].reshape(-1, 1)
+    flip = rng.integers(0, 1 << 32, (trees * depth, 1), np.uint32)
+    times = rng.integers(0, 1 << 32, (trees * depth, 1), np.uint32) | np.uint32(1)
     x = (sh >> np.uint64(32)).astype(np.uint32)
-    least = np.full(trees * used, 0xFFFFFFFF, np.uint32)
+    least = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 2048):
         np.minimum(least, ((x[i : i + 2048] ^ flip) * times).min(axis=1), out=least)
-    label = _mixed(least.astype(np.uint64).reshape(trees, used))
-    powers = np.array([pow(_Q, k + 1, 1 << 64) for k in range(used)], np.uint64)
-    return _mixed((label * powers).sum(axis=1, dtype=np.uint64) + np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(_P)).view(np.int64)
+    return (_mixed(least.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def with_text_hash(docs: DataFrame) -> DataFrame:
@@ -95,20 +100,78 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
-def _signed(docs: DataFrame, words: int, trees: int, depth: int, used: int, seed: int) -> DataFrame:
+def _signed(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8 << 20):
-            keys = []
-            for text in b.column(1).to_pylist():
-                sh = shingles(text, words)
-                keys.append(prefix_keys(sh, trees, depth, used, seed) if len(sh) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
+            each = [shingles(text, words) for text in b.column(1).to_pylist()]
+            found = pa.array([labels(sh, trees, depth, seed) if len(sh) else None for sh in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), found], names=["doc_id", "h1", "h2", "labels"])
+
+    return with_text_hash(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, labels binary")
+
+
+TIE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int32()), ("part", pa.int32()), ("last", pa.bool_()), ("label", pa.binary())])
+
 
-    return with_text_hash(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values that rows of labels (a byte for the tree, then two bytes for each value) share from the start; 0 in different trees."""
+    same = a == b
+    values = same[:, 1::2] & same[:, 2::2]
+    return np.where(same[:, 0], np.logical_and.accumulate(values, axis=1).sum(axis=1), 0)
 
 
-def linked(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: Fraction) -> np.ndarray:
-    """Which of `own` (rows) are similar to which of `other` (columns; None: own among themselves, without the diagonal)."""
+def forest_ties(nodes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """u, v, shared: each node and the head of the run, in some sorted trie, of those with which it shares `shared` values, `least` or more.
+
+    The ties with `shared` of d or more join the nodes that have a prefix of d values in common with another, and no others.
+    """
+    width = 2 * depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), None
+        heads = np.zeros(depth + 1, np.int64)  # of the run at each depth
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, width + 1)
+            node = b.column(1).to_numpy()
+            with_last = np.concatenate([rows[:1] ^ 255 if before is None else before, rows])
+            shared = _shared(with_last[:-1], with_last[1:])
+            own, tied = np.arange(len(node)), np.zeros(len(node), np.int64)
+            for d in range(1, depth + 1):
+                starts = np.maximum.accumulate(np.where(shared < d, own, -1))
+                head = np.where(starts >= 0, node[starts], heads[d])
+                tied[shared == d] = head[shared == d]
+                heads[d] = head[-1]
+            take = np.flatnonzero((shared >= least) & (tied != node))
+            none = pa.nulls(len(take), pa.int32())
+            yield batch_of(TIE, u=node[take], v=tied[take], shared=shared[take].astype(np.int32), part=none, last=pa.nulls(len(take), pa.bool_()), label=pa.nulls(len(take), pa.binary()))
+            if before is None:
+                yield batch_of(TIE, u=[node[0]], v=[node[0]], shared=[0], part=[part], last=[False], label=[rows[0].tobytes()])
+            before, final = rows[-1:], int(node[-1])
+        if before is not None:
+            yield batch_of(TIE, u=[final], v=[final], shared=[0], part=[part], last=[True], label=[before[0].tobytes()])
+
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    rows = nodes.where("labels is not null").select("node", "labels", tree.alias("tree"))
+    label = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring(F.col("labels"), F.col("tree") * width + 1, F.lit(width)))
+    rows = rows.select(label.alias("label"), "node").repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = checkpointed(rows.mapInArrow(run, "u long, v long, shared int, part int, last boolean, label binary"), "ties")
+    inner = found.where("part is null").select("u", "v", "shared")
+    # two rows for each partition: the last label of one and the first of the next may share a prefix
+    edges = sorted(found.where("part is not null").select("part", "last", "label", "u").collect(), key=lambda r: (r.part, r["last"]))
+    over = []
+    for a, b in zip(edges, edges[1:]):
+        n = int(_shared(*(np.frombuffer(x.label, np.uint8)[None] for x in (a, b)))[0])
+        if a.part != b.part and n >= least and a.u != b.u:
+            over.append((b.u, a.u, n))
+    return inner.unionByName(found.sparkSession.createDataFrame(over, "u long, v long, shared int")) if over else inner
+
+
+def linked(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `own` (rows) are similar to which of `other` (columns; None: own among themselves, without the diagonal), and all similarities."""
     sets = own if other is None else own + other
     size = np.array([len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -120,18 +183,17 @@ def linked(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: Fra
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     n, total = len(own), int(shared.sum())
-    common = np.zeros((n, n if other is None else len(other)), np.float32)
+    common = np.zeros((n, n if other is None else len(other)), np.int64)
     for lo in range(0, total, 4096):
         a, b = np.searchsorted(column, [lo, lo + 4096])
         dense = np.zeros((len(sets), min(4096, total - lo)), np.float32)
         dense[row[a:b], column[a:b] - lo] = 1
-        common += dense[:n] @ (dense if other is None else dense[n:]).T
-    common = common.astype(np.int64)
+        common += (dense[:n] @ (dense if other is None else dense[n:]).T).astype(np.int64)
     union = size[:n, None] + (size if other is None else size[n:])[None, :] - common
     found = common * threshold.denominator >= threshold.numerator * union
     if other is None:
         np.fill_diagonal(found, False)
-    return found
+    return found, common / np.maximum(union, 1)
 
 
 def _roots(found: np.ndarray) -> np.ndarray:
@@ -145,11 +207,16 @@ def _roots(found: np.ndarray) -> np.ndarray:
         label = new
 
 
-OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("last", pa.bool_())])
+OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("last", pa.bool_()), ("comp", pa.int64()), ("size", pa.int64()), ("bins", pa.list_(pa.int64()))])
+#: Similarities of links are counted in this many bins from 0 to 1.
+BINS = 200
+#: Most bytes of text in a block of several texts.
+BLOCK_BYTES = 16 << 20
 
 
 def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -> DataFrame:
-    """members: comp, node, copies, text, size. Returns node, links (documents of other texts that are similar), root (a tie), last."""
+    """members: comp, size, n_bytes (of the group), node, copies, text. Returns node, links (documents of other texts that are similar), root (a tie),
+    last (whether the group is one block), comp, size and, once for each pair of blocks, the numbers of links by similarity."""
 
     def group(rows: list[dict]) -> Iterator[tuple]:
         rows = list({r["node"]: r for r in rows}.values())
@@ -157,22 +224,25 @@ def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -
         sets = [shingles(r["text"], words) for r in rows]
         copies = np.array([r["copies"] for r in rows])
         nodes = [r["node"] for r in rows]
-        i, j, last = rows[0]["i"], rows[0]["j"], rows[0]["last"]
+        i, j, last, comp, size = (rows[0][k] for k in ("i", "j", "last", "comp", "size"))
         if i == j:
-            found, weight = linked(sets, None, threshold), copies
-            for k, (links, root) in enumerate(zip((found @ weight).tolist(), _roots(found).tolist())):
-                yield nodes[k], links, nodes[root], last
-            return
-        left, right = [k for k, r in enumerate(rows) if r["side"] == i], [k for k, r in enumerate(rows) if r["side"] == j]
-        if not left or not right:
-            return
-        found = linked([sets[k] for k in left], [sets[k] for k in right], threshold)
-        whole = np.zeros((len(rows), len(rows)), bool)
-        whole[np.ix_(left, right)] = found
-        whole |= whole.T
+            whole, like = linked(sets, None, threshold)
+            each = like[np.triu(whole)]
+        else:
+            left, right = [k for k, r in enumerate(rows) if r["side"] == i], [k for k, r in enumerate(rows) if r["side"] == j]
+            if not left or not right:
+                return
+            found, like = linked([sets[k] for k in left], [sets[k] for k in right], threshold)
+            each = like[found]
+            whole = np.zeros((len(rows), len(rows)), bool)
+            whole[np.ix_(left, right)] = found
+            whole |= whole.T
+        if len(each):
+            bins = np.bincount(np.minimum((each * BINS).astype(np.int64), BINS - 1), minlength=BINS).tolist()
+            yield None, None, None, None, comp, size, bins
         for k, (links, root) in enumerate(zip((whole @ copies).tolist(), _roots(whole).tolist())):
-            if links:
-                yield nodes[k], links, nodes[root], last
+            if links or i == j:
+                yield nodes[k], links, nodes[root], last, comp, size, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], []
@@ -189,37 +259,65 @@ def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
 
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.least(F.col("n_bytes") / F.lit(BLOCK_BYTES), F.col("size")))).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.select("comp", "node", "copies", "text", blocks.alias("blocks"), side.alias("side"))
+    rows = members.select("comp", "size", "node", "copies", "text", blocks.alias("blocks"), side.alias("side"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select("comp", "pair.i", "pair.j", "side", "node", "copies", "text", (F.col("blocks") == 1).alias("last"))
-    dealt = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return dealt.mapInArrow(run, "node long, links long, root long, last boolean")
+    rows = rows.withColumn("pair", F.explode(pairs)).select("comp", "size", "pair.i", "pair.j", "side", "node", "copies", "text", (F.col("blocks") == 1).alias("last"))
+    # a group's pairs of blocks go to partitions in turn
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("comp") + F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i"), F.lit(n)).cast("int")
+    dealt = rows.repartitionById(n, turn).sortWithinPartitions("comp", "i", "j")
+    return dealt.mapInArrow(run, "node long, links long, root long, last boolean, comp long, size long, bins array<long>")
+
+
+def recall_of(bins: list[int], trees: int, depth: int, threshold: float) -> float:
+    """The share of all links that those found (by bins of similarity) are estimated to be; without links, that of pairs at the threshold."""
+    chance = lambda s: 1 - (1 - s**depth) ** trees
+    found = np.array(bins, np.float64)
+    if not found.any():
+        return chance(threshold)
+    low = np.maximum(np.arange(BINS) / BINS, threshold)
+    return float(found.sum() / (found / chance(low)).sum())
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = 32, depth: int = 8, recall: float = 0.999, block: int = 512, seed: int = 5) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = 32, depth: int = 9, recall: float = 0.999, block: int = 512, seed: int = 5) -> DataFrame:
     """doc_id, h1, h2 (of the text), class_id and n_links (other documents with an equal or similar text), for each row of docs."""
+    if trees > 255:
+        raise ValueError("at most 255 trees")
     ship(docs.sparkSession)
-    used = depth_for(threshold, trees, depth, recall)
-    signed = _signed(docs, words, trees, depth, used, seed)
-    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    least = depth_for(threshold, trees, depth, recall)
+    signed = _signed(docs, words, trees, depth, seed)
+    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    ties = keys.join(firsts, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    groups = components(ties)
-    size = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = nodes.drop("keys").join(groups, "node").join(size, "label").select(F.col("label").alias("comp"), "node", "copies", "size", "rep", "h1", "h2")
+    ties = checkpointed(forest_ties(nodes, trees, depth, least).groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest")
+    plain = nodes.drop("labels")
+    # the texts of all nodes that any depth may bring together, once
+    tied = ties.select(F.col("u").alias("node")).unionByName(ties.select(F.col("v").alias("node"))).distinct()
     texts = with_text_hash(docs).select(F.col("doc_id").alias("rep"), "h1", "h2", "text")
-    same = [members[c].eqNullSafe(texts[c]) for c in ("rep",)] + [members[c] == texts[c] for c in ("h1", "h2")]
-    members = members.join(texts, same).select("comp", "node", "copies", "size", "text")
-    found = checkpointed(_verified(members, words, Fraction(str(threshold)), block), "verified")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    own = found.where("last").select("node", F.col("root").alias("label"))
-    ties = found.where("not last and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    labels = own if ties.isEmpty() else own.unionByName(components(ties))
-    full = nodes.select("node", "h1", "h2", "rep", "copies").join(labels, "node", "left").join(links, "node", "left")
+    own = plain.join(tied, "node")
+    same = [own.rep.eqNullSafe(texts.rep), own.h1 == texts.h1, own.h2 == texts.h2]
+    texts = own.join(texts, same).groupBy("node", "copies").agg(F.first("text").alias("text"))
+    texts = checkpointed(texts.withColumn("n_bytes", F.octet_length("text")), "texts")
+    found, seen, size = [], None, None
+    for at in range(depth, least - 1, -1):
+        groups = checkpointed(components(ties.where(F.col("shared") >= at)), "groups")
+        sized = groups.join(texts.select("node", "n_bytes"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum("n_bytes").alias("total"))
+        size = checkpointed(sized, "sizes")
+        new = size if seen is None else size.join(seen, ["label", "size"], "left_anti")  # groups only grow: with the same size they are the same
+        members = groups.join(new, "label").join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("total").alias("n_bytes"), "node", "copies", "text")
+        found.append(checkpointed(_verified(members, words, Fraction(str(threshold)), block), "verified"))
+        seen = size.select("label", "size")
+        links = reduce(DataFrame.unionByName, found).join(seen.withColumnRenamed("label", "comp"), ["comp", "size"], "left_semi")
+        bins = links.where("bins is not null").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+        if recall_of([dict(map(tuple, bins)).get(k, 0) for k in range(BINS)], trees, at, threshold) >= recall:
+            break
+    links = links.where("node is not null")
+    sums = links.groupBy("node").agg(F.sum("links").alias("links"))
+    own = links.where("last").select("node", F.col("root").alias("label"))
+    ties = links.where("not last and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    label = own if ties.isEmpty() else own.unionByName(components(ties))
+    full = plain.join(label, "node", "left").join(sums, "node", "left")
     full = full.withColumns({"label": F.coalesce("label", "node"), "n_links": F.col("copies") - 1 + F.coalesce("links", F.lit(0))})
     ids = full.groupBy("label").agg(F.min("rep").alias("class_id"))
     full = full.join(ids, "label").select("h1", "h2", "class_id", "n_links")

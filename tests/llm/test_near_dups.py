@@ -86,5 +86,47 @@ def test_components(spark):
     assert {r.node: r.label for r in rows} == label and len(rows) == len(label)
 
 
+def test_hub(spark, monkeypatch):
+    monkeypatch.setattr("runlens.llm.components.SHARE", 0.0)
+    edges = [(5000 + k, 7) for k in range(3000)] + [(9000 + k, 9001 + k) for k in range(20)]
+    rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.label for r in rows} == {7: 7} | {5000 + k: 7 for k in range(3000)} | {9000 + k: 9000 for k in range(21)}
+
+
+def test_forest_ties_are_shared_prefixes(spark):
+    """Ties of d values or more join just the nodes that share a prefix of d values in some tree, however the sort is cut."""
+    rnd, trees, depth = random.Random(3), 3, 4
+    rows = [(k, bytes(x for _ in range(trees * depth) for x in (0, rnd.randrange(3)))) for k in range(60)] + [(100 + k, bytes(2 * trees * depth)) for k in range(9)] + [(999, None)]
+    nodes = spark.createDataFrame(rows, "node long, labels binary").repartition(4)
+    ties = near_dups.forest_ties(nodes, trees, depth, 1).collect()
+    for d in range(1, depth + 1):
+        parent = {k: k for k, _ in rows}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for t in range(trees):
+            first = {}
+            for k, x in rows[:-1]:
+                parent[root(k)] = root(first.setdefault(x[2 * depth * t : 2 * depth * t + 2 * d], k))
+        want = {frozenset(k for k in parent if root(k) == g) for g in map(root, list(parent))}
+        parent = {k: k for k, _ in rows}
+        for r in ties:
+            if r.shared >= d:
+                parent[root(r.u)] = root(r.v)
+        assert {frozenset(k for k in parent if root(k) == g) for g in map(root, list(parent))} == want
+
+
+def test_recall_is_estimated_from_links():
+    bins = [0] * near_dups.BINS
+    assert near_dups.recall_of(bins, 32, 8, 0.8) < 0.998
+    bins[-1] = 100
+    assert near_dups.recall_of(bins, 32, 9, 0.8) > 0.9999
+    bins[int(0.8 * near_dups.BINS)] = 100
+    assert near_dups.recall_of(bins, 32, 9, 0.8) < 0.999
+
+
 def test_depth():
     assert near_dups.depth_for(0.8, 32, 8, 0.999) == 7 and near_dups.depth_for(0.8, 32, 8, 0.9) == 8
