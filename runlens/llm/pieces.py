@@ -2,7 +2,9 @@
 
 `encoded` gives each whole text's piece ids, and decodes them again to see that nothing was lost; `decoded` turns ids into texts.
 Blanks are marks, and one blank is put before each text; a mark character in a text is spelled by byte pieces, so decoding restores every text.
-Defined results: a null or empty text has no pieces (null stays null); repeated rows are encoded each; extra columns are passed on by `keep`.
+Texts may be of any length: a part of over `LONG` characters is walked alone, in time linear in it. Of equally good paths that with the longer last
+piece is taken, from the end on.
+Defined results: a null or empty text has no pieces (null stays null); an empty table gives no rows; repeated rows are encoded each; extra columns are passed on by `keep`.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from runlens.llm.common import ship, slices
-from runlens.llm.unigram import MARK, OWN, Forest, Pieces, best_paths, parts_of, spell
+from runlens.llm.unigram import LONG, MARK, OWN, Forest, Pieces, best_paths, long_path, parts_of, spell
 
 
 class Encoder:
-    """Encodes texts part by part. Parts that recur are encoded once; the table of known parts is dropped at `most`, which changes no result."""
+    """Encodes texts part by part. Parts that recur are encoded once; the table of known parts is dropped at `most` bytes, which changes no result."""
 
-    def __init__(self, path: str, scores: str = "log", most: int = 400_000):
-        self.pieces, self.most = Pieces.load(path, scores), most
+    def __init__(self, path: str, scores: str = "log", most: int = 160 << 20):
+        self.pieces, self.most, self.held = Pieces.load(path, scores), most, 0
         own = [int(self.pieces.byte_ids[b]) for b in MARK.encode()]
         self._own = {OWN: np.array(own, np.int32).tobytes()}
         self.known = dict(self._own)
@@ -32,6 +34,11 @@ class Encoder:
         self._names = names
 
     def _learn(self, new: list[str]) -> None:
+        for x in new:
+            if len(x) > LONG:
+                self.known[x] = long_path(self.pieces, x.encode()).tobytes()
+                self.held += 5 * len(x)
+        new = [x for x in new if len(x) <= LONG]
         for i in range(0, len(new), 40_000):
             some = new[i : i + 40_000]
             forest = Forest([x.encode() for x in some], shared=False)
@@ -39,10 +46,11 @@ class Encoder:
             ids, start = spell(last, before, count, forest.terminal)
             raw, at = ids.tobytes(), (4 * start).tolist()
             self.known.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+            self.held += len(raw) + sum(map(len, some)) + 250 * len(some)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known = dict(self._own)
+        if self.held > self.most:
+            self.known, self.held = dict(self._own), 0
         parts = [parts_of(t) if t else [] for t in texts]
         self._learn(list(set().union(*parts) - self.known.keys()))
         get = self.known.__getitem__

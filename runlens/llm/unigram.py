@@ -217,3 +217,57 @@ def spell(last: np.ndarray, before: np.ndarray, count: np.ndarray, terminal: np.
         node[live] = before[node[live]]
         live = live[at[live] >= start[live]]
     return ids, start
+
+
+#: Bytes from which a part is walked alone: a level of a forest with one node costs as much as one with thousands.
+LONG = 400
+
+
+def long_path(pieces: Pieces, data: bytes, window: int = 1 << 16) -> np.ndarray:
+    """Ids of the best path of one long part, as `best_paths` finds it: the same sums in the same order, ties to the longer last piece.
+
+    The pieces that begin in a window of places are looked up together; the path takes them place by place. Time is linear in the part.
+    """
+    n, longest, trie, fall = len(data), pieces.longest, pieces.trie, pieces.fallback
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    last, size = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    none = float("-inf")
+    best, how, long = [0.0], [0], [0]  # of the places from the window's first on: score, piece and its length
+    for a in range(0, n, window):
+        b = min(a + window, n)
+        state, at, found = np.zeros(b - a, np.int64), np.arange(a, b), []
+        for k in range(longest):
+            inside = at + k < n
+            state, at = state[inside], at[inside]
+            state = trie.step(state, raw[at + k])
+            live = state >= 0
+            state, at = state[live], at[live]
+            if not len(at):
+                break
+            ends = trie.value[state] >= 0
+            found.append(np.stack([at[ends], np.full(int(ends.sum()), k + 1), trie.value[state[ends]]]))
+        starts, lengths, ids = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.argsort(starts, kind="stable")
+        bounds = np.searchsorted(starts[order], np.arange(a, b + 1)).tolist()
+        gains, lengths, ids = pieces.scores[ids[order]].tolist(), lengths[order].tolist(), ids[order].tolist()
+        for x, fill in ((best, none), (how, 0), (long, 0)):
+            x.extend([fill] * (b - a + longest + 1 - len(x)))
+        bytes_here = data[a:b]
+        for s in range(b - a):
+            score = best[s]
+            for k in range(bounds[s], bounds[s + 1]):
+                to = s + lengths[k]
+                gain = score + gains[k]
+                if gain > best[to]:
+                    best[to], how[to], long[to] = gain, ids[k], lengths[k]
+            # all pieces that end at the next place are known now
+            if best[s + 1] < score + fall:
+                best[s + 1], how[s + 1], long[s + 1] = score + fall, -1 - bytes_here[s], 1
+        last[a + 1 : b + 1], size[a + 1 : b + 1] = how[1 : b - a + 1], long[1 : b - a + 1]
+        best, how, long = best[b - a :], how[b - a :], long[b - a :]
+    out, at = [], n
+    while at:
+        out.append(int(last[at]))
+        at -= int(size[at])
+    ids = np.array(out[::-1], np.int64)
+    return np.where(ids < 0, pieces.byte_ids[np.where(ids < 0, -1 - ids, 0)], ids).astype(np.int32)

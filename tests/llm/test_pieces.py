@@ -1,10 +1,13 @@
+import base64
 import math
+import random
+import time
 
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from runlens.llm import pieces, token_counts
+from runlens.llm import pieces, token_counts, unigram
 from runlens.llm.unigram import MARK, DoubleArray, Pieces
 
 PATH = P.path("piece_bpe_32k.model")
@@ -71,3 +74,24 @@ def test_operators(spark, edge, edge_rows, empty, clashing):
     back = pieces.decoded(pieces.encoded(edge, PATH), PATH).collect()
     assert sorted(r.text for r in back) == sorted(r[1] or "" for r in edge_rows)
     assert pieces.encoded(empty, PATH).count() == 0 and token_counts.token_counts(empty, PATH).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from([*"abetionTHE7+/=", MARK, "é", "日"]), min_size=1, max_size=300), st.integers(1, 80))
+def test_long_parts_as_short_ones(text, window):
+    forest = unigram.Forest([text.encode()], shared=False)
+    _, count, last, before = unigram.best_paths(ENC.pieces, forest)
+    ids, _ = unigram.spell(last, before, count, forest.terminal)
+    assert unigram.long_path(ENC.pieces, text.encode(), window).tolist() == ids.tolist()
+
+
+def test_long_runs_take_linear_time():
+    rnd = random.Random(2)
+    for make in (lambda n: base64.b64encode(rnd.randbytes(n)).decode(), lambda n: "a" * n, lambda n: "日本" * (n // 6)):
+        took = []
+        for n in (200_000, 800_000):
+            text, t = make(n), time.process_time()
+            ids = ENC.encode([text])[0]
+            took.append(time.process_time() - t)
+            assert ENC.decode(ids.tolist()) == text and COUNT.counts([text])[0][0] == len(ids)
+        assert took[1] < 8 * took[0] + 0.5 and took[1] < 30
