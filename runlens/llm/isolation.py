@@ -6,9 +6,10 @@ the rows labelled good exceed, the one that best parts good from bad. `judged` s
 Rows are counted by label and score, to `GRID` parts of 1, before they leave the executors.
 
 Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
+Time is linear in a text (but for sorting its windows), so texts may be of any length.
 Defined results: null and empty texts have no words and fail the base rule; with no sample at all every document passes the method; with no
 row labelled good the threshold is the quantile `1 - most_clean` of all scores; rows with equal ids are judged one by one and count each;
-a document with several labels has the least of them; extra columns are kept by `judged`.
+a document with several labels has the least of them; an empty table gives no rows; extra columns are kept by `judged`.
 """
 
 from __future__ import annotations
@@ -197,16 +198,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_clean:
     if not len(rows):
         return grow(np.zeros((0, 6)), trees, subsample, seed)
     forest = grow(features(rows[[*COUNTS, *MORE]].to_numpy(np.int64)), trees, subsample, seed)
-    marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    step = F.least(F.floor(F.col("anomaly") * GRID), F.lit(GRID - 1)).cast("int")
-    scored = judged(docs, forest).where("NOT base_failed").select("doc_id", step.alias("step")).join(marks, "doc_id", "left")
-    counts = np.zeros((3, GRID), np.int64)
-    for r in scored.groupBy("quality", "step").agg(F.count("*").alias("n")).collect():
-        counts[2 if r.quality is None else int(r.quality), r.step] = r.n
-    forest.threshold = calibrated(counts[1] if counts[1].any() else counts.sum(axis=0), counts[0] if counts[1].any() else counts[0] * 0, most_clean)
+    marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    counts = _counted(docs, forest, marks)
+    good, bad = counts[1], counts[0]
+    if not good.any():
+        good, bad = _counted(docs, forest, None).sum(axis=0), bad * 0
+    forest.threshold = calibrated(good, bad, most_clean)
     return forest
 
 
+#: Up to so many labelled documents their ids go to the documents; more of them meet the documents' scores in a join.
+LABELS_BROADCAST = 1_000_000
+
+
+def _counted(docs: DataFrame, forest: Forest, marks: DataFrame | None) -> np.ndarray:
+    """Numbers of rows that pass the base rule, by quality (rows 0 and 1; 2 without marks) and step of the score. With marks, labelled rows alone."""
+    step = F.least(F.floor(F.col("anomaly") * GRID), F.lit(GRID - 1)).cast("int").alias("step")
+    scored = lambda d, *keep: judged(d, forest, keep).where("NOT base_failed").select(*keep, step)
+    if marks is None:
+        rows = scored(docs, "doc_id").select(F.lit(2).alias("quality"), "step")
+    elif marks.limit(LABELS_BROADCAST + 1).count() <= LABELS_BROADCAST:
+        rows = scored(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "doc_id", "quality")
+    else:
+        rows = scored(docs, "doc_id").join(marks, "doc_id")
+    counts = np.zeros((3, GRID), np.int64)
+    for r in rows.groupBy("quality", "step").agg(F.count("*").alias("n")).collect():
+        counts[r.quality, r.step] = r.n
+    return counts
+
+
 def judged(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, the rule figures, base_failed, the anomaly score and kept, for every document. text: the name of its column."""
     ship(docs.sparkSession)

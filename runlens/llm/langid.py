@@ -5,8 +5,10 @@ language, `windows` windows of `train_window` bytes each. `predicted` reads whol
 position with language probabilities, and a document's probabilities are their mean over all of its positions.
 
 Gates use x / (1 + |x|) in place of tanh and its shifted half in place of the logistic function: as good here, and cheaper.
+At most `MOST_LANGS` languages are learned, those with the most rows (ties by name). A position's label comes from its window of a text too, so that
+`labels` and `predicted` speak of the same probabilities. Time is linear in a text, so texts may be of any length.
 Defined results: a null text or one without letters is `und` with score 0; with no labelled rows every document is `und` with score 0; with one
-language everything with letters is that language; repeated rows are predicted each; extra columns are ignored.
+language everything with letters is that language; an empty table gives no rows; repeated rows are predicted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from runlens.llm.common import ship, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: More languages than this are no language column.
+#: Most languages that are learned.
 MOST_LANGS = 500
+#: Bytes that the network reads at a time.
+WINDOW = 128
 
 
 @dataclass
@@ -143,10 +147,16 @@ class Network:
         np.add.at(total, owner, sums)
         return total / np.maximum(size, 1)[:, None]
 
-    def labels(self, text: str) -> list[str]:
-        """The language of every byte position of a text."""
-        x = np.frombuffer(text.encode().translate(_LOWER), np.uint8).reshape(-1, 1)
-        return [self.langs[k] for k in self.probabilities(self.run(x, np.ones(x.shape, np.float32)))[:, 0].argmax(-1)] if len(x) else []
+    def labels(self, text: str, window: int = WINDOW) -> list[str]:
+        """The language of every byte position of a text, read in the same windows as in `pooled`."""
+        raw = text.encode().translate(_LOWER)
+        if not raw or not self.langs:
+            return []
+        size = -(-len(raw) // window)
+        x = np.frombuffer(raw.ljust(size * window, b"\0"), np.uint8).reshape(size, window).T
+        mask = (np.arange(size * window) < len(raw)).astype(np.float32).reshape(size, window).T
+        best = np.concatenate([self.probabilities(self.run(x[:, i : i + 1024], mask[:, i : i + 1024])).argmax(-1).T.ravel() for i in range(0, size, 1024)])
+        return [self.langs[k] for k in best[: len(raw)].tolist()]
 
 
 def train(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> list[float]:
@@ -172,9 +182,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 800, windo
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if learn is None else rows.where(learn)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    found = {r.lang: r.n for r in counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()}
-    if len(found) > MOST_LANGS:
-        raise ValueError(f"over {MOST_LANGS} languages")
+    found = {r.lang: r.n for r in counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(found)
     net = Network.new(langs, hidden, seed)
     if len(langs) < 2:
@@ -196,7 +204,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 800, windo
             yield pa.RecordBatch.from_arrays([pa.array(got["doc_id"], pa.int64()), pa.array(got["nth"], pa.int32()), pa.array(got["lang"], pa.string()), pa.array(got["part"], pa.binary())], names=[*got])
 
     # the order must not depend on how the rows were dealt
-    sample = some.mapInArrow(cut, "doc_id long, nth int, lang string, part binary").orderBy("doc_id", "nth", "part").limit(3 * per_lang * windows * len(langs)).collect()
+    sample = some.mapInArrow(cut, "doc_id long, nth int, lang string, part binary").orderBy("doc_id", "nth", "part", "lang").limit(3 * per_lang * windows * len(langs)).collect()
     if not sample:
         return net
     x, mask = np.zeros((train_window, len(sample)), np.uint8), np.zeros((train_window, len(sample)), np.float32)
@@ -206,7 +214,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 800, windo
     return net
 
 
-def predicted(docs: DataFrame, net: Network, window: int = 128) -> DataFrame:
+def predicted(docs: DataFrame, net: Network, window: int = WINDOW) -> DataFrame:
     """doc_id, lang_pred and score (its pooled probability) of every whole text."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)

@@ -6,12 +6,15 @@ over the distinct words of each batch of whole texts. A hit counts more with oth
 
 Words are maximal runs of letters, in lower case. Defined results: null and empty texts and texts without hits get the model's score for no hits;
 with no labelled rows, or only one class, the score is the (smoothed) share of toxic rows and the lexicon is empty; rows with equal ids are
-scored one by one; a document with several labels counts as toxic if one of them says so; extra columns are kept by `scored`.
+scored one by one; of rows with equal ids one, by the text's hash, is learned from; a document with several labels counts as toxic if one of them says so;
+an empty table gives no rows; texts may be of any length, as time is linear in a text; quotations end with their line; extra columns are kept by
+`scored`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import numbered, ship, slices
+from runlens.llm.common import checkpointed, numbered, ship, slices
 
 WORDS = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"“”„«»‹›]")
@@ -147,15 +150,14 @@ class Model:
         hits = [(i, met[w]) for i, w in enumerate(words) if w in met]
         quoted = set()
         if _QUOTES.search(text):
-            start = i = 0
+            i = 0
             for line in text.split("\n"):
                 marks = [m.start() for m in _QUOTES.finditer(line)]
                 for m in WORDS.finditer(line):
-                    before = sum(x < m.start() for x in marks) if m[0] in met else 0
+                    before = bisect_left(marks, m.start()) if m[0] in met else 0
                     if before % 2 and before < len(marks):
                         quoted.add(i)
                     i += 1
-                start += len(line) + 1
         at = np.array([i for i, _ in hits])
         entry, edited = np.array([(o - 1) // 2 for _, o in hits]), np.array([(o - 1) % 2 for _, o in hits], bool)
         stem = np.array([self.terms[e].endswith("*") for e in entry])
@@ -216,8 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, most_to
     n0, n1 = marks.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     by_hash = (F.xxhash64("doc_id", F.lit(11)), "doc_id")
     ids = marks.where("toxic = 1").orderBy(*by_hash).limit(most_toxic).unionByName(marks.where("toxic = 0").orderBy(*by_hash).limit(most_clean))
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(4)))
-    some.persist()
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]  # ids may recur
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("text"))
+    some = checkpointed(some.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(4))), "labelled")
     learn, test = some.where("part < 3"), some.where("part = 3")
     size = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     terms: list[str] = []
@@ -239,7 +242,6 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, most_to
             model.coefficients, own = logistic(x, y)
             # the sample has another share of toxic rows than the labels
             model.intercept = own + prior - float(np.log(y.sum() / (len(y) - y.sum())))
-    some.unpersist()
     return model
 
 

@@ -84,6 +84,15 @@ def test_an_id_that_recurs_leaves_the_sample_as_it_is(spark):
     assert (a.cut == b.cut).all() and a.threshold == b.threshold
 
 
+def test_many_labels_and_few_give_one_threshold(spark, monkeypatch):
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i % 90, prose(rnd, rnd.randint(30, 120)), "en", "s", 0) for i in range(120)], SCHEMA)
+    marks = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    few = isolation.fit(docs, marks)
+    monkeypatch.setattr(isolation, "LABELS_BROADCAST", 3)
+    assert isolation.fit(docs, marks).threshold == few.threshold
+
+
 def test_junk_goes_and_the_rest_stays(spark, edge, clashing, empty):
     rnd = random.Random(5)
     rows, labels = [], []

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -27,6 +28,44 @@ def test_gradients():
             assert abs((a - b) / 2e-2 - g[i]) < 2e-3 * max(abs(g[i]), 1e-2)
 
 
+def plain_forward(net, raw):
+    """One position and one direction after the other, in plain Python."""
+    soft = lambda v: v / (1 + abs(v))
+    width, states = net.recur.shape[1], []
+    for k, seen in enumerate((raw, raw[::-1])):
+        h, out = [0.0] * width, []
+        for byte in seen:
+            gx = [float(v) for v in net.embed[k][byte]]
+            gh = [sum(h[i] * float(net.recur[k][i][j]) for i in range(width)) for j in range(3 * width)]
+            z = [soft(gx[j] + gh[j]) / 2 + 0.5 for j in range(width)]
+            r = [soft(gx[width + j] + gh[width + j]) / 2 + 0.5 for j in range(width)]
+            n = [soft(gx[2 * width + j] + r[j] * gh[2 * width + j]) for j in range(width)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(width)]
+            out.append(h)
+        states.append(out if k == 0 else out[::-1])
+    rows = []
+    for ahead, back in zip(*states):
+        score = [sum(v * float(net.out[i][c]) for i, v in enumerate(ahead + back)) + float(net.bias[c]) for c in range(len(net.langs))]
+        top = [math.exp(v) for v in score]
+        rows.append([v / sum(top) for v in top])
+    return rows
+
+
+def test_forward_against_plain_python():
+    net = langid.Network.new(["a", "b", "c"], 4, 5)
+    text = "Any text, été 日 " * 5
+    raw = text.encode().translate(langid._LOWER)
+    want = [p for i in range(0, len(raw), 32) for p in plain_forward(net, raw[i : i + 32])]
+    assert np.allclose(net.pooled([raw], 32)[0], np.mean(want, axis=0), atol=1e-5)
+    assert net.labels(text, 32) == [net.langs[int(np.argmax(p))] for p in want]
+
+
+def test_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 40}", "s", 0) for i in range(90)], SCHEMA)
+    assert langid.fit(docs, steps=2).langs == ["l0", "l1", "l2"]
+
+
 def test_pooling_reads_whole_texts_and_lanes_change_nothing():
     net = langid.Network.new(["a", "b"], 4, 1)
     texts = [b"x" * 5, b"", b"abc" * 100, bytes(range(97, 120)) * 7, b"q"]

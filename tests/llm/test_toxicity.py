@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,6 +38,29 @@ def test_automaton_accepts_what_is_near(word):
         assert (got - 1) % 2 == min(fits)[0] and ((got - 1) % 2, (got - 1) // 2) in fits
 
 
+def test_quotes_against_counting_and_time():
+    model = toxicity.Model(["badword"], np.array([2.0]), toxicity.Automaton(["badword"]), np.zeros(toxicity.N_FEATURES), 0.0)
+    rnd = random.Random(4)
+    for _ in range(200):
+        text = "".join(rnd.choice(['"', " ", "badword", " ok ", "\n", "“"]) for _ in range(rnd.randint(1, 25)))
+        words, quoted = [], []
+        for line in text.split("\n"):
+            for m in toxicity.WORDS.finditer(line):
+                before = sum(c in '"“' for c in line[: m.start()])
+                words.append(m[0])
+                quoted.append(before % 2 == 1 and any(c in '"“' for c in line[m.start() :]))
+        hits = [i for i, w in enumerate(words) if w == "badword"]
+        near = {i: sum(abs(i - j) <= model.window for j in hits) - 1 for i in hits}
+        best = max((2.0 * (1 + 0.25 * np.log1p(near[i])) * (model.quoted_share if quoted[i] else 1.0) for i in hits), default=0.0)
+        assert abs(model.features([text])[0][0] - best) < 1e-9
+    took = []
+    for n in (8_000, 64_000):
+        t = time.process_time()
+        model.features(['"badword" ok ' * n])
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0] + 0.5
+
+
 def labelled(spark, n=900):
     rnd = random.Random(1)
     docs, labels = [], []
