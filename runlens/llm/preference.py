@@ -54,15 +54,16 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.coalesce(first, most)).otherwise(0)
 
 
-def formatted(pairs: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """pairs: pair_id, chosen, rejected (arrays of turns; null is empty). Returns the prompt, completions and masks of each pair."""
+def formatted(pairs: DataFrame, trained: tuple[str, ...] = ("assistant",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """pairs: pair_id, chosen, rejected (arrays of turns; null is empty). Returns the prompt, completions and masks of each pair, and `keep`."""
     empty = F.array().cast(f"array<{TURN}>")
-    rows = pairs.select("pair_id", F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
+    rows = pairs.select("pair_id", *keep, F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
     rows = rows.withColumn("n_prompt_turns", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.size(c))
     rows = rows.withColumns({"head": F.slice("chosen", F.lit(1), F.col("n_prompt_turns")), "a": rest(F.col("chosen")), "b": rest(F.col("rejected"))})
     return rows.select(
         "pair_id",
+        *keep,
         "n_prompt_turns",
         rendered(F.col("head")).alias("prompt"),
         rendered(F.col("a")).alias("chosen"),
@@ -73,6 +74,38 @@ def formatted(pairs: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
     )
 
 
+def last_answer(turns: Column) -> Column:
+    """The place (from 1) of the last assistant turn, 0 if there is none."""
+    places = F.transform(turns, lambda x, i: F.when(x["role"] == "assistant", i + 1))
+    return F.coalesce(F.array_max(places), F.lit(0))
+
+
+def branched(turns: DataFrame) -> DataFrame:
+    """One pair for each conversation, from plain conversations: pair_id, pairing, chosen, rejected.
+
+    Chosen is a conversation up to its last assistant turn. Rejected keeps its first `pair_id` modulo (number of these turns) turns and goes on with the
+    turns that the partner, cut in the same way, has from there on, or with the partner's last answer if it is shorter. Partners are the
+    conversations whose ids differ in the lowest bit, so both stand in one group of the only shuffle, whatever the turns hold. `pairing` says `paired`,
+    `no_partner` (that is absent or without an answer: rejected is null) or `no_answer` (both are null).
+    """
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "conv_id")))
+    both = turns.where(F.col("conv_id").isNotNull()).groupBy(F.shiftright("conv_id", 1).alias("two")).agg(rows.alias("rows"))
+
+    def side(bit: int) -> Column:
+        id_ = F.shiftleft("two", 1) + bit
+        own = F.transform(F.filter("rows", lambda x: x["conv_id"] == id_), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+        return F.struct(id_.alias("id"), F.size(own).alias("n"), F.slice(own, F.lit(1), last_answer(own)).alias("turns"))
+
+    both = both.select(side(0).alias("a"), side(1).alias("b"))
+    each = both.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("p")).select("p.*").where("own.n > 0")
+    n, m = F.size("own.turns"), F.size("other.turns")
+    kept = F.pmod(F.col("own.id"), F.greatest(n, F.lit(1))).cast("int")
+    start = F.least(kept, m - 1)
+    rejected = F.concat(F.slice("own.turns", F.lit(1), kept), F.slice("other.turns", start + 1, m - start))
+    pairing = F.when(n == 0, "no_answer").when(m == 0, "no_partner").otherwise("paired")
+    return each.select(F.col("own.id").alias("pair_id"), pairing.alias("pairing"), F.when(n > 0, F.col("own.turns")).alias("chosen"), F.when((n > 0) & (m > 0), rejected).alias("rejected"))
+
+
 def swapped_answers(turns: DataFrame, unpaired: bool = False) -> DataFrame:
     """Pairs from plain conversations: chosen is a conversation up to its last assistant turn, rejected the same with the last answer of its neighbour.
 

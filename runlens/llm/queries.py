@@ -13,26 +13,33 @@ from runlens.llm.common import fold, table
 
 
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    pairs = preference.branched(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return preference.formatted(pairs).withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+    return preference.formatted(pairs, keep=("pairing",)).withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 OP1_SQL = """
-WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-                  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r
-           FROM conversations WHERE conv_id IS NOT NULL),
-     l AS (SELECT conv_id, max(k) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
-     a AS (SELECT t.conv_id, n, text, r FROM t JOIN l ON t.conv_id = l.conv_id AND t.k = l.n),
-     p AS (SELECT t.conv_id, string_agg(t.r, '' ORDER BY t.k) AS lead FROM t JOIN l ON t.conv_id = l.conv_id AND t.k < l.n GROUP BY t.conv_id),
-     j AS (SELECT c.conv_id, c.n, coalesce(lead, '') AS lead, c.r AS cr, d.r AS dr, c.text IS NOT DISTINCT FROM d.text AS same
-           FROM a c JOIN a d ON d.conv_id = xor(c.conv_id, 1) LEFT JOIN p ON p.conv_id = c.conv_id)
-SELECT conv_id AS pair_id, (n - CASE WHEN same THEN 0 ELSE 1 END)::INTEGER AS n_prompt_turns,
-       lead || CASE WHEN same THEN cr ELSE '' END AS prompt,
-       CASE WHEN same THEN '' ELSE cr END AS chosen, CASE WHEN same THEN '' ELSE dr END AS rejected,
-       CASE WHEN same THEN '' ELSE '14-' || length(cr) END AS chosen_mask, CASE WHEN same THEN '' ELSE '14-' || length(dr) END AS rejected_mask,
-       same AS identical
-FROM j
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+     l AS (SELECT conv_id, coalesce(max(CASE WHEN role = 'assistant' THEN k END), 0) AS n FROM t GROUP BY conv_id),
+     b AS (SELECT l.conv_id, l.n, coalesce(d.n, 0) AS m, CASE WHEN l.n > 0 THEN l.conv_id % l.n ELSE 0 END AS kept FROM l LEFT JOIN l d ON d.conv_id = xor(l.conv_id, 1)),
+     c AS (SELECT t.conv_id, k, role, text FROM t JOIN l ON t.conv_id = l.conv_id AND t.k <= l.n),
+     r AS (SELECT b.conv_id, k, role, text FROM b JOIN c ON c.conv_id = b.conv_id AND k <= kept WHERE n > 0 AND m > 0
+           UNION ALL
+           SELECT b.conv_id, k - least(kept, m - 1) + kept, role, text FROM b JOIN c ON c.conv_id = xor(b.conv_id, 1) AND k > least(kept, m - 1) WHERE n > 0 AND m > 0),
+     f AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+                  min(CASE WHEN c.k IS NULL OR r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text THEN coalesce(c.k, r.k) END) AS first, max(coalesce(c.k, r.k)) AS most
+           FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.k = r.k GROUP BY 1),
+     p AS (SELECT b.conv_id, n, m, coalesce(first - 1, most, 0) AS pre FROM b LEFT JOIN f ON f.conv_id = b.conv_id),
+     s AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r', * FROM r),
+     w AS (SELECT side, s.conv_id, k, pre, coalesce(role = 'assistant', false) AS trained, length('<|' || coalesce(role, 'unknown') || '|>' || chr(10)) AS h,
+                  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS x FROM s JOIN p ON p.conv_id = s.conv_id),
+     o AS (SELECT *, sum(CASE WHEN k > pre THEN length(x) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY k) AS stop FROM w),
+     g AS (SELECT side, conv_id, coalesce(string_agg(x, '' ORDER BY k) FILTER (k <= pre), '') AS prompt, coalesce(string_agg(x, '' ORDER BY k) FILTER (k > pre), '') AS rest,
+                  coalesce(string_agg((stop - length(x) + h)::BIGINT || '-' || stop::BIGINT, ',' ORDER BY k) FILTER (k > pre AND trained), '') AS mask FROM o GROUP BY side, conv_id)
+SELECT p.conv_id AS pair_id, CASE WHEN n = 0 THEN 'no_answer' WHEN m = 0 THEN 'no_partner' ELSE 'paired' END AS pairing, pre::INTEGER AS n_prompt_turns, coalesce(gc.prompt, '') AS prompt,
+       coalesce(gc.rest, '') AS chosen, coalesce(gr.rest, '') AS rejected, coalesce(gc.mask, '') AS chosen_mask, coalesce(gr.mask, '') AS rejected_mask,
+       coalesce(gc.rest, '') = '' AND coalesce(gr.rest, '') = '' AS identical
+FROM p LEFT JOIN g gc ON gc.conv_id = p.conv_id AND gc.side = 'c' LEFT JOIN g gr ON gr.conv_id = p.conv_id AND gr.side = 'r'
 """
 
 

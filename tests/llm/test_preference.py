@@ -1,7 +1,10 @@
+import random
+
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from runlens.llm import preference
+from runlens.llm import preference, queries
 
 TURNS = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", None]), st.sampled_from(["a", "bé", "", "a\n", None])), max_size=5)
 
@@ -57,3 +60,40 @@ def test_unpaired_conversations_can_be_kept(spark):
     out = {r.pair_id: r for r in preference.formatted(preference.swapped_answers(turns, unpaired=True)).collect()}
     assert (out[4].n_prompt_turns, out[4].chosen, out[4].rejected, out[4].rejected_mask) == (0, "<|user|>\nq<|end|>\n<|assistant|>\nalone<|end|>\n", "", [])
     assert not out[4].identical and out[8].identical
+
+
+def test_branches(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (0, 3, "assistant", "b"), (1, 0, "user", "q"), (1, 1, "assistant", "c"), (1, 2, "user", "left out"),
+            (5, 0, "user", "q"), (5, 1, "assistant", "alone"), (6, 0, "user", "no answer"), (7, 0, "system", "s"), (7, 1, "user", "u"), (7, 2, "assistant", "v"), (-3, 0, "assistant", None), (-4, 0, "assistant", "x"), (None, 0, "assistant", "z")]
+    turns = spark.createDataFrame([(*r, "mine") for r in rows], "conv_id long, turn long, role string, text string, pairing string")
+    pairs = {r.pair_id: r for r in preference.branched(turns).collect()}
+    plain = lambda x: x and "".join(t.text or "-" for t in x)
+    assert {k: (r.pairing, plain(r.chosen), plain(r.rejected)) for k, r in pairs.items()} == {
+        0: ("paired", "qarb", "qc"), 1: ("paired", "qc", "qarb"), 5: ("no_partner", "qalone", None), 6: ("no_answer", None, None), 7: ("no_partner", "suv", None), -3: ("paired", "-", "x"), -4: ("paired", "x", "-"),
+    }
+    out = {r.pair_id: r for r in preference.formatted(preference.branched(turns), keep=("pairing",)).collect()}
+    assert out[0].n_prompt_turns == 1 and out[1].n_prompt_turns == 1 and out[6].pairing == "no_answer" and out[6].chosen == ""
+    assert preference.branched(turns.limit(0)).count() == 0
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = []
+    for i in rnd.sample(range(60), 45):
+        rows += [(i, k, rnd.choice(["user", "assistant", "assistant", "system"]), rnd.choice(["a", "b", "été\n"])) for k in range(rnd.randint(1, 7))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    convs = {}
+    for i, k, role, text in sorted(rows):
+        convs.setdefault(i, []).append((role, text))
+    cut = {i: c[: max([k + 1 for k, t in enumerate(c) if t[0] == "assistant"], default=0)] for i, c in convs.items()}
+    want, masks = {}, lambda m: ",".join(f"{a}-{b}" for a, b in m)
+    for i, a in cut.items():
+        d, k = cut.get(i ^ 1, []), i % max(len(a), 1)
+        b = a[:k] + d[min(k, len(d) - 1) :] if a and d else []
+        n, prompt, ca, ma, cb, mb, same = brute(a, b)
+        want[i] = ("paired" if a and d else "no_partner" if a else "no_answer", n, prompt, ca, cb, masks(ma), masks(mb), same)
+    found = queries.op1_preference_pairs(spark, str(tmp_path)).collect()
+    assert {r.pair_id: tuple(r)[1:] for r in found} == want and len({r.n_prompt_turns for r in found}) > 3
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in db.execute(queries.OP1_SQL).fetchall()} == want
