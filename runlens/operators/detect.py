@@ -33,8 +33,8 @@ class Config:
     enabled: tuple[str, ...] | None = None
 
     def __post_init__(self):
-        if self.gap_seconds < 1:
-            raise ValueError("gap_seconds must be at least 1")
+        if self.gap_seconds < 0:
+            raise ValueError("gap_seconds must be at least 0")
         if unknown := set(self.enabled or ()) - set(DETECTORS):
             raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
 
@@ -127,8 +127,12 @@ def agent_loop(spans: DataFrame, warnings: DataFrame | None, config: Config) ->
     """An agent that does the same one to eight model calls three times or more in a row."""
     calls = signatures(spans)
     keys = ("trace_id", "agent_id")
-    found = loops(calls, keys)
-    inside = found.join(calls, [*keys]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("period") * F.col("repeats")))
+    found = loops(calls, keys).select(*keys, F.col("start").alias("pos"), F.struct("period", "start", "repeats").alias("loop"), F.lit(0).alias("call"))
+    # a call's loop: the last that began at or before it (loops of one agent don't overlap)
+    marked = calls.withColumn("call", F.lit(1)).unionByName(found, allowMissingColumns=True)
+    at = Window.partitionBy(*keys).orderBy("pos", "call").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("loop", F.last("loop", ignorenulls=True).over(at)).where("call = 1 and loop is not null").drop("call").select("*", "loop.*").drop("loop")
+    inside = inside.where(F.col("pos") < F.col("start") + F.col("period") * F.col("repeats"))
     rows = inside.groupBy(*keys, "period", "start", "repeats").agg(
         F.array_sort(F.collect_list("seq")).alias("all_seqs"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("text_preview", "seq").alias("text"),
         F.array_sort(F.collect_list(F.when(F.col("pos") >= F.col("start") + F.col("period"), F.col("seq")))).alias("waste"),
@@ -206,29 +210,80 @@ def gaps(spans: DataFrame, seconds: int) -> DataFrame:
     return rows.where(F.col("gap_ms") >= seconds * 1000).withColumnRenamed("seq", "before_seq")
 
 
-def coverage(found: DataFrame, spans: DataFrame, seconds: int, bin_seconds: int | None = None) -> DataFrame:
-    """Milliseconds of each gap during which other agents' spans ran: overlaps by an equi-join on time bins, clipped and united gap by gap.
-
-    A gap and an interval meet in the first bin that both touch, so each pair is made once, and bins are as long as the shortest gap.
+def active_runs(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """When agents worked: `runs` (trace_id, s, e), united over all agents, and `alone` (trace_id, agent_id, gs, ge, s, e): the parts in which an agent
+    worked alone, with the run that each lies in. One sweep over a trace's starts and ends; both are linear in its spans."""
+    busy = spans.where("start is not null and end > start").select("trace_id", "agent_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    by = Window.partitionBy("trace_id", "agent_id").orderBy("s", "e")
+    new = F.coalesce(F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    own = busy.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(by))
+    own = own.groupBy("trace_id", "agent_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    # with one agent at work the sum of numbers is that agent's number
+    own = own.withColumn("number", F.dense_rank().over(Window.partitionBy("trace_id").orderBy("agent_id")).cast("long"))
+    step = lambda t, sign: F.struct(F.col(t).alias("t"), F.lit(sign).alias("n"), (F.col("number") * sign).alias("sum"))
+    points = own.select("trace_id", F.explode(F.array(step("s", 1), step("e", -1))).alias("p")).groupBy("trace_id", "p.t").agg(F.sum("p.n").alias("n"), F.sum("p.sum").alias("sum"))
+    at = Window.partitionBy("trace_id").orderBy("t")
+    parts = points.select("trace_id", F.col("t").alias("s"), F.lead("t").over(at).alias("e"), F.sum("n").over(at).alias("n"), F.sum("sum").over(at).alias("number"))
+    parts = parts.withColumn("run", F.sum((F.col("n") == 0).cast("int")).over(Window.partitionBy("trace_id").orderBy("s"))).where("n > 0")
+    edge = Window.partitionBy("trace_id", "run")
+    runs = parts.groupBy("trace_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+    names = own.select("trace_id", "number", "agent_id").distinct()
+    alone = parts.withColumns({"gs": F.min("s").over(edge), "ge": F.max("e").over(edge)}).where("n = 1").join(names, ["trace_id", "number"])
+    return runs, alone.select("trace_id", "agent_id", "gs", "ge", "s", "e")
+
+
+def coverage(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Milliseconds of each gap during which other agents' spans ran, united; each run, clipped to the gap, counts in whole milliseconds.
+
+    The runs of all agents, with prefix sums, serve every agent; for the few in which an agent worked alone it has its own runs in their place. Both
+    ends of a gap look up the sum before them and the run around them, so no gap meets another agent's spans, and work is linear in spans and gaps.
     """
-    size = (bin_seconds or max(seconds, 1)) * 1_000_000
-    bin_of = lambda c: F.floor(F.unix_micros(c) / F.lit(size).cast("decimal(20,0)")).cast("long")
-    g = found.withColumns({"g0": bin_of(F.col("a")), "bin": F.explode(F.sequence(bin_of(F.col("a")), bin_of(F.col("b"))))})
-    o = spans.where("start is not null and end > start").select("trace_id", F.col("agent_id").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
-    o = o.withColumns({"o0": bin_of(F.col("s")), "bin": F.explode(F.sequence(bin_of(F.col("s")), bin_of(F.col("e"))))})
-    both = g.join(o, ["trace_id", "bin"]).where((F.col("other") != F.col("agent_id")) & (F.col("s") < F.col("b")) & (F.col("e") > F.col("a")) & (F.col("bin") == F.greatest("g0", "o0")))
-    key = ("trace_id", "agent_id", "before_seq")
-    clipped = both.select(*key, F.greatest("s", "a").alias("s"), F.least("e", "b").alias("e"))
-    by = Window.partitionBy(*key).orderBy("s", "e")
-    islands = clipped.withColumn("new", F.coalesce(F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
-    islands = islands.withColumn("run", F.sum(F.col("new").cast("int")).over(by)).groupBy(*key, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    sums = islands.groupBy(*key).agg(F.sum(millis_between(F.col("s"), F.col("e"))).alias("covered_ms"))
-    return found.join(sums, [*key], "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0)))
+    runs, alone = active_runs(spans)
+    span = lambda a, b: F.struct(F.col(a).alias("s"), F.col(b).alias("e"))
+    ms = lambda r: millis_between(r["s"], r["e"])
+    kind = "struct<s:timestamp,e:timestamp>"
+
+    def events(rows: DataFrame, keys: tuple[str, ...], column: str, r: Column, sign: int) -> DataFrame:
+        """A row at the start that names the run, and one at its end that adds its milliseconds."""
+        first = F.struct(r["s"].alias("t"), r.alias(column), F.lit(0).cast("long").alias("add"))
+        last = F.struct(r["e"].alias("t"), F.lit(None).cast(kind).alias(column), (ms(r) * sign).alias("add"))
+        return rows.select(*keys, F.explode(F.array(first, last)).alias("x")).select(*keys, "x.*").withColumn("asks", F.lit(0))
+
+    def looked_up(asked: DataFrame, told: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], total: str) -> DataFrame:
+        rows = told.unionByName(asked.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+        by = Window.partitionBy(*keys).orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(by) for c in columns} | {total: F.coalesce(F.sum("add").over(by), F.lit(0))})
+        return rows.where("asks = 1").select(*asked.columns, *columns, total)
+
+    key = ("trace_id", "agent_id")
+    ends = found.where("b > a").select(*key, "before_seq", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(0).alias("side")), F.struct(F.col("b").alias("t"), F.lit(1).alias("side")))).alias("x")).select(*key, "before_seq", "x.*")
+    ends = looked_up(ends, events(runs, ("trace_id",), "all", span("s", "e"), 1), ("trace_id",), ("all",), "before_all")
+    # an agent's own runs: what lies between its lonely parts, in each run that has some
+    by = Window.partitionBy(*key, "gs").orderBy("s")
+    pieces = alone.select(*key, span("gs", "ge").alias("whole"), F.coalesce(F.lag("e").over(by), F.col("gs")).alias("s0"), F.col("s").alias("e0"), F.when(F.lead("s").over(by).isNull(), F.col("e")).alias("rest"))
+    pieces = pieces.select(*key, "whole", F.explode(F.array(span("s0", "e0"), F.struct(F.col("rest").alias("s"), F.col("whole.e").alias("e")))).alias("piece"))
+    pieces = pieces.where("piece.e > piece.s").select(*key, "piece")
+    wholes = alone.select(*key, span("gs", "ge").alias("whole")).distinct()
+    own = events(pieces, key, "piece", F.col("piece"), 1).unionByName(events(wholes, key, "whole", F.col("whole"), -1), allowMissingColumns=True)
+    ends = looked_up(ends, own, key, ("whole", "piece"), "before_own")
+    holds = lambda c: F.when((F.col(c)["s"] <= F.col("t")) & (F.col(c)["e"] > F.col("t")), F.col(c))
+    around = F.when(holds("whole").isNotNull(), holds("piece")).otherwise(holds("all"))
+    ends = ends.withColumns({"around": around, "before": F.col("before_all") + F.col("before_own")})
+    side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    ends = ends.groupBy(*key, "before_seq").agg(*(side(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("t", "around", "before")))
+    first, last = F.col("around0"), F.col("around1")
+    inner = F.col("before1") - F.col("before0")
+    inner += F.when(first.isNotNull(), millis_between(F.col("t0"), first["e"]) - ms(first)).otherwise(0)
+    inner += F.when(last.isNotNull(), millis_between(last["s"], F.col("t1"))).otherwise(0)
+    # a gap inside one run is covered whole
+    covered = F.when(first.isNotNull() & (first["e"] >= F.col("t1")), millis_between(F.col("t0"), F.col("t1"))).otherwise(inner)
+    sums = ends.select(*key, "before_seq", covered.alias("covered_ms"))
+    return found.join(sums, [*key, "before_seq"], "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0)))
 
 
 def blocked_agent(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
     """Long gaps of an agent of which other agents' work explains less than half."""
-    rows = coverage(gaps(spans, config.gap_seconds), spans, config.gap_seconds).where(F.col("covered_ms") * 2 < F.col("gap_ms"))
+    rows = coverage(gaps(spans, config.gap_seconds), spans).where(F.col("covered_ms") * 2 < F.col("gap_ms"))
     rows = rows.withColumn("gap_seconds", F.floor(F.col("gap_ms") / 1000).cast("long"))
     rows = rows.withColumns({"severity": F.when(F.col("gap_seconds") >= GAP_CRITICAL, "critical").otherwise("warning"), "all_seqs": F.array("before_seq", "after_seq"), "agents": F.array("agent_id"), "texts": F.array().cast("array<string>")})
     return finished(rows, "blocked_agent", [(k, F.col(k), False) for k in ("after_seq", "before_seq", "gap_seconds")], F.format_string("nothing for %d seconds after span %d", "gap_seconds", "before_seq"))

@@ -220,7 +220,7 @@ def q13_gap_coverage(spark, d):
 @query(EV + GAPS + COVER + "SELECT trace_id, agent_id, seq::INTEGER AS before_seq, gap_ms, covered_ms FROM v")
 def q34_covered_ms(spark, d):
     spans = ev_spans(spark, d)
-    return detect.coverage(detect.gaps(spans, GAP), spans, GAP).select("trace_id", "agent_id", "before_seq", "gap_ms", "covered_ms")
+    return detect.coverage(detect.gaps(spans, GAP), spans).select("trace_id", "agent_id", "before_seq", "gap_ms", "covered_ms")
 
 
 @query(EV + """,

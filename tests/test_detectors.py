@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -64,23 +66,58 @@ def test_storms_match_brute_force(spark):
         assert sorted(got.get(k, [])) == brute_storms(c), c
 
 
-def test_coverage_matches_brute_force(spark):
-    rnd = random.Random(3)
-    rows, t = [], 0.0
-    for k in range(200):
-        t += rnd.choice([1, 30, 90, 400])
-        rows.append({"agent_id": rnd.choice("abc"), "start": t, "end": t + rnd.choice([0, 5, 60, 300])})
-    spans = spans_of(spark, rows)
-    got = {(r.agent_id, r.before_seq): (r.gap_ms, r.covered_ms) for r in detect.coverage(detect.gaps(spans, 60), spans, 60).collect()}
+def brute_coverage(rows, seconds):
+    """Other agents' intervals, clipped to each gap and united one by one; whole milliseconds of each united part."""
     want = {}
-    for a in "abc":
+    for a in {r["agent_id"] for r in rows}:
         own = [(k, r) for k, r in enumerate(rows) if r["agent_id"] == a]
         for (k, x), (_, y) in zip(own, own[1:]):
-            gap = max(0, y["start"] - x["end"])
-            if gap >= 60:
-                ticks = {s for r in rows if r["agent_id"] != a for s in range(int(max(r["start"], x["end"])), int(min(r["end"], y["start"])))}
-                want[a, k] = (gap * 1000, len(ticks) * 1000)
-    assert got == want and any(c for _, c in want.values())
+            gap = max(0, math.floor(round((y["start"] - x["end"]) * 1e6) / 1000))
+            if gap >= seconds * 1000:
+                united = []
+                for s, e in sorted((max(r["start"], x["end"]), min(r["end"], y["start"])) for r in rows if r["agent_id"] != a and r["end"] > r["start"]):
+                    if e > s and united and s <= united[-1][1]:
+                        united[-1][1] = max(e, united[-1][1])
+                    elif e > s:
+                        united.append([s, e])
+                want[a, k] = (gap, sum(math.floor(round((e - s) * 1e6) / 1000) for s, e in united))
+    return want
+
+
+def test_coverage_matches_brute_force(spark):
+    rnd = random.Random(3)
+    for agents, seconds, fine in (("abc", 60, 1), ("ab", 1, 1), ("abcdefgh", 30, 1000), ("a", 0, 1), ("abc", 0, 1000)):
+        rows, t = [], 0.0
+        for k in range(200):
+            t += rnd.choice([0, 1, 30, 90, 400]) if fine == 1 else rnd.randint(0, 90_000_000) / 1e6
+            rows.append({"agent_id": rnd.choice(agents), "start": t, "end": t + (rnd.choice([0, 5, 60, 300]) if fine == 1 else rnd.randint(0, 90_000_000) / 1e6)})
+        rnd.shuffle(rows)
+        rows[:150] = sorted(rows[:150], key=lambda r: r["start"])
+        spans = spans_of(spark, rows)
+        got = {(r.agent_id, r.before_seq): (r.gap_ms, r.covered_ms) for r in detect.coverage(detect.gaps(spans, seconds), spans).collect()}
+        assert got == brute_coverage(rows, seconds)
+        assert agents == "a" or any(c for _, c in got.values())
+
+
+def seconds_of(make):
+    t = time.time()
+    make().write.format("noop").mode("overwrite").save()
+    return time.time() - t
+
+
+def test_growth_is_near_linear(spark):
+    """One agent with nothing but errors, and two that take turns with every gap over the threshold: four times the spans, at most eight times the time."""
+    fail = {"kind": "tool_call", "tool_name": "read", "tool_input_digest": "d", "tool_result_status": "error"}
+    errors = lambda n: spans_of(spark, [fail | {"start": k, "end": k} for k in range(n)])
+    turns = lambda n: spans_of(spark, [{"agent_id": "ab"[k % 2], "start": 200 * k, "end": 200 * k + 100} for k in range(n)])
+    for shape, slug, found in ((errors, "retry_storm", lambda n: 1), (turns, "blocked_agent", lambda n: n - 2)):
+        seconds_of(lambda: detect.DETECTORS[slug](shape(100), None, CFG))
+        took = []
+        for n in (2500, 10_000):
+            spans = shape(n)
+            took.append(seconds_of(lambda: detect.DETECTORS[slug](spans, None, CFG)))
+            assert detect.DETECTORS[slug](spans, None, CFG).count() == found(n)
+        assert took[1] <= 8 * max(took[0], 0.5)
 
 
 def findings(spans, slug):
