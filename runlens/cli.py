@@ -89,7 +89,7 @@ def run(argv: list[str], stdout, stderr, spark=None) -> int:
     if bad := tables["fatal"].first():
         raise InputError(bad.code, f"file {bad.file_index}, line {bad.line}")
     trace = tables["source_files"].first().trace_id
-    texts = ({args.json_out: report.json_parts(report.streamed(tables, trace))} if args.json_out else {}) | ({args.html_out: report.html_report(tables, trace)} if args.html_out else {})
+    texts = ({args.json_out: report.json_parts(report.streamed(tables, trace, not args.no_previews))} if args.json_out else {}) | ({args.html_out: report.html_report(tables, trace)} if args.html_out else {})
     report.write_all(texts)
     if args.tables:
         analyze.write_tables(tables, args.tables)

@@ -10,10 +10,11 @@ import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from runlens.functions.text import escape_html, redact
+from runlens.functions.text import escape_html, json_text, redact
 from runlens.functions.time import format_timestamp
 from runlens.schema import SEVERITIES, VERSION
 
@@ -21,15 +22,36 @@ from runlens.schema import SEVERITIES, VERSION
 SPAN_ROWS, UNTIMED_ROWS, FINDING_ROWS = 5000, 200, 10_000
 
 
-def free_text(df: DataFrame, *columns: str) -> DataFrame:
-    """Redacts the columns that hold text of the trace; arrays element by element."""
-    kinds = dict(df.dtypes)
-    return df.withColumns({c: F.transform(c, redact) if kinds[c].startswith("array") else redact(F.col(c)) for c in columns})
+#: Columns, and fields of structs, that hold free text of the trace; without previews they are empty where they aren't null.
+FREE_TEXT = ("text_preview", "tool_input_preview", "tool_result_preview", "model", "stop_reason", "tool_name", "tool_use_id", "detail", "description", "agent_type", "previews")
+#: Metrics that are text.
+TEXT_METRICS = ("tool_name", "reason", "kinds", "dimension")
 
 
-def span_documents(spans: DataFrame, costs: DataFrame) -> DataFrame:
+def safe(value: Column, kind: DataType, blank: bool = False) -> Column:
+    """Every string in a value is redacted, in arrays and structs too; blank: free text becomes empty."""
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), "") if blank else redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: safe(x, kind.elementType, blank))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(safe(value[f.name], f.dataType, blank and f.name in FREE_TEXT).alias(f.name) for f in kind)))
+    return value
+
+
+def redacted(df: DataFrame, previews: bool = True) -> DataFrame:
+    """The table with all its strings redacted but `metrics` (JSON), of which the text values are. Ids of Spark's making hold digests only."""
+    shown = {f.name: safe(F.col(f.name), f.dataType, not previews and (f.name in FREE_TEXT or f.name == "error")) for f in df.schema if f.name not in ("trace_id", "metrics")}
+    if "metrics" in df.columns:
+        each = F.array_sort(F.map_entries(F.from_json("metrics", "map<string,string>")))
+        pair = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.when(e["key"].isin(*TEXT_METRICS), json_text(redact(e["value"]))).otherwise(e["value"]))
+        shown["metrics"] = F.concat(F.lit("{"), F.array_join(F.transform(each, pair), ","), F.lit("}"))
+    return df.withColumns(shown)
+
+
+def span_documents(spans: DataFrame, costs: DataFrame, previews: bool = True) -> DataFrame:
     """trace_id, seq, document (JSON) of every span, redacted, with its cost as a string of six places."""
-    rows = free_text(spans, "text_preview", "tool_input_preview", "tool_result_preview").join(costs.select("trace_id", "seq", "cost_usd", "reason"), ["trace_id", "seq"], "left")
+    rows = redacted(spans, previews).join(costs.select("trace_id", "seq", "cost_usd", "reason"), ["trace_id", "seq"], "left")
     rows = rows.withColumns({"start": format_timestamp(F.col("start")), "end": format_timestamp(F.col("end")), "cost_usd": F.col("cost_usd").cast("string")})
     return rows.select("trace_id", "seq", F.to_json(F.struct(*(c for c in rows.columns if c != "trace_id")), {"ignoreNullFields": "false"}).alias("document"))
 
@@ -38,23 +60,29 @@ def _plain(value):
     return json.loads(json.dumps(value, default=str))
 
 
-def streamed(tables: dict[str, DataFrame], trace_id: str) -> dict:
+def last_timestamp(spans: DataFrame) -> DataFrame:
+    """trace_id, last_timestamp: the latest time of any span; null without times."""
+    return spans.groupBy("trace_id").agg(format_timestamp(F.max(F.greatest("start", "end"))).alias("last_timestamp"))
+
+
+def streamed(tables: dict[str, DataFrame], trace_id: str, previews: bool = True) -> dict:
     """The report of one trace, its findings and spans as iterators that hold one sorted partition at a time."""
     one = lambda name: tables[name].where(F.col("trace_id") == trace_id)
-    rows = lambda df, *order: [_plain(r.asDict(recursive=True)) for r in df.orderBy(*order).collect()]
-    found = free_text(one("findings"), "previews").orderBy("severity_rank", "detector", "finding_id")
-    spans = span_documents(one("spans"), one("costs")).orderBy("seq")
+    rows = lambda df, *order: [_plain(r.asDict(recursive=True)) for r in redacted(df, previews).orderBy(*order).collect()]
+    found = redacted(one("findings"), previews).orderBy("severity_rank", "detector", "finding_id")
+    spans = span_documents(one("spans"), one("costs"), previews).orderBy("seq")
+    latest = last_timestamp(one("spans")).first()
     return {
-        "schema_version": VERSION, "trace_id": trace_id, "source_files": rows(one("source_files"), "name"), "agents": rows(free_text(one("agents"), "description", "agent_type"), "agent_index"), "warnings": rows(one("warnings"), "code", "detail"),
+        "schema_version": VERSION, "trace_id": trace_id, "last_timestamp": latest.last_timestamp if latest else None, "source_files": rows(one("source_files"), "name"), "agents": rows(one("agents"), "agent_index"), "warnings": rows(one("warnings"), "code", "detail"),
         "findings": (x | {"metrics": json.loads(x["metrics"])} for x in (_plain(r.asDict(recursive=True)) for r in found.toLocalIterator())),
         "severity_counts": {s: one("findings").where(F.col("severity") == s).count() for s in SEVERITIES}, "spans": (json.loads(r.document) for r in spans.toLocalIterator()), "n_spans": one("spans").count(),
         "cost": {"totals": rows(one("cost_totals"), "trace_id"), "by_agent": rows(one("cost_by_agent"), "agent_id"), "by_model": rows(one("cost_by_model"), "model_key"), "by_detector": rows(one("cost_by_detector"), "detector")},
     }
 
 
-def document(tables: dict[str, DataFrame], trace_id: str) -> dict:
+def document(tables: dict[str, DataFrame], trace_id: str, previews: bool = True) -> dict:
     """The whole report of one trace in memory. Numbers of money are strings; keys are sorted when it is written."""
-    return {k: list(v) if isinstance(v, Iterator) else v for k, v in streamed(tables, trace_id).items()}
+    return {k: list(v) if isinstance(v, Iterator) else v for k, v in streamed(tables, trace_id, previews).items()}
 
 
 def json_parts(doc: dict) -> Iterator[str]:
@@ -80,23 +108,24 @@ def json_report(doc: dict) -> str:
 def html_report(tables: dict[str, DataFrame], trace_id: str) -> str:
     """Findings, the timeline and spans as one static page without scripts; texts are redacted, then escaped, by Spark."""
     one = lambda name: tables[name].where(F.col("trace_id") == trace_id)
-    safe = lambda c: escape_html(redact(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    found = one("findings").orderBy(F.desc("severity_rank"), "detector", "finding_id").limit(FINDING_ROWS).select(*(safe(c).alias(c) for c in ("severity", "detector", "summary", "wasted_cost_usd"))).collect()
+    shown = lambda c: escape_html(redact(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    n_found, n_drawn = one("findings").count(), one("timeline").where("timed").count()
+    found = one("findings").orderBy(F.desc("severity_rank"), "detector", "finding_id").limit(FINDING_ROWS).select(*(shown(c).alias(c) for c in ("severity", "detector", "summary", "wasted_cost_usd"))).collect()
     total = one("spans").count()
     spans = one("spans").join(one("costs").select("trace_id", "seq", "cost_usd"), ["trace_id", "seq"], "left").orderBy("seq").limit(SPAN_ROWS)
-    spans = spans.select(*(safe(c).alias(c) for c in ("seq", "agent_id", "kind", "model", "tool_name", "tool_result_status", "text_preview", "cost_usd"))).collect()
+    spans = spans.select(*(shown(c).alias(c) for c in ("seq", "agent_id", "kind", "model", "tool_name", "tool_result_status", "text_preview", "cost_usd"))).collect()
     rects = one("timeline").where("timed").orderBy("lane", "seq").limit(SPAN_ROWS).collect()
     untimed = one("timeline").where("not timed").orderBy("seq").limit(UNTIMED_ROWS).collect()
     row = lambda r: "<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>"
     height = 12 * (max((r.lane for r in rects), default=0) + 1)
     svg = "".join(f'<rect x="{r.x}" y="{12 * r.lane}" width="{r.width}" height="10" class="s{r.severity_rank if r.severity_rank is not None else ""}"/>' for r in rects)
-    more = f"<p>{total - SPAN_ROWS} more spans</p>" if total > SPAN_ROWS else ""
+    left_out = lambda n, most, what: f"<p>{n - most} more {what}</p>" if n > most else ""
     style = "body{font-family:sans-serif}td{padding:2px 8px}rect{fill:#789}.s1{fill:#d90}.s2{fill:#c33}"
     return (
         '<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'unsafe-inline\'">'
-        f"<title>Trace {trace_id}</title><style>{style}</style></head><body><h1>Trace {trace_id}</h1><h2>Findings</h2><table>{''.join(map(row, found))}</table>"
-        f'<h2>Timeline</h2><svg viewBox="0 0 1000 {height}" width="1000">{svg}</svg><p>Without times: {", ".join(str(r.seq) for r in untimed) or "none"}</p>'
-        f"<h2>Spans</h2><table>{''.join(map(row, spans))}</table>{more}</body></html>\n"
+        f"<title>Trace {trace_id}</title><style>{style}</style></head><body><h1>Trace {trace_id}</h1><h2>Findings</h2><table>{''.join(map(row, found))}</table>{left_out(n_found, FINDING_ROWS, 'findings')}"
+        f'<h2>Timeline</h2><svg viewBox="0 0 1000 {height}" width="1000">{svg}</svg>{left_out(n_drawn, SPAN_ROWS, 'spans in the timeline')}<p>Without times: {", ".join(str(r.seq) for r in untimed) or "none"}</p>'
+        f"<h2>Spans</h2><table>{''.join(map(row, spans))}</table>{left_out(total, SPAN_ROWS, 'spans')}</body></html>\n"
     )
 
 

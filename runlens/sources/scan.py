@@ -1,6 +1,7 @@
 """Scan of JSONL transcripts: many traces at once, one folder a trace.
 
-A file is one row of `binaryFile`, which the file limit bounds; its lines become rows inside the task that reads it. Errors are rows of `fatal`
+A file is one row of `binaryFile`; the content of a file over the limit (or over the 2 GiB that a row can hold) is never read, as the filter on
+`length` goes to the reader. Its lines become rows inside the task that reads it. Errors are rows of `fatal`
 and exclude their trace, never the batch.
 """
 
@@ -44,9 +45,16 @@ def check_paths(paths: list[str], limits: Limits = Limits()) -> list[str]:
     return sorted(found, key=os.path.basename)
 
 
-def files(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl", one_trace: bool = False) -> DataFrame:
-    """group, name, bytes, content: a group is the folder of a file (or everything)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+#: The most that a row of `binaryFile` holds.
+ROW_MAX = (1 << 31) - 1
+
+
+def files(spark: SparkSession, path: str | list[str], most: int, pattern: str = "*.jsonl", one_trace: bool = False) -> DataFrame:
+    """group, name, bytes, content: a group is the folder of a file (or everything). Files of over `most` bytes have no content and aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    most = min(most, ROW_MAX)
+    large = found.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    raw = found.where(F.col("length") <= most).select("path", "length", "content").unionByName(large)
     group = F.lit("all") if one_trace else F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     return raw.select(group.alias("group"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"), "content")
 
@@ -66,15 +74,20 @@ def depth_over(text: Column, most: int) -> Column:
     return F.when(F.length(F.regexp_replace(text, r"[^\[{]", "")) <= most, False).otherwise(deepest > most)
 
 
+def trace_id_of(named: Column) -> Column:
+    """The id of a trace from its files' names and digests, an array of (name, sha256) in the order of names."""
+    return F.substring(F.sha2(F.array_join(F.transform(named, lambda x: F.concat(x["name"], F.lit(":"), x["sha256"])), "\n"), 256), 1, 16)
+
+
 def scan(spark: SparkSession, path: str | list[str], limits: Limits = Limits(), one_trace: bool = False) -> dict[str, DataFrame]:
     """source_files, lines (trace_id, file_index, name, line, record_index, value, v) and fatal (trace_id, phase, file_index, line, code)."""
     ship(spark)
-    raw = files(spark, path, one_trace=one_trace)
+    raw = files(spark, path, limits.file_bytes, one_trace=one_trace)
     # the text is decoded once; what is over a limit or no UTF-8 isn't decoded at all
-    ok = (F.col("bytes") <= limits.file_bytes) & F.is_valid_utf8(F.col("content").cast("string"))
-    named = raw.select("group", "name", "bytes", F.sha2("content", 256).alias("sha256"), ok.alias("ok"), F.when(ok, F.col("content").cast("string")).alias("text"))
+    ok = F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))
+    named = raw.select("group", "name", "bytes", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"), ok.alias("ok"), F.when(ok, F.col("content").cast("string")).alias("text"))
     index = named.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("name", "sha256"))).alias("all"))
-    index = index.select("group", F.substring(F.sha2(F.array_join(F.transform("all", lambda x: F.concat(x["name"], F.lit(":"), x["sha256"])), "\n"), 256), 1, 16).alias("trace_id"), F.size("all").alias("n_files"), F.posexplode("all").alias("file_index", "x"))
+    index = index.select("group", trace_id_of(F.col("all")).alias("trace_id"), F.size("all").alias("n_files"), F.posexplode("all").alias("file_index", "x"))
     index = index.select("group", "trace_id", "n_files", "file_index", F.col("x.name").alias("name"))
     filed = named.join(index, ["group", "name"])
     cut = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
@@ -88,7 +101,7 @@ def scan(spark: SparkSession, path: str | list[str], limits: Limits = Limits(),
     kind = F.schema_of_variant("v")
     code = F.when(F.col("long"), "line_too_long").when(F.col("record_index") >= limits.records, "too_many_records").when(F.col("deep"), "json_too_deep").when(F.col("v").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "not_an_object")
     bad_lines = checked.select("trace_id", F.lit(PHASES["scan"]).alias("phase"), "file_index", "line", code.alias("code")).where("code is not null")
-    bad_files = filed.where("not ok").select("trace_id", F.lit(PHASES["scan"]).alias("phase"), "file_index", F.lit(0).alias("line"), F.when(F.col("bytes") > limits.file_bytes, "file_too_large").otherwise("invalid_encoding").alias("code"))
+    bad_files = filed.where("not ok").select("trace_id", F.lit(PHASES["scan"]).alias("phase"), "file_index", F.lit(0).alias("line"), F.when(F.col("bytes") > min(limits.file_bytes, ROW_MAX), "file_too_large").otherwise("invalid_encoding").alias("code"))
     many = index.where((F.col("n_files") > limits.files) | (F.length("name") > NAME_MAX))
     many = many.select("trace_id", F.lit(PHASES["resolve"]).alias("phase"), "file_index", F.lit(0).alias("line"), F.when(F.length("name") > NAME_MAX, "name_too_long").otherwise("too_many_files").alias("code"))
     records = lines.groupBy("trace_id", "name").agg(F.count("*").alias("records"))
@@ -98,6 +111,6 @@ def scan(spark: SparkSession, path: str | list[str], limits: Limits = Limits(),
 
 def sidecars(spark: SparkSession, path: str | list[str], index: DataFrame, one_trace: bool = False) -> DataFrame:
     """trace_id, file_index, m (variant) of `<stem>.meta.json` beside a transcript. Whatever is wrong with one makes it absent."""
-    raw = files(spark, path, "*.meta.json", one_trace).where(F.col("bytes") <= SIDECAR_MAX)
+    raw = files(spark, path, SIDECAR_MAX, "*.meta.json", one_trace).where("content is not null")
     stem = raw.select("group", F.regexp_replace("name", r"\.meta\.json\z", ".jsonl").alias("name"), F.try_parse_json(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))).alias("m"))
     return stem.where(F.schema_of_variant("m").startswith("OBJECT")).join(index, ["group", "name"]).select("trace_id", "file_index", "m")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runlens.operators import normalize
 from runlens.plans import analyze, report
 from runlens.schema import violations
+from runlens.sources.limits import Limits
 from runlens.sources.scan import scan
 from tests.traces import Transcript, tool, usage
 
@@ -80,6 +81,41 @@ def test_json_report_has_all_spans_and_findings(spark, tmp_path):
     assert report.json_report({"b": iter([]), "a": [], "c": {}}) == json.dumps({"a": [], "b": [], "c": {}}, indent=2) + "\n"
 
 
+def test_a_key_in_any_string_appears_nowhere(spark, tmp_path):
+    key = "ghp_abcdefghij0123456789abcd"
+    t = Transcript()
+    t.add("user", 0, message={"role": "user", "content": f"say {key}"}, agentId=key)
+    t.assistant(1, "m", [{"type": "text", "text": key}, tool(key, name=key, path=key)], usage(1, 1), model=key, agentId=key)
+    t.lines[-1] = t.lines[-1].replace('"role": "assistant"', f'"role": "assistant", "stop_reason": "{key}"')
+    t.result(2, key, text=key, error=True, agentId=key)
+    t.assistant(3, "m2", [tool("t2", name=key, path=key), tool("t3", name=key, path=key)], usage(1, 1), agentId=key)
+    t.assistant(4, "e", [], None, isApiErrorMessage=True, error=key, apiErrorStatus=key, agentId=key)
+    t.add(key, 5)
+    t.write(tmp_path / "t" / f"{key}.jsonl")
+    (tmp_path / "t" / f"{key}.meta.json").write_text(json.dumps({"agentType": key, "description": key}))
+    tables = analyze.analyze(spark, str(tmp_path / "t"))
+    trace = tables["spans"].first().trace_id
+    assert {f.detector for f in tables["findings"].collect()} >= {"repeated_tool_call", "failed_tool_call"}
+    doc = report.document(tables, trace)
+    text = report.json_report(doc)
+    assert key not in text and key not in report.html_report(tables, trace) and text.count("[redacted:github_token]") > 12
+    assert {x["metrics"]["tool_name"] for x in doc["findings"] if "tool_name" in x["metrics"]} >= {"[redacted:github_token]"} and doc["last_timestamp"].startswith("2025-03-01T12:00:04")
+    blank = report.document(tables, trace, previews=False)
+    assert {s["model"] for s in blank["spans"]} <= {None, ""} and {s["tool_name"] for s in blank["spans"]} <= {None, ""} and key not in report.json_report(blank)
+
+
+def test_large_files_are_not_read(spark, tmp_path):
+    for name, n in (("small", 1), ("large", 400)):
+        t = Transcript()
+        for k in range(n):
+            t.add("user", k, message={"role": "user", "content": "x"})
+        t.write(tmp_path / name / "a.jsonl")
+    found = scan(spark, str(tmp_path), Limits(file_bytes=2000))
+    assert [(r.code, r.line) for r in found["fatal"].collect()] == [("file_too_large", 0)] and found["lines"].count() == 1
+    sizes = {r.bytes: r.records for r in found["source_files"].collect()}
+    assert len(sizes) == 2 and min(sizes) < 2000 < max(sizes)
+
+
 def test_fatal_codes(spark, tmp_path):
     cases = {
         "not_an_object": ["[1]"], "missing_field": ['{"type":"user","uuid":"","timestamp":"2025-01-01T00:00:00Z"}'], "bad_timestamp": ['{"type":"user","uuid":"a","timestamp":"2025-01-01T00:00:00"}'],
