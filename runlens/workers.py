@@ -21,11 +21,13 @@ def ship(spark: SparkSession) -> None:
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: the plan is cut there, and a lost executor costs no recomputation.
 
-    The folder is that of spark.checkpoint.dir; only where that is unset (a local session) a temporary folder is used.
+    The folder is that of spark.checkpoint.dir; only where that is unset in a local session a temporary folder is used.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_runlens_work_dir", None) or f"file://{tempfile.mkdtemp(prefix='runlens-')}"
         spark._runlens_work_dir = base
     out = f"{base.rstrip('/')}/runlens-{label}-{uuid.uuid4().hex}"
