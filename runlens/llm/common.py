@@ -32,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that the driver and all executors see, below spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made and used instead.
+    Only where that setting is absent in a local session, as in tests, a temporary folder is made and used instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_runlens_local_dir", None) or f"file://{tempfile.mkdtemp(prefix='runlens-')}"
         spark._runlens_local_dir = base
     return f"{base.rstrip('/')}/runlens-{label}-{uuid.uuid4().hex}"
