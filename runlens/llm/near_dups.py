@@ -266,7 +266,8 @@ def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -
     rows = rows.withColumn("pair", F.explode(pairs)).select("comp", "size", "pair.i", "pair.j", "side", "node", "copies", "text", (F.col("blocks") == 1).alias("last"))
     # a group's pairs of blocks go to partitions in turn
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turn = F.pmod(F.xxhash64("comp") + F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i"), F.lit(n)).cast("int")
+    at = F.pmod(F.shiftright(F.col("j").cast("long") * (F.col("j") + 1), 1) + F.col("i"), F.lit(n))  # its number among the group's pairs
+    turn = F.pmod(F.pmod(F.xxhash64("comp"), F.lit(n)) + at, F.lit(n)).cast("int")
     dealt = rows.repartitionById(n, turn).sortWithinPartitions("comp", "i", "j")
     return dealt.mapInArrow(run, "node long, links long, root long, last boolean, comp long, size long, bins array<long>")
 
