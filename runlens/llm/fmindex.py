@@ -9,13 +9,15 @@ Words: A-Z lower-cased, then maximal runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7
 of fewer words, but not none, is one window. Defined results: null and empty texts have no words; repeated items each count with their own
 item_id; documents with the same doc_id are treated as rows of their own; null item ids are read as the text 'null'; extra columns are ignored.
 
-The benchmark is broadcast: `windows_of` raises when its text is over `most_bytes`.
+What is broadcast at once holds at most `most_bytes` of benchmark text. A larger benchmark is dealt into parts by a hash of its items, and the
+documents are searched once for each part, with the hits so far written in between; only an item that is over `most_bytes` by itself raises.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import batch_of, ship, slices
+from runlens.llm.common import batch_of, checkpointed, numbered, ship, slices
 
 #: The same words found in a text before A-Z is lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -183,15 +185,38 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows_of(benchmark: DataFrame, width: int, most_bytes: int = 64 << 20) -> Phrases:
-    """Gathers the benchmark; it raises if its text is over `most_bytes` (the bound of what is broadcast)."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; at most {most_bytes} are broadcast")
+def windows_of(benchmark: DataFrame, width: int) -> Phrases:
+    """Gathers a benchmark, or a part of one, whose size was checked by `parts_of`."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").collect()
     return Phrases([(r.i, r.text) for r in rows], width)
 
 
+def parts_of(benchmark: DataFrame, most_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of at most `most_bytes` of text each, mostly one; it raises if a single item is over that."""
+    bytes_of = F.octet_length("text").cast("long")
+    size, longest = (x or 0 for x in benchmark.agg(F.sum(bytes_of), F.max(bytes_of)).first())
+    if longest > most_bytes:
+        raise ValueError(f"an item of the benchmark has {longest} bytes; at most {most_bytes} are broadcast")
+    if size <= most_bytes:
+        return [benchmark]
+    # a repeated item says nothing new, and copies would fall into one part for ever
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    code, n = F.xxhash64("item_id", "text"), 1
+    sizes = {}
+    while not sizes or max(sizes.values()) > most_bytes:
+        n *= 2
+        bucket = F.pmod(code, F.lit(n))
+        sizes = {r.bucket: r.size for r in items.groupBy(bucket.alias("bucket")).agg(F.sum(bytes_of).alias("size")).collect()}
+    parts, room = [], 0
+    for k, size in sorted(sizes.items()):
+        if size > room:
+            parts.append([])
+            room = most_bytes
+        parts[-1].append(k)
+        room -= size
+    return [items.where(bucket.isin(ks)) for ks in parts]
+
+
 def tokens_of(text: str | None, number: dict[bytes, int]) -> np.ndarray:
     """Word numbers of a text; 0 for words that the benchmark doesn't have."""
     words = words_of(text)
@@ -244,11 +269,11 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.string()))])
 
 
-def shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+def shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
     """A task's rows in shards: the rows, their words' counts, merged spans and items."""
     held, rows, size = [], [], 0
-    for b in slices(batches, "text", 4 << 20):
-        held += [tokens_of(t, phrases.number) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+    for b in slices(batches, text, 4 << 20):
+        held += [tokens_of(t, phrases.number) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
         rows.append(b)
         size += sum(map(len, held[-b.num_rows :]))
         if size >= shard_words:
@@ -258,10 +283,46 @@ def shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int
         yield pa.concat_batches(rows), [len(d) for d in held], *shard_hits(held, phrases)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 2_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+def united(spans: list[dict]) -> list[dict]:
+    """Spans merged where they overlap or touch, in order."""
+
+    def add(out: list[dict], x: dict) -> list[dict]:
+        if out and x["start"] <= out[-1]["end"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], x["end"])}
+            return out
+        out.append(x)
+        return out
+
+    return reduce(add, sorted(spans, key=lambda x: x["start"]), [])
+
+
+def hits_by_parts(docs: DataFrame, parts: list[DataFrame], width: int, shard_words: int) -> DataFrame:
+    """All columns of docs as `_own0`, `_own1` ... with n_words, spans and items: one search for each part, each written before the next begins."""
+    text = f"_own{docs.columns.index('text')}"
+    rows = numbered(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
+    for part in parts:
+        shared = docs.sparkSession.sparkContext.broadcast(windows_of(part, width))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            phrases = shared.value
+            for b, n_words, spans, items in shards(batches, phrases, shard_words, text):
+                now = [united([*old, *({"start": x, "end": y} for x, y in s)]) for old, s in zip(b.column("spans").to_pylist(), spans)]
+                known = [sorted({*old, *(phrases.items[i] for i in x)}) for old, x in zip(b.column("items").to_pylist(), items)]
+                own = {f.name: c for f, c in zip(b.schema, b.columns)}
+                yield batch_of(b.schema, **own | {"n_words": n_words, "spans": now, "items": known})
+
+        rows = checkpointed(rows.mapInArrow(run, rows.schema), "hits")
+        shared.unpersist()
+    return rows
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 2_000_000, most_bytes: int = 8 << 20) -> DataFrame:
     """For each row of `doc_id, text`: its words, merged spans of hit words (from, to) and the items found."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(windows_of(benchmark, width, most_bytes))
+    parts = parts_of(benchmark, most_bytes)
+    if len(parts) > 1:
+        return hits_by_parts(docs.select("doc_id", "text"), parts, width, shard_words).select(F.col("_own0").alias("doc_id"), "n_words", "spans", "items")
+    shared = docs.sparkSession.sparkContext.broadcast(windows_of(benchmark, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -290,18 +351,32 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 2_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 2_000_000, most_bytes: int = 8 << 20) -> DataFrame:
     """The documents, all columns, with every hit span removed from `text`; clean rows are unchanged, and no row is dropped."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(windows_of(benchmark, width, most_bytes))
+    parts = parts_of(benchmark, most_bytes)
+    k = docs.columns.index("text")
+
+    def without(rows: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        if not any(spans):
+            return rows
+        field = rows.schema.field(k)
+        texts = [cut(t, s) if s else t for t, s in zip(rows.column(k).to_pylist(), spans)]
+        return rows.set_column(k, field, pa.array(texts, field.type))
+
+    if len(parts) > 1:
+        n = len(docs.columns)
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, f"_own{k}", 4 << 20):
+                spans = [[(x["start"], x["end"]) for x in s] for s in b.column("spans").to_pylist()]
+                yield without(b.select(list(range(n))), spans)
+
+        return hits_by_parts(docs, parts, width, shard_words).mapInArrow(finish, numbered(docs).schema).toDF(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(windows_of(benchmark, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, spans, _ in shards(batches, shared.value, shard_words):
-            if any(spans):
-                k = rows.schema.get_field_index("text")
-                field = rows.schema.field(k)
-                texts = [cut(t, s) if s else t for t, s in zip(rows.column(k).to_pylist(), spans)]
-                rows = rows.set_column(k, field, pa.array(texts, field.type))
-            yield rows
+            yield without(rows, spans)
 
     return docs.mapInArrow(run, docs.schema)

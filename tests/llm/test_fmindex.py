@@ -78,3 +78,16 @@ def test_benchmark_bound(spark, edge):
 
     with pytest.raises(ValueError):
         fmindex.find_hits(edge, spark.createDataFrame([(1, "x" * 100)], "item_id long, text string"), most_bytes=10)
+
+
+def test_benchmark_in_parts(spark, edge, edge_rows, clashing):
+    w = edge_rows[0][1].split(" ")
+    items = [(k, " ".join(w[k : k + 14])) for k in range(0, 40, 5)] + [(3, "same text"), (3, "same text"), (77, None), (None, "Ünïcode")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    most = 4 * max(len((t or "").encode()) for _, t in items)
+    assert 2 <= len(fmindex.parts_of(bench, most)) <= 4
+    for docs in (edge, clashing):
+        whole, parts = (sorted(map(str, fmindex.report(fmindex.find_hits(docs, bench, most_bytes=n)).collect())) for n in (1 << 20, most))
+        assert whole == parts and any("contaminated=True" in x for x in parts)
+        whole, parts = (fmindex.decontaminated(docs, bench, most_bytes=n) for n in (1 << 20, most))
+        assert parts.columns == docs.columns and sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
