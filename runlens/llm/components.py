@@ -29,18 +29,19 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """edges: u, v (long, u <> v). Returns node, label for every node: the least node of its component."""
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", edges.count())
     before, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large, total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.where("u <> v").distinct(), "links")
+        now = checkpointed(small.where("u <> v").distinct(), "links", total)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return checkpointed(found, "components", total)

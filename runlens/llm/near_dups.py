@@ -291,7 +291,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     signed = _signed(docs, words, trees, depth, seed)
     nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    ties = checkpointed(forest_ties(nodes, trees, depth, least).groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest")
+    ties = forest_ties(nodes, trees, depth, least)
+    ties = checkpointed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", ties.count())
     plain = nodes.drop("labels")
     # the texts of all nodes that any depth may bring together, once
     tied = ties.select(F.col("u").alias("node")).unionByName(ties.select(F.col("v").alias("node"))).distinct()
@@ -302,9 +303,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     texts = checkpointed(texts.withColumn("n_bytes", F.octet_length("text")), "texts")
     found, seen, size = [], None, None
     for at in range(depth, least - 1, -1):
-        groups = checkpointed(components(ties.where(F.col("shared") >= at)), "groups")
+        groups = components(ties.where(F.col("shared") >= at))
         sized = groups.join(texts.select("node", "n_bytes"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum("n_bytes").alias("total"))
-        size = checkpointed(sized, "sizes")
+        size = checkpointed(sized, "sizes", groups.count())
         new = size if seen is None else size.join(seen, ["label", "size"], "left_anti")  # groups only grow: with the same size they are the same
         members = groups.join(new, "label").join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("total").alias("n_bytes"), "node", "copies", "text")
         found.append(checkpointed(_verified(members, words, Fraction(str(threshold)), block), "verified"))
