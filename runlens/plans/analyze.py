@@ -9,14 +9,15 @@ from runlens.operators import cost, detect, normalize, timeline
 from runlens.schema import SEVERITIES
 from runlens.sources import rates as rate_source
 from runlens.sources.limits import Limits
-from runlens.sources.scan import scan, sidecars
+from runlens.sources.registry import source_of
 from runlens.workers import materialized
 
 
-def analyze(spark: SparkSession, path: str | list[str], limits: Limits = Limits(), config: detect.Config = detect.Config(), snapshot: dict | None = None, previews: bool = True, one_trace: bool = False) -> dict[str, DataFrame]:
-    """Tables of all traces below path: spans, agents, warnings, fatal, source_files, stats, findings, finding_waste, costs and their rollups."""
-    scanned = scan(spark, path, limits, one_trace)
-    side = sidecars(spark, path, scanned["index"], one_trace)
+def analyze(spark: SparkSession, path: str | list[str], limits: Limits = Limits(), config: detect.Config = detect.Config(), snapshot: dict | None = None, previews: bool = True, one_trace: bool = False, source: str = "jsonl") -> dict[str, DataFrame]:
+    """Tables of all traces below path: spans, agents, warnings, fatal, source_files, stats, findings, finding_waste, costs and their rollups. source: a name in the registry."""
+    reader = source_of(source)
+    scanned = reader.scan(spark, path, limits, one_trace)
+    side = reader.sidecars(spark, path, scanned["index"], one_trace)
     out = normalize.normalized(scanned, side, previews)
     found, waste = detect.run(out["spans"], out["warnings"], config)
     found, waste = materialized(found, "findings"), materialized(waste, "waste")
