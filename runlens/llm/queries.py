@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import fmindex, isolation, langid, near_dups, pieces, preference, token_counts, toxicity, warc, wavelet
+from runlens.llm import divergence, fmindex, isolation, langid, near_dups, packing, pieces, preference, resampling, token_counts, toxicity, warc, wavelet
 from runlens.llm.common import fold, table
 
 
@@ -121,9 +121,63 @@ def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.judged(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     o AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+     t AS (SELECT lang, term, count(*) AS c FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+     v AS (SELECT d.lang, coalesce(max(x.v), 0) AS v, coalesce(max(x.n), 0) AS n FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN (SELECT lang, count(*) AS v, sum(c) AS n FROM t GROUP BY lang) x ON x.lang = d.lang GROUP BY d.lang),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN t ON t.lang = o.lang AND t.term = o.term GROUP BY ALL),
+     n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+     p AS (SELECT n.lang, n.source, t.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (n.n + 5 * v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (t.c + 5)) // (v.n + 5 * v.v)::HUGEINT AS q
+           FROM n JOIN v ON v.lang = n.lang JOIN t ON t.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = t.term),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.placements(packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0))
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, depth=2, seed=7, least_words=20, percent=25)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of a text's bytes: the table from the polynomial, then one step a byte. Unigrams and bigrams are hashed once each.
+OP13_SQL = r"""
+WITH z AS MATERIALIZED (SELECT list(c ORDER BY i) AS z FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+     a AS (SELECT 'd' AS side, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+     w AS (SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+     f AS (SELECT side, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+     n AS MATERIALIZED (SELECT side, k, f, count(*) AS n FROM f GROUP BY ALL),
+     u AS (SELECT DISTINCT f, hex(f) AS h FROM n),
+     h AS MATERIALIZED (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 1 + 2 * i, 2))::BIGINT)), lambda c, x: xor(z[1 + xor(c & 255, x)], c >> 8)), 4294967295) % 10000 AS bucket FROM u, z),
+     q AS (SELECT bucket, sum(CASE WHEN side = 'd' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 'b' THEN n ELSE 0 END)::DOUBLE AS t FROM n JOIN h ON n.f = h.f GROUP BY bucket),
+     m AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM q),
+     e AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM q, m),
+     x AS (SELECT k, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS gain FROM n JOIN h ON n.f = h.f JOIN e ON e.bucket = h.bucket WHERE side = 'd' GROUP BY k),
+     r AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END::BIGINT AS weight,
+                  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN x ON x.k = w.k WHERE side = 'd'),
+     y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score, words >= 20 AS apt FROM r),
+     o AS (SELECT *, CASE WHEN apt THEN row_number() OVER (PARTITION BY apt ORDER BY score DESC, doc_id NULLS FIRST) END AS place, count(*) FILTER (apt) OVER () AS apts FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * apts // 100 THEN place END AS rank FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": OP1_SQL, "op8_fm_decontamination": OP8_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op1_preference_pairs": OP1_SQL, "op8_fm_decontamination": OP8_SQL, "op9_warc_revisits": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_importance_draw": OP13_SQL}
