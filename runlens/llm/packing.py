@@ -25,11 +25,15 @@ from runlens.llm.common import batch_of, shared_dir, ship, slices
 from runlens.llm.wavelet import encoder
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
-SEQUENCES = pa.schema([("sequence_id", pa.int64()), ("closed", pa.bool_()), ("ids", pa.list_(pa.int32())), ("pieces", pa.list_(PIECE))])
-SEQUENCE = "sequence_id long, closed boolean, ids array<int>, pieces array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint>>"
+SEQUENCES = pa.schema([("sequence_id", pa.int64()), ("closed", pa.bool_()), ("ids", pa.binary()), ("pieces", pa.list_(PIECE))])
+SEQUENCE = "sequence_id long, closed boolean, ids binary, pieces array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint>>"
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Bytes of text parts whose ids a worker remembers.
+KNOWN_BYTES = 128 << 20
+
+
 class Bins:
     """Open sequences by free tokens. `free` has bit f set while some open sequence has f tokens free."""
 
@@ -94,7 +98,7 @@ class Writer:
         k = len(self.closed)
         columns = [pa.array(c, f.type) for c, f in zip(zip(*self.pieces), PIECE)]
         pieces = pa.StructArray.from_arrays(columns, fields=list(PIECE))
-        ids = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(np.concatenate(self.ids).astype(np.int32)))
+        ids = pa.BinaryArray.from_buffers(pa.binary(), k, [None, pa.py_buffer(4 * np.array(self.ends, np.int32)), pa.py_buffer(np.concatenate(self.ids).astype("<u4"))])
         yield batch_of(SEQUENCES, sequence_id=range(self.next, self.next + k), closed=self.closed, ids=ids, pieces=pa.ListArray.from_arrays(pa.array(self.counts, pa.int32()), pieces))
         self.next += k
         self._clear()
@@ -119,13 +123,13 @@ def _first_id(turn: int) -> int:
 
 
 def sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, open_bins: int = 512, fan_in: int = 16) -> DataFrame:
-    """sequence_id, ids (at most `size`), pieces (doc_id, piece, start, length, in the order of the ids): each sequence once."""
+    """sequence_id, ids (at most `size`, little-endian unsigned 32-bit), pieces (doc_id, piece, start, length, in the order of the ids): each sequence once."""
     spark = docs.sparkSession
     ship(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces():
-            enc = encoder(tokenizer, end_id)
+            enc = encoder(tokenizer, end_id, KNOWN_BYTES)
             for b in slices(batches, "text", 8 << 20):
                 tokens, lengths = enc.encode(b.column(1))
                 at = 0
@@ -142,7 +146,7 @@ def sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
             def pieces():
                 for b in batches:
                     for ids, own in zip(b.column(0), b.column(1).to_pylist()):
-                        ids, at = ids.values.to_numpy(zero_copy_only=False), 0
+                        ids, at = np.frombuffer(ids.as_buffer(), "<u4"), 0
                         for p in own:
                             yield p["doc_id"], p["piece"], p["start"], ids[at : at + p["length"]].copy()
                             at += p["length"]
@@ -175,15 +179,17 @@ def placements(packed: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, pieces = b.column(1), b.column(2)
-            flat, own = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), pieces.flatten()
+            own, counts = b.column(2).flatten(), b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             length = own.field("length").to_numpy(zero_copy_only=False)
-            counts = pieces.value_lengths().to_numpy(zero_copy_only=False)
+            last = np.cumsum(counts) - 1
             ends = np.cumsum(length)
-            at = ends - length  # in this batch's ids, which are those of its pieces, one after the other
-            sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-            offset = at - np.repeat(np.cumsum(sizes) - sizes, counts)
-            crc = [zlib.crc32(flat[4 * a : 4 * e]) for a, e in zip(at.tolist(), ends.tolist())]
-            yield batch_of(DIGESTS, doc_id=own.field("doc_id"), piece=own.field("piece"), start=own.field("start"), length=own.field("length"), ids_crc32=crc, sequence_id=pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)), offset=pa.array(offset.astype(np.int64)))
+            offset = ends - length - np.repeat(np.concatenate([[0], ends[last[:-1]]]), counts)  # each sequence begins at 0
+            crc, k = np.zeros(len(length), np.int64), 0
+            for ids, n in zip(b.column(1), counts.tolist()):
+                raw = memoryview(ids.as_buffer())
+                for j in range(k, k + n):
+                    crc[j] = zlib.crc32(raw[4 * offset[j] : 4 * (offset[j] + length[j])])
+                k += n
+            yield batch_of(DIGESTS, doc_id=own.field("doc_id"), piece=own.field("piece"), start=own.field("start"), length=own.field("length"), ids_crc32=pa.array(crc), sequence_id=pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)), offset=pa.array(offset.astype(np.int64)))
 
     return packed.select("sequence_id", "ids", "pieces").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

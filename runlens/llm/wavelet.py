@@ -433,11 +433,11 @@ def _reordered(counts: np.ndarray, ids: np.ndarray, order: np.ndarray) -> tuple[
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> ChunkEncoder:
-    """One for each Python worker."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = ChunkEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+def encoder(path: str, end_id: int, most: int = 256 << 20) -> ChunkEncoder:
+    """One for each Python worker; `most` bytes of known parts."""
+    if (path, end_id, most) not in _ENCODERS:
+        _ENCODERS[path, end_id, most] = ChunkEncoder(path, end_id, most)
+    return _ENCODERS[path, end_id, most]
 
 
 MANIFEST = "part int, k int, shard string, first_doc long, n_docs long, shard_tokens long"
