@@ -8,11 +8,15 @@
    groups; those that are new at this depth are verified exactly. Each link found at similarity s stands for 1 / p(s) links, p being the chance that a
    pair like it shares a prefix so long in some tree. Shortening stops when the links found are the target share of that sum, at the latest at the depth
    at which even pairs at the threshold meet with that chance.
-4. Within each candidate group all pairs are verified exactly, in blocks: a large group is dealt over pairs of blocks (at most `block` texts and
+4. A group of more than `block` texts is cut first, by an exact filter that ships hashes of shingles and no texts: two sets at the threshold t share one
+   of each other's |x| - ceil(t |x|) + 1 rarest shingles, rarest within the group. Texts are kept together only by such shingles, so pages that have
+   a template in common, but no more, are never compared: the template's shingles are their most frequent ones.
+5. Within what is left of each group all pairs are verified exactly, in blocks: a large one is dealt over pairs of blocks (at most `block` texts and
    `BLOCK_BYTES` bytes each, or one text), which go to partitions in turn and return counts and a spanning forest and no pairs.
-5. The components of verified links are the classes.
+6. The components of verified links are the classes.
 
-Exact counts of links take time in proportion to the square of a group's different texts (copies are one node), whatever the method.
+Exact counts of links take time in proportion to the square of a family's different texts (copies are one node). A text over `BLOCK_BYTES` is a block of
+its own.
 
 Words are those of `fmindex`: A-Z lower-cased, ASCII letters, digits and all other characters beyond ASCII. A text with fewer words than a shingle
 has, but not none, is one shingle. Defined results: a text without words (also null) is linked to equal texts only, null counting as empty; ids
@@ -27,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import batch_of, checkpointed, ship, slices
@@ -214,8 +218,49 @@ BINS = 200
 BLOCK_BYTES = 16 << 20
 
 
+SHINGLE = pa.schema([("comp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+
+
+def _rare_groups(large: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """large: comp, node, text. Returns node, label: the parts of each group that shingles among the rarest of a text hold together.
+
+    No pair at the threshold is parted. A text that shares none of its rarest shingles has no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            each = [shingles(text, words) for text in b.column(2).to_pylist()]
+            n = np.array([len(x) for x in each], np.int64)
+            repeated = lambda k: pa.array(np.repeat(b.column(k).to_numpy(), n))
+            yield batch_of(SHINGLE, comp=repeated(0), node=repeated(1), n=pa.array(np.repeat(n, n)), shingle=pa.array(np.concatenate(each).view(np.int64)))
+
+    rows = checkpointed(large.select("comp", "node", "text").mapInArrow(run, "comp long, node long, n long, shingle long"), "shingles")
+    # one row a shingle meets those that hold it: a join whose large partitions can be split
+    shared = rows.join(rows.groupBy("comp", "shingle").agg(F.count("*").alias("f")).where("f > 1"), ["comp", "shingle"])
+    by = Window.partitionBy("node")
+    t, of = threshold.numerator, threshold.denominator
+    most = F.expr(f"n - ({t} * n + {of - 1}) DIV {of} + 1")
+    alone = F.col("n") - F.count("*").over(by)  # shingles of no other text come first among the rarest
+    tokens = shared.withColumns({"at": F.row_number().over(by.orderBy("f", "shingle")), "alone": alone}).where(F.col("at") + F.col("alone") <= most)
+    tokens = checkpointed(tokens.select("comp", "shingle", "node"), "rarest")
+    heads = tokens.groupBy("comp", "shingle").agg(F.min("node").alias("head"))
+    return components(tokens.join(heads, ["comp", "shingle"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+
+
+def _cut(members: DataFrame, words: int, threshold: Fraction, block: int) -> DataFrame:
+    """Members of all groups with the part to verify (part, part_size, part_bytes): small groups whole, large ones as `_rare_groups` parts them."""
+    small = members.where(F.col("size") <= block).withColumns({"part": F.col("comp"), "part_size": F.col("size"), "part_bytes": F.col("n_bytes")})
+    large = members.where(F.col("size") > block)
+    if large.isEmpty():
+        return small
+    parts = _rare_groups(large, words, threshold)
+    own = large.join(parts, "node")
+    sizes = own.groupBy("label").agg(F.count("*").alias("part_size"), F.sum(F.octet_length("text")).alias("part_bytes"))
+    return small.unionByName(own.join(sizes, "label").withColumn("part", F.col("label")).drop("label"))
+
+
 def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -> DataFrame:
-    """members: comp, size, n_bytes (of the group), node, copies, text. Returns node, links (documents of other texts that are similar), root (a tie),
+    """members: comp, size, part, part_size, part_bytes, node, copies, text. Returns node, links (documents of other texts that are similar), root (a tie),
     last (whether the group is one block), comp, size and, once for each pair of blocks, the numbers of links by similarity."""
 
     def group(rows: list[dict]) -> Iterator[tuple]:
@@ -248,7 +293,7 @@ def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -
         at, held, out = None, [], []
         for b in slices(batches, "text", 4 << 20):
             for r in b.to_pylist():
-                if (key := (r["comp"], r["i"], r["j"])) != at:
+                if (key := (r["part"], r["i"], r["j"])) != at:
                     out += group(held) if held else ()
                     at, held = key, []
                 held.append(r)
@@ -259,16 +304,16 @@ def _verified(members: DataFrame, words: int, threshold: Fraction, block: int) -
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
 
-    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.least(F.col("n_bytes") / F.lit(BLOCK_BYTES), F.col("size")))).cast("int")
+    blocks = F.ceil(F.greatest(F.col("part_size") / F.lit(block), F.least(F.col("part_bytes") / F.lit(BLOCK_BYTES), F.col("part_size")))).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.select("comp", "size", "node", "copies", "text", blocks.alias("blocks"), side.alias("side"))
+    rows = members.select("comp", "size", "part", "node", "copies", "text", blocks.alias("blocks"), side.alias("side"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
-    rows = rows.withColumn("pair", F.explode(pairs)).select("comp", "size", "pair.i", "pair.j", "side", "node", "copies", "text", (F.col("blocks") == 1).alias("last"))
-    # a group's pairs of blocks go to partitions in turn
+    rows = rows.withColumn("pair", F.explode(pairs)).select("comp", "size", "part", "pair.i", "pair.j", "side", "node", "copies", "text", (F.col("blocks") == 1).alias("last"))
+    # a part's pairs of blocks go to partitions in turn
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.pmod(F.shiftright(F.col("j").cast("long") * (F.col("j") + 1), 1) + F.col("i"), F.lit(n))  # its number among the group's pairs
-    turn = F.pmod(F.pmod(F.xxhash64("comp"), F.lit(n)) + at, F.lit(n)).cast("int")
-    dealt = rows.repartitionById(n, turn).sortWithinPartitions("comp", "i", "j")
+    at = F.pmod(F.shiftright(F.col("j").cast("long") * (F.col("j") + 1), 1) + F.col("i"), F.lit(n))  # its number among the part's pairs
+    turn = F.pmod(F.pmod(F.xxhash64("part"), F.lit(n)) + at, F.lit(n)).cast("int")
+    dealt = rows.repartitionById(n, turn).sortWithinPartitions("part", "i", "j")
     return dealt.mapInArrow(run, "node long, links long, root long, last boolean, comp long, size long, bins array<long>")
 
 
@@ -308,7 +353,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
         size = checkpointed(sized, "sizes", groups.count())
         new = size if seen is None else size.join(seen, ["label", "size"], "left_anti")  # groups only grow: with the same size they are the same
         members = groups.join(new, "label").join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("total").alias("n_bytes"), "node", "copies", "text")
-        found.append(checkpointed(_verified(members, words, Fraction(str(threshold)), block), "verified"))
+        exact = Fraction(str(threshold))
+        found.append(checkpointed(_verified(_cut(members, words, exact, block), words, exact, block), "verified"))
         seen = size.select("label", "size")
         links = reduce(DataFrame.unionByName, found).join(seen.withColumnRenamed("label", "comp"), ["comp", "size"], "left_semi")
         bins = links.where("bins is not null").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()

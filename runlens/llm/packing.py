@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import batch_of, shared_dir, ship, slices
-from runlens.llm.wavelet import encoder
+from runlens.llm.wavelet import ChunkEncoder
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
 SEQUENCES = pa.schema([("sequence_id", pa.int64()), ("closed", pa.bool_()), ("ids", pa.binary()), ("pieces", pa.list_(PIECE))])
@@ -32,6 +32,14 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 #: Bytes of text parts whose ids a worker remembers.
 KNOWN_BYTES = 128 << 20
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
+
+
+def _encoder(tokenizer: str, end_id: int) -> ChunkEncoder:
+    """One for each Python worker."""
+    if (tokenizer, end_id) not in _ENCODERS:
+        _ENCODERS[tokenizer, end_id] = ChunkEncoder(tokenizer, end_id, KNOWN_BYTES)
+    return _ENCODERS[tokenizer, end_id]
 
 
 class Bins:
@@ -129,7 +137,7 @@ def sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces():
-            enc = encoder(tokenizer, end_id, KNOWN_BYTES)
+            enc = _encoder(tokenizer, end_id)
             for b in slices(batches, "text", 8 << 20):
                 tokens, lengths = enc.encode(b.column(1))
                 at = 0

@@ -65,6 +65,19 @@ def test_against_all_pairs(spark, edge, edge_rows, clashing):
     assert got(near_dups.classes(clashing)) == brute([(r[0], r[1]) for r in edge_rows])
 
 
+def test_templates_are_not_compared(spark, monkeypatch):
+    """Pages with most of their words in common, but below the threshold, are one candidate group; few or none of their pairs reach verification."""
+    rnd = random.Random(11)
+    page = prose(rnd, 130)
+    rows = [(k, page + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(75))) for k in range(300)] + [(1000 + k, t) for k, (_, t) in enumerate(family(rnd, 9, 120, 0))]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    verified, cut = [], near_dups._cut
+    monkeypatch.setattr(near_dups, "_cut", lambda members, *a: verified.append((members.count(), (out := cut(members, *a)).count())) or out)
+    assert got(near_dups.classes(docs, block=16)) == brute(rows)
+    # what is left after the cut are small groups, which are compared whole
+    assert max(n for n, _ in verified) >= 100 and max(n for _, n in verified) <= 60 and verified[-1][1] <= 20, verified
+
+
 def test_deduplicated_keeps_one_of_each(spark, clashing, edge_rows, empty):
     kept = near_dups.deduplicated(clashing)
     assert kept.columns == clashing.columns
