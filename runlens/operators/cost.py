@@ -1,4 +1,6 @@
-"""Exact cost: decimals from rates in USD per million tokens. Tokens times rate is in micro-dollars, so one rounding gives six places."""
+"""Exact cost: counts of up to 38 digits times rates of up to 12 places, in USD per million tokens. Tokens times rate is in micro-dollars, so one rounding
+gives six places. What is too large to be held exactly has no cost but the reason `cost_precision_exceeded`: a count of over 38 digits, a cost of 10**31 USD
+or more."""
 
 from __future__ import annotations
 
@@ -7,13 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import wide
 from runlens.schema import USAGE_FIELDS
 from runlens.sources.rates import PRICE_KEYS
 
 SYNTHETIC = "<synthetic>"
 PAIRS = tuple(zip(USAGE_FIELDS, PRICE_KEYS))
+#: Counts below this are priced by one product and one rounding.
+SMALL = 10**15
 # Why a call has no price, in order of priority.
-REASONS = ("synthetic_span", "usage_missing", "model_not_in_snapshot", "rate_key_missing")
+REASONS = ("synthetic_span", "usage_missing", "model_not_in_snapshot", "rate_key_missing", "cost_precision_exceeded")
 
 
 def resolve(models: DataFrame, rates: DataFrame) -> DataFrame:
@@ -31,10 +36,11 @@ def resolve(models: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def price(usage: Column) -> Column:
-    """USD with six places, half up, from a usage struct and rate columns; null rates of zero counts don't matter."""
-    terms = [F.when(usage[f] == 0, F.lit(0).cast("decimal(30,4)")).otherwise((usage[f] * F.col(k)).cast("decimal(30,4)")) for f, k in PAIRS]
-    micro = F.round(reduce(lambda a, b: a + b, terms), 0).cast("decimal(32,0)")
-    return (micro.cast("decimal(38,6)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,6)")
+    """USD with six places, half up, from a usage struct and rate columns; null rates of zero counts don't matter. Null: too large."""
+    small = reduce(lambda a, b: a & b, (usage[f] < SMALL for f in USAGE_FIELDS))
+    terms = [(usage[f].cast("decimal(15,0)") * F.coalesce(F.col(k), F.lit(0).cast(wide.RATE))).cast("decimal(34,12)") for f, k in PAIRS]
+    micro = F.round(reduce(lambda a, b: a + b, terms), 0).cast(wide.COUNT)
+    return wide.usd(F.when(small, micro).otherwise(wide.micro_usd([(usage[f], F.col(k)) for f, k in PAIRS])))
 
 
 def priced(spans: DataFrame, rates: DataFrame) -> DataFrame:
@@ -46,28 +52,30 @@ def priced(spans: DataFrame, rates: DataFrame) -> DataFrame:
     lacks = F.array_sort(F.array_compact(F.array(*(F.when((F.col(f"usage.{f}") != 0) & F.col(k).isNull(), k) for f, k in PAIRS))))
     reason = F.when(F.col("error").isNotNull() | (F.col("model") == SYNTHETIC), REASONS[0]).when(F.col("usage").isNull(), REASONS[1]).when(F.col("model_key").isNull(), REASONS[2]).when(F.size(lacks) > 0, REASONS[3])
     rows = rows.withColumns({"missing_keys": lacks, "reason": reason})
-    return rows.select("trace_id", "seq", "agent_id", "model", F.when(F.col("reason").isNull(), F.col("model_key")).alias("model_key"), "usage", F.when(F.col("reason").isNull(), price(F.col("usage"))).alias("cost_usd"), "reason", F.when(F.col("reason") == REASONS[3], F.col("missing_keys")).alias("missing_keys"))
+    rows = rows.withColumn("cost_usd", F.when(F.col("reason").isNull(), price(F.col("usage"))))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("cost_usd").isNull(), REASONS[4])))
+    return rows.select("trace_id", "seq", "agent_id", "model", F.when(F.col("reason").isNull(), F.col("model_key")).alias("model_key"), "usage", "cost_usd", "reason", F.when(F.col("reason") == REASONS[3], F.col("missing_keys")).alias("missing_keys"))
 
 
 def _usage_sums(condition: Column | None = None) -> list[Column]:
     pick = (lambda c: c) if condition is None else (lambda c: F.when(condition, c))
-    zero = F.lit(0).cast("decimal(30,0)")
-    return [F.coalesce(F.sum(pick(F.col(f"usage.{f}"))), zero).cast("decimal(30,0)").alias(f) for f in USAGE_FIELDS]
+    return [wide.total(pick(F.col(f"usage.{f}"))).alias(f) for f in USAGE_FIELDS]
 
 
 def _cost(column: str = "cost_usd") -> Column:
-    return F.coalesce(F.sum(column), F.lit(0)).cast("decimal(38,6)")
+    """A sum of costs; null if it is too large."""
+    return F.when(F.count(column) == 0, F.lit(0).cast("decimal(38,6)")).otherwise(F.try_sum(column).cast("decimal(38,6)"))
 
 
 def totals(costs: DataFrame) -> DataFrame:
-    return costs.groupBy("trace_id").agg(_cost().alias("cost_usd"), F.count("cost_usd").alias("priced_calls"), F.count("reason").alias("unpriced_calls"), *_usage_sums())
+    return costs.groupBy("trace_id").agg(_cost().alias("cost_usd"), F.count("cost_usd").alias("priced_calls"), F.count("reason").alias("unpriced_calls"), F.count_if(F.col("reason") == REASONS[4]).alias("cost_precision_exceeded"), *_usage_sums())
 
 
 def by_agent(costs: DataFrame, agents: DataFrame) -> DataFrame:
     """Every agent of the trace, those without calls with zeros, and agents that only the calls name."""
     sums = costs.groupBy("trace_id", "agent_id").agg(_cost().alias("cost_usd"), F.count("cost_usd").alias("priced_calls"), F.count("reason").alias("unpriced_calls"))
     every = agents.select("trace_id", "agent_id").unionByName(sums.select("trace_id", "agent_id")).distinct()
-    zero = {"cost_usd": F.coalesce("cost_usd", F.lit(0)).cast("decimal(38,6)"), "priced_calls": F.coalesce("priced_calls", F.lit(0).cast("long")), "unpriced_calls": F.coalesce("unpriced_calls", F.lit(0).cast("long"))}
+    zero = {"cost_usd": F.when(F.col("priced_calls").isNull(), F.lit(0).cast("decimal(38,6)")).otherwise(F.col("cost_usd")), "priced_calls": F.coalesce("priced_calls", F.lit(0).cast("long")), "unpriced_calls": F.coalesce("unpriced_calls", F.lit(0).cast("long"))}
     return every.join(sums, ["trace_id", "agent_id"], "left").withColumns(zero)
 
 
@@ -90,7 +98,7 @@ def waste_by_finding(findings: DataFrame, waste: DataFrame, costs: DataFrame) ->
 def by_detector(findings: DataFrame, waste: DataFrame, costs: DataFrame) -> DataFrame:
     """Waste of each detector: a span counts once for a detector, though several of its findings may name it; detectors may overlap."""
     spans = _relevant(waste, costs).dropDuplicates(["trace_id", "detector", "seq"])
-    sums = spans.groupBy("trace_id", "detector").agg(_cost().alias("cost_usd"), F.count("reason").alias("unpriced_calls"), *_usage_sums(F.col("reason").isNull()), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), reduce(lambda a, b: a + b, (F.col(f"usage.{f}") for f in USAGE_FIELDS)))), F.lit(0)).cast("decimal(30,0)").alias("unpriced_tokens"))
+    sums = spans.groupBy("trace_id", "detector").agg(_cost().alias("cost_usd"), F.count("reason").alias("unpriced_calls"), *_usage_sums(F.col("reason").isNull()), wide.total(F.when(F.col("reason").isNotNull(), wide.added(*(F.col(f"usage.{f}") for f in USAGE_FIELDS)))).alias("unpriced_tokens"))
     lost = waste_by_finding(findings, waste, costs).groupBy("trace_id", "detector").agg(F.count("*").alias("findings"), F.count_if(F.col("wasted_cost_usd").isNull()).alias("findings_unpriced"))
     return lost.join(sums, ["trace_id", "detector"], "left")
 

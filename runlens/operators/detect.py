@@ -1,7 +1,8 @@
-"""Detectors: each is a plan from spans to findings and, where calls were wasted, to a bridge table of wasted spans.
+"""Detectors: each is a plan from spans to findings and, where calls were wasted, to a table of wasted spans.
 
-A detector gives `core` (trace_id, detector, severity, metrics columns, all_seqs, agent_ids, previews) and `waste` (trace_id, key, seq);
-`findings` caps the evidence, builds the metrics document and names the finding by its digest.
+A detector counts a group in one aggregation and takes its evidence apart from that: the least rows by seq, cut to 50 (or 5) in each task before the
+shuffle and again behind it, so a group of any size never meets in one row. `finished` names the finding by its digest; wasted spans stay rows, and
+find their finding by its group.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions import wide
 from runlens.functions.text import json_text, says_unknown_tool, short_sha, tool_name
 from runlens.functions.time import duration_ms, millis_between
 from runlens.schema import SEVERITIES, USAGE_FIELDS
+from runlens.workers import materialized
 
 EVIDENCE, PREVIEWS = 50, 5
 # Thresholds.
@@ -40,7 +43,7 @@ class Config:
 
 
 def total_tokens(usage: Column) -> Column:
-    return reduce(lambda a, b: a + b, (usage[f] for f in USAGE_FIELDS))
+    return wide.added(*(usage[f] for f in USAGE_FIELDS))
 
 
 def evidence(seqs: Column) -> Column:
@@ -51,9 +54,32 @@ def shown(previews: Column) -> Column:
     return F.slice(F.filter(previews, lambda x: x.isNotNull() & (x != "")), 1, PREVIEWS)
 
 
-def in_order(value: Column) -> Column:
-    """Values of a group in the order of seq."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("k"), value.alias("x")))), lambda r: r["x"])
+def group_key(*keys: Column | str) -> Column:
+    """A group's keys as text, nulls told from texts, so that groups are joined by plain equality."""
+    return F.to_json(F.struct(*(F.col(k) if isinstance(k, str) else k for k in keys)), {"ignoreNullFields": "false"})
+
+
+def least(rows: DataFrame, most: int, name: str, value: Column, order: str = "seq") -> DataFrame:
+    """trace_id, key and the values of the group's `most` least rows by `order`, in that order.
+
+    The rank is a filter on a window, which Spark applies in each task first: of a group no more than `most` rows of a task are shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy("trace_id", "key").orderBy(order))
+    top = rows.select("trace_id", "key", F.col(order).alias(order), value.alias("x")).withColumn("place", place).where(F.col("place") <= most)
+    return top.groupBy("trace_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias(name))
+
+
+def with_least(groups: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Groups with their evidence; those without have empty arrays."""
+    for part in parts:
+        name = part.columns[-1]
+        groups = groups.join(part, ["trace_id", "key"], "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return groups
+
+
+def spoken(rows: DataFrame, text: Column) -> DataFrame:
+    """Rows with a preview that is shown, as `text`."""
+    return rows.withColumn("text", text).where("text is not null and text <> ''")
 
 
 def metrics_json(pairs: list[tuple[str, Column, bool]]) -> Column:
@@ -69,23 +95,34 @@ def finished(core: DataFrame, detector: str, metrics: list[tuple[str, Column, bo
     rows = core.withColumns({"detector": F.lit(detector), "metrics": metrics_json(metrics), "span_seqs": evidence(F.col("all_seqs")), "agent_ids": F.array_sort(F.array_distinct("agents")), "previews": shown(F.col("texts")), "summary": summary})
     text = F.concat(F.lit(f'{{"detector":"{detector}","metrics":'), "metrics", F.lit(',"spans":['), F.array_join(F.transform("span_seqs", lambda x: x.cast("string")), ","), F.lit('],"trace":'), json_text(F.col("trace_id")), F.lit("}"))
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int") - 1
-    return rows.withColumns({"finding_id": F.concat(F.lit(f"{detector}:"), short_sha(text, 12)), "severity_rank": rank, "waste_seqs": F.col("waste") if "waste" in core.columns else F.array().cast("array<int>")}).select(
-        "trace_id", "detector", "finding_id", "severity", "severity_rank", "summary", "span_seqs", "agent_ids", "metrics", "previews", "waste_seqs"
+    return rows.withColumns({"finding_id": F.concat(F.lit(f"{detector}:"), short_sha(text, 12)), "severity_rank": rank, "key": F.col("key") if "key" in core.columns else F.lit(None).cast("string")}).select(
+        "trace_id", "detector", "finding_id", "severity", "severity_rank", "summary", "span_seqs", "agent_ids", "metrics", "previews", "key"
     )
 
 
+def repeated_calls(spans: DataFrame) -> DataFrame:
+    return spans.where("kind = 'tool_call'").withColumn("key", group_key("tool_name", "tool_input_digest"))
+
+
 def repeated_tool_call(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
     """The same tool with the same input, twice or more in a trace, whatever the agent."""
-    calls = spans.where("kind = 'tool_call'")
-    rows = calls.groupBy("trace_id", "tool_name", "tool_input_digest").agg(
-        F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.array_sort(F.collect_list("seq")).alias("all_seqs"), F.collect_set("agent_id").alias("agents"),
-        F.min_by("tool_input_preview", "seq").alias("text"), in_order(F.col("parent_seq")).alias("parents"),
+    calls = repeated_calls(spans)
+    rows = calls.groupBy("trace_id", "key").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.collect_set("agent_id").alias("agents"), F.min_by(F.struct("tool_name", "tool_input_preview"), "seq").alias("t"),
     ).where("n >= 2")
-    name, odd = tool_name(F.col("tool_name"))
-    rows = rows.withColumns({"severity": F.when(F.col("n") >= REPEATED_CRITICAL, "critical").otherwise("warning"), "name": name, "texts": F.array("text", odd), "waste": F.array_distinct(F.array_compact(F.slice("parents", F.lit(2), F.size("parents"))))})
+    name, odd = tool_name(F.col("t.tool_name"))
+    rows = with_least(rows, least(calls, EVIDENCE, "all_seqs", F.col("seq")))
+    rows = rows.withColumns({"severity": F.when(F.col("n") >= REPEATED_CRITICAL, "critical").otherwise("warning"), "name": name, "texts": F.array("t.tool_input_preview", odd)})
     return finished(rows, "repeated_tool_call", [("first_seq", F.col("first_seq"), False), ("last_seq", F.col("last_seq"), False), ("occurrences", F.col("n"), False), ("tool_name", F.col("name"), True)], F.format_string("%s called %d times with the same input, first at span %d", "name", "n", "first_seq"))
 
 
+def repeated_waste(spans: DataFrame) -> DataFrame:
+    """The model calls that made every call of a group but its first."""
+    calls = repeated_calls(spans)
+    first = calls.groupBy("trace_id", "key").agg(F.min("seq").alias("first_seq"))
+    return calls.join(first, ["trace_id", "key"]).where("seq > first_seq and parent_seq is not null").select("trace_id", "key", F.col("parent_seq").alias("seq"))
+
+
 def signatures(spans: DataFrame) -> DataFrame:
     """Model calls with what they did: their first tool call, or their text; pos counts an agent's calls."""
     first = spans.where("kind = 'tool_call' and parent_seq is not null").groupBy("trace_id", F.col("parent_seq").alias("seq")).agg(F.min_by(F.struct("tool_name", "tool_input_digest"), "seq").alias("t"))
@@ -123,8 +160,8 @@ def loops(rows: DataFrame, keys: tuple[str, ...], most_period: int = LOOP_PERIOD
     return candidates.select(*keys, F.explode(folded).alias("h")).select(*keys, "h.*")
 
 
-def agent_loop(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
-    """An agent that does the same one to eight model calls three times or more in a row."""
+def looped_calls(spans: DataFrame) -> DataFrame:
+    """Model calls inside loops, with their loop: period, start, repeats."""
     calls = signatures(spans)
     keys = ("trace_id", "agent_id")
     found = loops(calls, keys).select(*keys, F.col("start").alias("pos"), F.struct("period", "start", "repeats").alias("loop"), F.lit(0).alias("call"))
@@ -132,15 +169,25 @@ def agent_loop(spans: DataFrame, warnings: DataFrame | None, config: Config) ->
     marked = calls.withColumn("call", F.lit(1)).unionByName(found, allowMissingColumns=True)
     at = Window.partitionBy(*keys).orderBy("pos", "call").rowsBetween(Window.unboundedPreceding, 0)
     inside = marked.withColumn("loop", F.last("loop", ignorenulls=True).over(at)).where("call = 1 and loop is not null").drop("call").select("*", "loop.*").drop("loop")
-    inside = inside.where(F.col("pos") < F.col("start") + F.col("period") * F.col("repeats"))
-    rows = inside.groupBy(*keys, "period", "start", "repeats").agg(
-        F.array_sort(F.collect_list("seq")).alias("all_seqs"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("text_preview", "seq").alias("text"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") >= F.col("start") + F.col("period"), F.col("seq")))).alias("waste"),
-    )
+    return inside.where(F.col("pos") < F.col("start") + F.col("period") * F.col("repeats")).withColumn("key", group_key("agent_id", "period", "start", "repeats"))
+
+
+def agent_loop(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
+    """An agent that does the same one to eight model calls three times or more in a row."""
+    inside = looped_calls(spans)
+    rows = inside.groupBy("trace_id", "key").agg(
+        F.first(F.struct("agent_id", "period", "repeats")).alias("g"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("text_preview", "seq").alias("text"),
+    ).select("*", "g.*").drop("g")
+    rows = with_least(rows, least(inside, EVIDENCE, "all_seqs", F.col("seq")))
     rows = rows.withColumns({"severity": F.when(F.col("repeats") >= LOOP_CRITICAL, "critical").otherwise("warning"), "agents": F.array("agent_id"), "texts": F.array("text")})
     return finished(rows, "agent_loop", [(k, F.col(k), False) for k in ("end_seq", "period", "repeats", "start_seq")], F.format_string("a cycle of %d model calls ran %d times from span %d", "period", "repeats", "start_seq"))
 
 
+def loop_waste(spans: DataFrame) -> DataFrame:
+    """Every call of a loop behind its first round."""
+    return looped_calls(spans).where(F.col("pos") >= F.col("start") + F.col("period")).select("trace_id", "key", "seq")
+
+
 def error_kind() -> Column:
     """tool_error, api_error (a failed model call) or null."""
     return F.when((F.col("kind") == "tool_call") & (F.col("tool_result_status") == "error"), "tool_error").when((F.col("kind") == "model_call") & F.col("error").isNotNull(), "api_error")
@@ -163,26 +210,40 @@ def storm_runs(rows: DataFrame, keys: tuple[str, ...], order: str = "seq") -> Da
     return inside.where("pos between lo and hi")
 
 
+def storm_spans(spans: DataFrame) -> DataFrame:
+    """Spans of storms, from the first error to the last."""
+    kinds = spans.withColumn("ek", error_kind()).withColumn("err", F.col("ek").isNotNull())
+    rows = storm_runs(kinds.select("trace_id", "agent_id", "seq", "kind", "ek", "err", "tool_result_preview", F.col("error.detail").alias("detail")), ("trace_id", "agent_id"))
+    return rows.withColumn("key", group_key("agent_id", "run"))
+
+
 def retry_storm(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
     """Three errors or more within ten spans of an agent."""
-    kinds = spans.withColumn("ek", error_kind()).withColumn("err", F.col("ek").isNotNull())
-    inside = storm_runs(kinds.select("trace_id", "agent_id", "seq", "kind", "ek", "err", "tool_result_preview", F.col("error.detail").alias("detail")), ("trace_id", "agent_id"))
-    text = F.coalesce(F.nullif("tool_result_preview", F.lit("")), "detail", F.lit(""))
+    inside = storm_spans(spans)
+    errors = inside.where("err")
     of_error = lambda c: F.when(F.col("err"), c)
-    rows = inside.groupBy("trace_id", "agent_id", "run").agg(
-        F.count("*").alias("window_spans"), F.count_if("err").alias("n"), F.min(of_error(F.col("seq"))).alias("start_seq"), F.max(of_error(F.col("seq"))).alias("end_seq"), F.array_sort(F.collect_set("ek")).alias("eks"),
-        F.array_sort(F.collect_list(of_error(F.col("seq")))).alias("all_seqs"), in_order(of_error(text)).alias("texts"), F.array_sort(F.collect_list(F.when(F.col("kind") == "model_call", F.col("seq")))).alias("waste"),
+    rows = inside.groupBy("trace_id", "key").agg(
+        F.first("agent_id").alias("agent_id"), F.count("*").alias("window_spans"), F.count_if("err").alias("n"), F.min(of_error(F.col("seq"))).alias("start_seq"), F.max(of_error(F.col("seq"))).alias("end_seq"), F.array_sort(F.collect_set("ek")).alias("eks"),
     )
+    text = F.coalesce(F.nullif("tool_result_preview", F.lit("")), "detail")
+    rows = with_least(rows, least(errors, EVIDENCE, "all_seqs", F.col("seq")), least(spoken(errors, text), PREVIEWS, "texts", F.col("text")))
     rows = rows.withColumns({"severity": F.when(F.col("n") >= STORM_CRITICAL, "critical").otherwise("warning"), "agents": F.array("agent_id"), "kinds": F.when(F.size("eks") > 1, "mixed").otherwise(F.get("eks", F.lit(0)))})
     return finished(rows, "retry_storm", [("end_seq", F.col("end_seq"), False), ("errors", F.col("n"), False), ("kinds", F.col("kinds"), True), ("start_seq", F.col("start_seq"), False), ("window_spans", F.col("window_spans"), False)], F.format_string("%d errors within %d spans from span %d", "n", "window_spans", "start_seq"))
 
 
+def storm_waste(spans: DataFrame) -> DataFrame:
+    """The model calls of a storm."""
+    return storm_spans(spans).where("kind = 'model_call'").select("trace_id", "key", "seq")
+
+
 def failed_tool_call(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:
     """Tools that failed, by agent and tool."""
-    bad = spans.where("kind = 'tool_call' and tool_result_status = 'error'")
-    rows = bad.groupBy("trace_id", "agent_id", "tool_name").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list("seq")).alias("all_seqs"), in_order(F.col("tool_result_preview")).alias("results"))
+    bad = spans.where("kind = 'tool_call' and tool_result_status = 'error'").withColumn("key", group_key("agent_id", "tool_name"))
+    rows = bad.groupBy("trace_id", "key").agg(F.first(F.struct("agent_id", "tool_name")).alias("g"), F.count("*").alias("n"), F.min("seq").alias("first_seq")).select("*", "g.*").drop("g")
+    said = spoken(bad, F.col("tool_result_preview")).groupBy("trace_id", "key", "text").agg(F.min("seq").alias("seq"))
+    rows = with_least(rows, least(bad, EVIDENCE, "all_seqs", F.col("seq")), least(said, PREVIEWS, "results", F.col("text")))
     name, odd = tool_name(F.col("tool_name"))
-    rows = rows.withColumns({"severity": F.when(F.col("n") >= 2, "warning").otherwise("info"), "name": name, "agents": F.array("agent_id"), "texts": F.concat(F.array_distinct("results"), F.array(odd))})
+    rows = rows.withColumns({"severity": F.when(F.col("n") >= 2, "warning").otherwise("info"), "name": name, "agents": F.array("agent_id"), "texts": F.concat("results", F.array(odd))})
     return finished(rows, "failed_tool_call", [("failures", F.col("n"), False), ("first_seq", F.col("first_seq"), False), ("tool_name", F.col("name"), True)], F.format_string("%s failed %d times, first at span %d", "name", "n", "first_seq"))
 
 
@@ -191,8 +252,10 @@ def unresolved_tool_call(spans: DataFrame, warnings: DataFrame | None, config: C
     last = F.max("seq").over(Window.partitionBy("trace_id", "agent_id"))
     calls = spans.withColumn("last", last).where("kind = 'tool_call'")
     reason = F.when((F.col("tool_result_status") == "missing") & (F.col("seq") != F.col("last")), "no_result").when((F.col("tool_result_status") == "error") & says_unknown_tool(F.col("tool_result_preview")), "unknown_tool")
+    open_ = calls.withColumn("reason", reason).where("reason is not null").withColumn("key", group_key("agent_id", "reason"))
+    rows = open_.groupBy("trace_id", "key").agg(F.first(F.struct("agent_id", "reason")).alias("g"), F.count("*").alias("n"), F.min_by(F.struct("tool_name"), "seq").alias("t")).select("*", "g.*").drop("g")
     text = F.coalesce(F.nullif("tool_result_preview", F.lit("")), "tool_input_preview")
-    rows = calls.withColumn("reason", reason).where("reason is not null").groupBy("trace_id", "agent_id", "reason").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.min_by(F.struct("tool_name"), "seq").alias("t"), F.array_sort(F.collect_list("seq")).alias("all_seqs"), in_order(text).alias("results"))
+    rows = with_least(rows, least(open_, EVIDENCE, "all_seqs", F.col("seq")), least(spoken(open_, text), PREVIEWS, "results", F.col("text")))
     name, odd = tool_name(F.col("t.tool_name"))
     rows = rows.select("trace_id", "reason", "n", "all_seqs", F.array("agent_id").alias("agents"), name.alias("name"), F.concat("results", F.array(odd)).alias("texts"))
     if warnings is not None:
@@ -302,7 +365,7 @@ def anomalous_span(spans: DataFrame, warnings: DataFrame | None, config: Config)
     """Model calls with far more tokens, or far longer, than the trace's other calls."""
     calls = spans.where("kind = 'model_call' and usage is not null")
     enough = calls.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") >= OUTLIER_POPULATION).select("trace_id")
-    calls = calls.join(enough, "trace_id", "left_semi").select("trace_id", "agent_id", "seq", "text_preview", total_tokens(F.col("usage")).cast("long").alias("tokens"), duration_ms(F.col("start"), F.col("end")).alias("duration_ms"))
+    calls = calls.join(enough, "trace_id", "left_semi").select("trace_id", "agent_id", "seq", "text_preview", F.least(total_tokens(F.col("usage")), F.lit((1 << 63) - 1)).cast("long").alias("tokens"), duration_ms(F.col("start"), F.col("end")).alias("duration_ms"))
     values = calls.select("trace_id", "agent_id", "seq", "text_preview", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in OUTLIER_FLOORS))).alias("v")).select("trace_id", "agent_id", "seq", "text_preview", "v.*").where("value is not null")
     floor = F.create_map(*(F.lit(x) for kv in OUTLIER_FLOORS.items() for x in kv))[F.col("dimension")]
     rows = outliers(values, ("trace_id", "dimension"), floor)
@@ -314,21 +377,24 @@ def anomalous_span(spans: DataFrame, warnings: DataFrame | None, config: Config)
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame | None, Config], DataFrame]] = {
     f.__name__: f for f in (repeated_tool_call, agent_loop, retry_storm, failed_tool_call, unresolved_tool_call, blocked_agent, anomalous_span)
 }
-#: Those whose spans of waste are attributed.
-WASTEFUL = ("repeated_tool_call", "agent_loop", "retry_storm")
+#: Wasted spans (trace_id, key of the group, seq) of the detectors whose waste is attributed.
+WASTE: dict[str, Callable[[DataFrame], DataFrame]] = {"repeated_tool_call": repeated_waste, "agent_loop": loop_waste, "retry_storm": storm_waste}
+WASTEFUL = tuple(WASTE)
 
 
 def run(spans: DataFrame, warnings: DataFrame | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """findings, and finding_waste (trace_id, finding_id, detector, seq): plans of detectors that aren't enabled are never built."""
-    chosen = [f for name, f in DETECTORS.items() if config.enabled is None or name in config.enabled]
-    rows = reduce(DataFrame.unionByName, [f(spans, warnings, config) for f in chosen])
-    waste = rows.where(F.size("waste_seqs") > 0).select("trace_id", "finding_id", "detector", F.explode("waste_seqs").alias("seq"))
+    chosen = {name: f for name, f in DETECTORS.items() if config.enabled is None or name in config.enabled}
+    rows = materialized(reduce(DataFrame.unionByName, [f(spans, warnings, config) for f in chosen.values()]), "found")
+    named = rows.select("trace_id", "detector", "key", "finding_id")
+    every = [WASTE[name](spans).withColumn("detector", F.lit(name)) for name in chosen if name in WASTE]
+    none = spans.sparkSession.createDataFrame([], "trace_id string, key string, seq int, detector string")
+    waste = reduce(DataFrame.unionByName, every, none).join(named, ["trace_id", "detector", "key"]).select("trace_id", "finding_id", "detector", "seq").distinct()
     calls = spans.where("kind = 'model_call' and usage is not null").select("trace_id", "seq", "usage")
-    waste = waste.distinct().join(calls, ["trace_id", "seq"]).select("trace_id", "finding_id", "detector", "seq", "usage")
-    zero = F.lit(0).cast("decimal(20,0)")
-    sums = waste.groupBy("trace_id", "finding_id").agg(F.struct(*(F.sum(f"usage.{f}").cast("decimal(20,0)").alias(f) for f in USAGE_FIELDS)).alias("wasted"))
-    none = F.struct(*(zero.alias(f) for f in USAGE_FIELDS))
-    findings = rows.drop("waste_seqs").join(sums, ["trace_id", "finding_id"], "left").withColumn("wasted", F.coalesce("wasted", none))
+    waste = waste.join(calls, ["trace_id", "seq"]).select("trace_id", "finding_id", "detector", "seq", "usage")
+    sums = waste.groupBy("trace_id", "finding_id").agg(F.struct(*(wide.total(F.col(f"usage.{f}")).alias(f) for f in USAGE_FIELDS)).alias("wasted"))
+    nothing = F.struct(*(F.lit(0).cast(wide.COUNT).alias(f) for f in USAGE_FIELDS))
+    findings = rows.drop("key").join(sums, ["trace_id", "finding_id"], "left").withColumn("wasted", F.coalesce("wasted", nothing))
     return findings, waste.drop("usage")
 
 

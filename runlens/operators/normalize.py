@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.text import digest_id, preview, preview_within, safe_agent_id, short_sha, slug, tool_inputs
+from runlens.functions import wide
 from runlens.functions.time import parse_timestamp
-from runlens.schema import USAGE, USAGE_FIELDS
+from runlens.functions.wide import COUNT, most
+from runlens.schema import NO_VIOLATIONS, USAGE, USAGE_FIELDS, agent_rules, span_rules
 from runlens.sources.scan import PHASES
 from runlens.workers import materialized
 
@@ -33,11 +35,17 @@ def string_at(v: Column, path: str) -> Column:
     return F.when(kind_of(x) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def count_at(v: Column, path: str) -> Column:
-    """A whole number of 0 or more; 0 for anything else, fractions written as 1.0 and booleans included."""
+def count_at(v: Column, path: str, line: Column | None = None, line_path: str | None = None) -> Column:
+    """A whole number of 0 or more; 0 for anything else, fractions written as 1.0 and booleans included.
+
+    A variant holds 38 digits. Where `line` is the JSON text with the number at line_path, one of more digits is `MOST`; it is looked up only then.
+    """
     x = kind_of(F.try_variant_get(v, path, "variant"))
     whole = (x == "BIGINT") | x.rlike(r"\ADECIMAL\((19|2\d|3\d),0\)\z")
-    return F.when(whole, F.greatest(F.coalesce(F.try_variant_get(v, path, "decimal(20,0)"), F.lit(0)), F.lit(0))).otherwise(F.lit(0)).cast("decimal(20,0)")
+    count = F.when(whole, F.greatest(F.coalesce(F.try_variant_get(v, path, COUNT), F.lit(0).cast(COUNT)), F.lit(0).cast(COUNT)))
+    if line is not None:
+        count = count.when((x == "DOUBLE") & (F.try_variant_get(v, path, "double") > 9e37) & F.get_json_object(line, line_path).rlike(r"\A\d{39,}\z"), most())
+    return count.otherwise(F.lit(0).cast(COUNT))
 
 
 def true_at(v: Column, path: str) -> Column:
@@ -60,18 +68,19 @@ def joined_text(content: Column) -> Column:
     return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.coalesce(F.array_join(texts, " "), F.lit("")))
 
 
-def usage_of(message: Column) -> Column:
-    """Five counters that don't overlap; null without a usage object."""
+def usage_of(message: Column, line: Column | None = None) -> Column:
+    """Five counters that don't overlap; null without a usage object. line: the record's JSON text."""
     u = object_at(message, "$.usage")
     split = object_at(u, "$.cache_creation")
+    at = lambda o, name, inside="": count_at(o, f"$.{name}", line, f"$.message.usage.{inside}{name}")
     return F.when(
         u.isNotNull(),
         F.struct(
-            count_at(u, "$.input_tokens").alias(USAGE_FIELDS[0]),
-            count_at(u, "$.output_tokens").alias(USAGE_FIELDS[1]),
-            count_at(u, "$.cache_read_input_tokens").alias(USAGE_FIELDS[2]),
-            F.when(split.isNotNull(), count_at(split, "$.ephemeral_5m_input_tokens")).otherwise(count_at(u, "$.cache_creation_input_tokens")).alias(USAGE_FIELDS[3]),
-            F.when(split.isNotNull(), count_at(split, "$.ephemeral_1h_input_tokens")).otherwise(F.lit(0).cast("decimal(20,0)")).alias(USAGE_FIELDS[4]),
+            at(u, "input_tokens").alias(USAGE_FIELDS[0]),
+            at(u, "output_tokens").alias(USAGE_FIELDS[1]),
+            at(u, "cache_read_input_tokens").alias(USAGE_FIELDS[2]),
+            F.when(split.isNotNull(), at(split, "ephemeral_5m_input_tokens", "cache_creation.")).otherwise(at(u, "cache_creation_input_tokens")).alias(USAGE_FIELDS[3]),
+            F.when(split.isNotNull(), at(split, "ephemeral_1h_input_tokens", "cache_creation.")).otherwise(F.lit(0).cast(COUNT)).alias(USAGE_FIELDS[4]),
         ),
     ).cast(USAGE)
 
@@ -81,28 +90,32 @@ def keys_of(v: Column) -> Column:
 
 
 def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Typed records of the traces without a fatal error, and all fatal errors."""
+    """Typed records of the traces without a fatal error, and all fatal errors.
+
+    Every value is taken from a line once: one pass writes the typed records of all lines with the error of each, and all else reads that table.
+    """
     v = F.col("v")
-    rows = scanned["lines"].where(F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False)))
     message_kind = kind_of(F.try_variant_get(v, "$.message", "variant"))
-    rows = rows.withColumns({
-        "type": string_at(v, "$.type"), "uuid": string_at(v, "$.uuid"), "stamp": string_at(v, "$.timestamp"), "message": object_at(v, "$.message"),
+    rows = scanned["lines"].withColumns({
+        "object": F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False)), "type": string_at(v, "$.type"), "uuid": string_at(v, "$.uuid"), "stamp": string_at(v, "$.timestamp"), "message": object_at(v, "$.message"),
         "bad_message": F.coalesce(~(message_kind.startswith("OBJECT") | (message_kind == "VOID")), F.lit(False)),
-    }).withColumn("when", parse_timestamp(F.col("stamp")))
+        "agent_id": safe_agent_id(string_at(v, "$.agentId")), "session": string_at(v, "$.sessionId"), "request": string_at(v, "$.requestId"),
+        "subtype": string_at(v, "$.subtype"), "api_error": true_at(v, "$.isApiErrorMessage"), "api_status": string_at(v, "$.apiErrorStatus"), "api_code": string_at(v, "$.error"), "keys": F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")),
+    }).withColumns({
+        "when": parse_timestamp(F.col("stamp")), "message_id": string_at(F.col("message"), "$.id"), "content": F.try_variant_get(F.coalesce("message", "v"), "$.content", "variant"),
+        "n_extra": F.size(F.array_except("keys", F.array(*map(F.lit, (*RECORD_KEYS, *IGNORED_KEYS))))),
+    })
     missing = (F.coalesce("type", F.lit("")) == "") | (F.coalesce("uuid", F.lit("")) == "") | (F.coalesce("stamp", F.lit("")) == "")
     code = F.when(missing, "missing_field").when(F.col("when").isNull(), "bad_timestamp").when(F.col("type").isin("assistant", "user") & F.col("bad_message"), "bad_message")
-    parse = rows.select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", code.alias("code")).where("code is not null")
+    rows = materialized(rows.withColumn("code", F.when(F.col("object"), code)).drop("v", "stamp", "bad_message"), "records").where("object").drop("object")
+    parse = rows.select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", "code").where("code is not null")
     nth = F.row_number().over(Window.partitionBy("trace_id", "file_index", "uuid").orderBy("line"))
     again = rows.withColumn("nth", nth).where("nth > 1").select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", F.lit("duplicate_uuid").alias("code"))
     fatal = scanned["fatal"].unionByName(parse).unionByName(again)
     # the error that a reader of one file after another would meet first
     fatal = fatal.groupBy("trace_id").agg(F.min(F.struct("phase", "file_index", "line", "code")).alias("e")).select("trace_id", "e.*")
-    rows = rows.join(fatal.select("trace_id"), "trace_id", "left_anti").withColumns({
-        "agent_id": safe_agent_id(string_at(v, "$.agentId")), "session": string_at(v, "$.sessionId"), "request": string_at(v, "$.requestId"), "message_id": string_at(F.col("message"), "$.id"),
-        "subtype": string_at(v, "$.subtype"), "api_error": true_at(v, "$.isApiErrorMessage"), "api_status": string_at(v, "$.apiErrorStatus"), "api_code": string_at(v, "$.error"),
-        "content": F.try_variant_get(F.coalesce("message", "v"), "$.content", "variant"), "keys": keys_of(v),
-    })
-    return rows.withColumn("n_extra", F.size(F.array_except("keys", F.array(*map(F.lit, (*RECORD_KEYS, *IGNORED_KEYS)))))), fatal
+    fatal = materialized(fatal, "fatal")
+    return rows.drop("code").join(fatal.select("trace_id"), "trace_id", "left_anti"), fatal
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -122,7 +135,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     """Assistant records with the key of the call that they are fragments of. Null ids are ids of their own; without both, a record stands alone."""
     solo = F.col("message_id").isNull() & F.col("request").isNull()
     key = F.when(solo, F.concat(F.lit("solo:"), F.col("record_index"))).otherwise(F.to_json(F.struct("session", "agent_id", "message_id", "request"), {"ignoreNullFields": "false"}))
-    return rows.where("type = 'assistant'").withColumn("key", key).withColumn("usage", usage_of(F.col("message")))
+    return rows.where("type = 'assistant'").withColumn("key", key).withColumn("usage", usage_of(F.col("message"), F.col("value")))
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
@@ -144,8 +157,7 @@ def collapsed(rows: DataFrame) -> DataFrame:
 def collapse_stats(rows: DataFrame) -> DataFrame:
     """Records and calls of each trace, and token sums counted naively and after the collapse. API errors count in neither sum."""
     parts = grouped(rows)
-    zero = F.lit(0).cast("decimal(20,0)")
-    total = lambda name: [F.coalesce(F.sum(f"usage.{f}"), zero).cast("decimal(30,0)").alias(f"{name}_{f}") for f in USAGE_FIELDS]
+    total = lambda name: [wide.total(F.col(f"usage.{f}")).alias(f"{name}_{f}") for f in USAGE_FIELDS]
     naive = parts.where("not api_error").groupBy("trace_id").agg(*total("naive"))
     records_ = parts.groupBy("trace_id").agg(F.count("*").alias("records"))
     calls = collapsed(parts)
@@ -173,7 +185,6 @@ def tool_results(all_blocks: DataFrame) -> DataFrame:
 def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, previews: bool = True) -> dict[str, DataFrame]:
     """spans, agents, warnings, fatal, source_files and stats of all traces. previews=False leaves free text out."""
     rows, fatal = records(scanned)
-    rows, fatal = materialized(rows.drop("v", "stamp", "bad_message"), "records"), materialized(fatal, "fatal")
     shown = (lambda c, n=240: preview(c, n)) if previews else (lambda c, n=240: F.lit(""))
     every = materialized(blocks(rows), "blocks")
     parts = grouped(rows)
@@ -211,15 +222,21 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
     spans = spans.withColumn("span_id", digest_id(*map(F.col, ("trace_id", "agent_id", "seq", "kind"))))
     call = F.first(F.struct("seq", "span_id")).over(Window.partitionBy("trace_id", "anchor").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
     spans = spans.withColumn("parent", F.when(F.col("kind") == "tool_call", call)).withColumns({"parent_seq": F.col("parent.seq"), "parent_span_id": F.col("parent.span_id")}).drop("parent")
-    spans = materialized(spans, "spans")
-    agents = agents_of(spans, side)
+    broken: list[DataFrame] = []
+    spans = materialized(spans, "spans", span_rules(), broken)
+    agents = materialized(agents_of(spans, side), "agents", agent_rules(), broken)
     log = warnings_of(rows, every, calls, spans)
     public = spans.select(
         "trace_id", "seq", "span_id", "parent_span_id", "parent_seq", "agent_id", "kind", "start", "end", "model", "usage", "stop_reason", "tool_name", "tool_use_id", "tool_input_digest",
         "tool_result_status", "text_preview", "tool_input_preview", "tool_result_preview", "error", "extras_dropped",
     )
     sources = scanned["source_files"].join(fatal.select("trace_id"), "trace_id", "left_anti")
-    return {"spans": public, "agents": agents, "warnings": log, "fatal": fatal, "source_files": sources, "stats": collapse_stats(rows)}
+    return {"spans": public, "agents": agents, "warnings": log, "fatal": fatal, "source_files": sources, "stats": collapse_stats(rows), "violations": all_of(broken, spans)}
+
+
+def all_of(broken: list[DataFrame], like: DataFrame) -> DataFrame:
+    """Tables of broken rules as one."""
+    return reduce(DataFrame.unionByName, broken, like.sparkSession.createDataFrame([], NO_VIOLATIONS))
 
 
 def agents_of(spans: DataFrame, side: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as tx
 from runlens.operators import cost, detect, timeline
-from runlens.operators.normalize import agents_of, blocks, collapse_stats, collapsed, distinct_blocks, grouped, normalized, records, tool_results
+from runlens.operators.normalize import agents_of, blocks, collapse_stats, collapsed, distinct_blocks, grouped, normalized, records, tool_results, usage_of
 from runlens.schema import SOURCE_FILES, USAGE, USAGE_FIELDS
 from runlens.sources import rates
 from runlens.sources.scan import trace_id_of
@@ -384,6 +384,24 @@ def q20_by_detector(spark, d):
     return rows.select("trace_id", "findings", "findings_unpriced", cost.format_usd(F.col("cost_usd")).alias("cost_usd"), "unpriced_calls")
 
 
+@query("""WITH e AS (SELECT event_id, round(value * 100)::HUGEINT AS t FROM events WHERE event_type = 'view'),
+u AS (SELECT event_id, t, event_id % 10 = 0 AS over, (event_id + 1)::HUGEINT * 1000000000000000000 + t AS n FROM e),
+m AS (SELECT *, (n * 3000000000001 + t * 15000000000000 + 500000000000) // 1000000000000 AS micro FROM u WHERE NOT over)
+SELECT event_id, n::VARCHAR AS input_tokens, (micro // 1000000)::VARCHAR || '.' || lpad((micro % 1000000)::VARCHAR, 6, '0') AS cost_usd, 'priced' AS outcome FROM m
+UNION ALL SELECT event_id, repeat('9', 38), NULL, 'cost_precision_exceeded' FROM u WHERE over""")
+def q36_wide_costs(spark, d):
+    """Counts of 19 to 25 digits, and every tenth of over 38, from JSON lines, at a rate of 12 places."""
+    t = F.round(F.col("value") * 100).cast("long").cast("string")
+    n = F.concat((F.col("event_id") + 1).cast("string"), F.lpad(t, 18, "0"), F.when(F.col("event_id") % 10 == 0, "0" * 20).otherwise(""))
+    line = F.concat(F.lit('{"message":{"usage":{"input_tokens":'), n, F.lit(',"output_tokens":'), t, F.lit("}}}"))
+    rows = table(spark, d, "events").where("event_type = 'view'").select("event_id", line.alias("line"))
+    use = usage_of(F.try_variant_get(F.try_parse_json("line"), "$.message", "variant"), F.col("line"))
+    spans = rows.select(F.lit("t").alias("trace_id"), F.col("event_id").alias("seq"), F.lit("root").alias("agent_id"), F.lit("model_call").alias("kind"), F.lit("m").alias("model"), use.alias("usage"), F.lit(None).cast("struct<code:string,detail:string>").alias("error"))
+    some = {"meta": {}, "models": {"m": {"input": rates.parse_rate("3.000000000001"), "output": rates.parse_rate("15")}}, "aliases": {}}
+    out = cost.priced(spans, rates.table(spark, some))
+    return out.select(F.col("seq").alias("event_id"), F.col("usage.input_tokens").cast("string").alias("input_tokens"), cost.format_usd(F.col("cost_usd")).alias("cost_usd"), F.coalesce("reason", F.lit("priced")).alias("outcome"))
+
+
 @query(EV + PRICED + "SELECT trace_id, coalesce(reason, 'priced') AS reason, count(*) AS n FROM c GROUP BY ALL")
 def q21_unpriced_taxonomy(spark, d):
     return costs(spark, d).groupBy("trace_id", F.coalesce("reason", F.lit("priced")).alias("reason")).agg(F.count("*").alias("n"))
@@ -483,7 +501,9 @@ def q30_severity_counts(spark, d):
 
 @query(EV + f"SELECT trace_id, event_type AS tool_name, {SEQS} AS seqs, array_to_string(list(props ORDER BY seq)[1:5], '|') AS previews FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type")
 def q31_topk_evidence(spark, d):
-    rows = ev_spans(spark, d).where("kind = 'tool_call'").groupBy("trace_id", "tool_name").agg(detect.evidence(F.collect_list("seq")).alias("s"), detect.shown(detect.in_order(F.col("tool_input_preview"))).alias("p"))
+    calls = ev_spans(spark, d).where("kind = 'tool_call'").withColumn("key", F.col("tool_name"))
+    groups = calls.select("trace_id", "key", "tool_name").distinct()
+    rows = detect.with_least(groups, detect.least(calls, detect.EVIDENCE, "s", F.col("seq")), detect.least(detect.spoken(calls, F.col("tool_input_preview")), detect.PREVIEWS, "p", F.col("text")))
     return rows.select("trace_id", "tool_name", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("seqs"), F.array_join("p", "|").alias("previews"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.wide import COUNT
+
 VERSION = "1.0.0"
 USAGE_FIELDS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_5m_tokens", "cache_creation_1h_tokens")
 KINDS = ("model_call", "tool_call", "user_message", "system_event")
 STATUSES = ("ok", "error", "missing")
 SEVERITIES = ("info", "warning", "critical")
-USAGE = "struct<" + ",".join(f"{f}:decimal(20,0)" for f in USAGE_FIELDS) + ">"
+USAGE = "struct<" + ",".join(f"{f}:{COUNT}" for f in USAGE_FIELDS) + ">"
 SPANS = (
     "trace_id string, seq int, span_id string, parent_span_id string, parent_seq int, agent_id string, kind string, start timestamp, end timestamp, model string, "
     f"usage {USAGE}, stop_reason string, tool_name string, tool_use_id string, tool_input_digest string, tool_result_status string, text_preview string, "
@@ -40,27 +44,45 @@ def schema_document() -> str:
     return json.dumps({"version": VERSION, "tables": {k: json.loads(parse(v).json()) for k, v in tables.items()}}, sort_keys=True, indent=2) + "\n"
 
 
+def _sorted_once(c: str) -> Column:
+    return F.col(c) == F.array_sort(F.array_distinct(c))
+
+
+def span_rules() -> dict[str, Column]:
+    """Conditions that no span may meet."""
+    return {
+        "kind": F.coalesce(~F.col("kind").isin(*KINDS), F.lit(True)),
+        "status": F.col("tool_result_status").isNotNull() & ~F.col("tool_result_status").isin(*STATUSES),
+        "agent_id": ~F.coalesce(F.col("agent_id").rlike(r"\A[A-Za-z0-9_.:\-]{1,64}\z"), F.lit(False)),
+        "span_id": ~F.col("span_id").rlike(r"\A[0-9a-f]{16}\z"),
+        "end_before_start": F.col("end") < F.col("start"),
+        "negative_tokens": F.array_min(F.array(*(F.col(f"usage.{f}") for f in USAGE_FIELDS))) < 0,
+        "parent_not_before": F.col("parent_seq") >= F.col("seq"),
+    }
+
+
+def finding_rules() -> dict[str, Column]:
+    """Conditions that no finding may meet."""
+    return {
+        "evidence": (F.size("span_seqs") > 50) | ~_sorted_once("span_seqs"), "previews": (F.size("previews") > 5) | F.exists("previews", lambda x: x.isNull() | (x == "")),
+        "finding_id": ~F.col("finding_id").startswith(F.concat("detector", F.lit(":"))), "severity": ~F.col("severity").isin(*SEVERITIES), "agents": ~_sorted_once("agent_ids"),
+    }
+
+
+def agent_rules() -> dict[str, Column]:
+    """Conditions that no agent may meet."""
+    return {"agent_spans": (F.size("span_seqs") == 0) | ~_sorted_once("span_seqs"), "agent_index": F.col("agent_index") < 0}
+
+
+NO_VIOLATIONS = "trace_id string, rule string, n long"
+
+
 def violations(spans: DataFrame, agents: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
-    """trace_id, rule, n: rows that break an invariant. Empty if all is well."""
-    bad = [
-        ("kind", ~F.col("kind").isin(*KINDS)),
-        ("status", F.col("tool_result_status").isNotNull() & ~F.col("tool_result_status").isin(*STATUSES)),
-        ("agent_id", ~F.col("agent_id").rlike(r"\A[A-Za-z0-9_.:\-]{1,64}\z")),
-        ("span_id", ~F.col("span_id").rlike(r"\A[0-9a-f]{16}\z")),
-        ("end_before_start", F.col("end") < F.col("start")),
-        ("negative_tokens", F.array_min(F.array(*(F.col(f"usage.{f}") for f in USAGE_FIELDS))) < 0),
-    ]
-    out = [spans.where(c).groupBy("trace_id").agg(F.count("*").alias("n")).select("trace_id", F.lit(rule).alias("rule"), "n") for rule, c in bad]
-    dense = spans.groupBy("trace_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("c"), F.count_distinct("seq").alias("d"))
-    out.append(dense.where("a <> 0 or b <> c - 1 or d <> c").select("trace_id", F.lit("seq_not_contiguous").alias("rule"), F.col("c").alias("n")))
-    if agents is not None:
-        rows = agents.withColumn("k", F.row_number().over(Window.partitionBy("trace_id").orderBy("agent_index")) - 1)
-        wrong = (F.col("k") != F.col("agent_index")) | (F.col("span_seqs") != F.array_sort(F.array_distinct("span_seqs")))
-        out.append(rows.where(wrong).groupBy("trace_id").agg(F.count("*").alias("n")).select("trace_id", F.lit("agents").alias("rule"), "n"))
-    if findings is not None:
-        wrong = (F.size("span_seqs") > 50) | (F.size("previews") > 5) | (F.col("span_seqs") != F.array_sort(F.array_distinct("span_seqs"))) | ~F.col("finding_id").startswith(F.concat("detector", F.lit(":")))
-        out.append(findings.where(wrong).groupBy("trace_id").agg(F.count("*").alias("n")).select("trace_id", F.lit("findings").alias("rule"), "n"))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+    """trace_id, rule, n: rows of finished tables that break an invariant, and traces whose seq has gaps. Empty if all is well.
+
+    `analyze` counts the same rules while it writes the tables; this is for tables from elsewhere.
+    """
+    tables = [(spans, span_rules()), (agents, agent_rules()), (findings, finding_rules())]
+    out = [df.where(c).groupBy("trace_id").agg(F.count("*").alias("n")).select("trace_id", F.lit(rule).alias("rule"), "n") for df, rules in tables if df is not None for rule, c in rules.items()]
+    dense = spans.groupBy("trace_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n"), F.count_distinct("seq").alias("d"))
+    return reduce(DataFrame.unionByName, out, dense.where("a <> 0 or b <> n - 1 or d <> n").select("trace_id", F.lit("seq_not_contiguous").alias("rule"), "n"))

@@ -9,11 +9,13 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.functions.wide import RATE as RATE_TYPE
+
 PRICE_KEYS = ("input", "output", "cache_read", "cache_write_5m", "cache_write_1h")
 RATE = re.compile(r"(0|[1-9]\d*)(\.\d{1,12})?")
 #: More than this is no price list; the table is broadcast.
 MOST_MODELS = 100_000
-SCHEMA = "model_key string, is_alias boolean, name string, " + ", ".join(f"{k} decimal(9,4)" for k in PRICE_KEYS)
+SCHEMA = "model_key string, is_alias boolean, name string, " + ", ".join(f"{k} {RATE_TYPE}" for k in PRICE_KEYS)
 
 
 class RateError(ValueError):
@@ -24,8 +26,8 @@ def parse_rate(text: object) -> Decimal:
     if not isinstance(text, str) or not RATE.fullmatch(text):
         raise RateError(f"bad rate: {text!r}")
     value = Decimal(text)
-    if value != round(value, 4) or value >= 100_000:
-        raise RateError(f"a rate has at most 5 digits before and 4 after the point: {text}")
+    if value >= 100_000:
+        raise RateError(f"a rate has at most 5 digits before the point: {text}")
     return value
 
 

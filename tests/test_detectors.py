@@ -163,3 +163,35 @@ def test_cost_rollups_agree(spark):
     by = cost.by_agent(costs, agents).collect()
     assert sum(r.cost_usd for r in by) == total == sum(r.cost_usd for r in cost.by_model(costs).collect()) and {r.agent_id for r in by} == {"a", "b", "z"}
     assert str(total) == "0.003015"  # 3000 + 5.6 (6) + 9 micro-dollars
+
+
+def test_evidence_of_a_large_group_is_cut_in_each_task(spark):
+    """The least 50 and the first five previews of a hot group, and no array of the whole group on the way."""
+    rows = spark.range(0, 30_000, numPartitions=6).select(
+        F.lit("t").alias("trace_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"), (30_000 - F.col("id")).cast("int").alias("seq"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), "id")).alias("said"),
+    )
+    top = detect.least(rows, detect.EVIDENCE, "all_seqs", F.col("seq"))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial"), plan  # read from the bottom: cut, shuffled, cut again
+    want: dict = {}
+    for r in rows.collect():
+        want.setdefault(r.key, []).append((r.seq, r.said))
+    assert {r.key: r.all_seqs for r in top.collect()} == {k: [s for s, _ in sorted(v)][:50] for k, v in want.items()}
+    said = detect.least(detect.spoken(rows, F.col("said")), detect.PREVIEWS, "texts", F.col("text"))
+    assert {r.key: r.texts for r in said.collect()} == {k: [t for _, t in sorted(v) if t][:5] for k, v in want.items()}
+
+
+def test_a_planted_break_is_counted_while_written(spark):
+    from runlens.schema import finding_rules, span_rules, violations
+    from runlens.workers import materialized
+
+    spans = spans_of(spark, [dict(seq=k, kind="model_call", agent_id="a", start=k, end=k + 1) for k in range(3)])
+    broken: list = []
+    materialized(spans, "spans", span_rules(), broken)
+    assert broken == [] and violations(spans).isEmpty()
+    bad = spans.withColumn("agent_id", F.when(F.col("seq") == 1, "no good").otherwise(F.col("agent_id"))).withColumn("end", F.col("start") - F.expr("interval 1 second"))
+    materialized(bad, "spans", span_rules(), broken)
+    got = sorted((r.rule, r.n) for df in broken for r in df.collect())
+    assert got == [("agent_id", 1), ("end_before_start", 3)] == sorted((r.rule, r.n) for r in violations(bad).collect())
+    found = detect.run(spans, None, CFG)[0]
+    assert set(finding_rules()) and violations(spans, None, found).isEmpty()
