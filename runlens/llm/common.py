@@ -10,7 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -53,6 +53,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 FILE_ROWS, LEAST_FILES = 20_000, 8
 
 
+def observed(df: DataFrame, label: str, rows: int | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As `checkpointed`, with aggregates of the rows that are taken while they are written: no job besides the write."""
+    seen = Observation()
+    written = checkpointed(df.observe(seen, *(c.alias(name) for name, c in metrics.items())), label, rows)
+    return written, seen.get
+
+
 def checkpointed(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cuts the lineage by a table written in the shared folder; it survives the loss of executors.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import checkpointed
+from runlens.llm.common import checkpointed, observed
 
 
 #: Parts over which a hub's links are dealt, and the share of all links that makes a hub (there are at most its inverse of them).
@@ -27,20 +27,24 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
     return edges.join(hubs, "u", "left").withColumn("part", part).drop("hub").join(least.drop("hub"), ["u", "part"]).select("u", "v", "m")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """edges: u, v (long, u <> v). Returns node, label for every node: the least node of its component."""
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", edges.count())
-    before, total = None, now.count()
+def components(edges: DataFrame, rows: int, rounds: int = 40) -> DataFrame:
+    """edges: u, v (long, u <> v), about `rows` of them. Returns node, label for every node: the least node of its component.
+
+    A round is one job: the numbers that tell whether it changed anything are taken while it is written.
+    """
+    state = {"n": F.count("*"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, before = observed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", rows, **state)
+    total = before["n"]
+    before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large, total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.where("u <> v").distinct(), "links", total)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        now, after = observed(small.where("u <> v").distinct(), "links", total, **state)
+        if after == before:
             break
-        before = state
+        before = after
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import batch_of, checkpointed, ship, slices
+from runlens.llm.common import batch_of, checkpointed, observed, ship, slices
 from runlens.llm.components import components
 from runlens.llm.fmindex import _TABLE as TABLE
 
@@ -242,9 +242,9 @@ def _rare_groups(large: DataFrame, words: int, threshold: Fraction) -> DataFrame
     most = F.expr(f"n - ({t} * n + {of - 1}) DIV {of} + 1")
     alone = F.col("n") - F.count("*").over(by)  # shingles of no other text come first among the rarest
     tokens = shared.withColumns({"at": F.row_number().over(by.orderBy("f", "shingle")), "alone": alone}).where(F.col("at") + F.col("alone") <= most)
-    tokens = checkpointed(tokens.select("comp", "shingle", "node"), "rarest")
+    tokens, seen = observed(tokens.select("comp", "shingle", "node"), "rarest", n=F.count("*"))
     heads = tokens.groupBy("comp", "shingle").agg(F.min("node").alias("head"))
-    return components(tokens.join(heads, ["comp", "shingle"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+    return components(tokens.join(heads, ["comp", "shingle"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), seen["n"])
 
 
 def _cut(members: DataFrame, words: int, threshold: Fraction, block: int) -> DataFrame:
@@ -337,7 +337,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ties = forest_ties(nodes, trees, depth, least)
-    ties = checkpointed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", ties.count())
+    ties, seen_ties = observed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", n=F.count("*"))
+    n_ties = seen_ties["n"]
     plain = nodes.drop("labels")
     # the texts of all nodes that any depth may bring together, once
     tied = ties.select(F.col("u").alias("node")).unionByName(ties.select(F.col("v").alias("node"))).distinct()
@@ -346,11 +347,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     same = [own.rep.eqNullSafe(texts.rep), own.h1 == texts.h1, own.h2 == texts.h2]
     texts = own.join(texts, same).groupBy("node", "copies").agg(F.first("text").alias("text"))
     texts = checkpointed(texts.withColumn("n_bytes", F.octet_length("text")), "texts")
-    found, seen, size = [], None, None
+    found, seen, size, groups = [], None, None, None
     for at in range(depth, least - 1, -1):
-        groups = components(ties.where(F.col("shared") >= at))
+        # the groups of the longer prefixes, as stars, and what this depth adds
+        more = ties.where(F.col("shared") >= at if groups is None else F.col("shared") == at).select("u", "v")
+        groups = components(more if groups is None else more.unionByName(groups.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))), n_ties)
         sized = groups.join(texts.select("node", "n_bytes"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum("n_bytes").alias("total"))
-        size = checkpointed(sized, "sizes", groups.count())
+        size = checkpointed(sized, "sizes", n_ties)
         new = size if seen is None else size.join(seen, ["label", "size"], "left_anti")  # groups only grow: with the same size they are the same
         members = groups.join(new, "label").join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("total").alias("n_bytes"), "node", "copies", "text")
         exact = Fraction(str(threshold))
@@ -364,7 +367,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     own = links.where("last").select("node", F.col("root").alias("label"))
     ties = links.where("not last and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    label = own if ties.isEmpty() else own.unionByName(components(ties))
+    label = own if ties.isEmpty() else own.unionByName(components(ties, n_ties))
     full = plain.join(label, "node", "left").join(sums, "node", "left")
     full = full.withColumns({"label": F.coalesce("label", "node"), "n_links": F.col("copies") - 1 + F.coalesce("links", F.lit(0))})
     ids = full.groupBy("label").agg(F.min("rep").alias("class_id"))

@@ -95,14 +95,14 @@ def test_components(spark):
     for _ in range(400):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    rows = components(spark.createDataFrame(edges, "u long, v long"), len(edges)).collect()
     assert {r.node: r.label for r in rows} == label and len(rows) == len(label)
 
 
 def test_hub(spark, monkeypatch):
     monkeypatch.setattr("runlens.llm.components.SHARE", 0.0)
     edges = [(5000 + k, 7) for k in range(3000)] + [(9000 + k, 9001 + k) for k in range(20)]
-    rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    rows = components(spark.createDataFrame(edges, "u long, v long"), len(edges)).collect()
     assert {r.node: r.label for r in rows} == {7: 7} | {5000 + k: 7 for k in range(3000)} | {9000 + k: 9000 for k in range(21)}
 
 
