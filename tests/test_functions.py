@@ -44,7 +44,8 @@ def test_depth(spark):
 
 def test_rates():
     assert str(rates.parse_rate("0.30")) == "0.30"
-    for bad in ("01", "1.", "-1", 3, "1e3", "1.00001"):
+    assert str(rates.parse_rate("1.000000000001")) == "1.000000000001"
+    for bad in ("01", "1.", "-1", 3, "1e3", "1.0000000000001", "100000"):
         with pytest.raises(rates.RateError):
             rates.parse_rate(bad)
     with pytest.raises(rates.RateError):
