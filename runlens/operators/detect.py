@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from runlens.functions import wide
 from runlens.functions.text import json_text, says_unknown_tool, short_sha, tool_name
 from runlens.functions.time import duration_ms, millis_between
+from runlens.operators import ranges
 from runlens.schema import SEVERITIES, USAGE_FIELDS
 from runlens.workers import materialized
 
@@ -353,12 +354,15 @@ def blocked_agent(spans: DataFrame, warnings: DataFrame | None, config: Config)
 
 
 def outliers(values: DataFrame, keys: tuple[str, ...], floor: int | Column) -> DataFrame:
-    """Rows (keys, value) over the lower median by six times the lower median of absolute deviations, and at least the floor."""
-    mid = values.groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").cast("long").alias("median"))
-    off = values.join(mid, [*keys]).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    mad = off.groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY off)").cast("long").alias("mad"))
-    rows = off.join(mad, [*keys])
-    return rows.where((F.col("value") > F.col("median") + OUTLIER_WARNING * F.col("mad")) & (F.col("value") >= floor)).withColumn("severity", F.when(F.col("value") > F.col("median") + OUTLIER_CRITICAL * F.col("mad"), "critical").otherwise("warning")).drop("off")
+    """Rows (keys, value) over the lower median by six times the lower median of absolute deviations, and at least the floor.
+
+    Both medians are selected from distinct values with their counts, in ranges: a key of any size is spread over tasks."""
+    counts = ranges.dealt(values.groupBy(*keys, "value").agg(F.count("*").alias("n")), keys, ("value",), "values")
+    mid = materialized(ranges.lower_median(counts, keys, "value").withColumnRenamed("value", "median"), "medians")
+    off = counts.join(mid, [*keys]).groupBy(*keys, F.abs(F.col("value") - F.col("median")).alias("mad")).agg(F.sum("n").alias("n"))
+    mad = ranges.lower_median(ranges.dealt(off, keys, ("mad",), "deviations"), keys, "mad")
+    rows = values.join(mid.join(mad, [*keys]), [*keys])
+    return rows.where((F.col("value") > F.col("median") + OUTLIER_WARNING * F.col("mad")) & (F.col("value") >= floor)).withColumn("severity", F.when(F.col("value") > F.col("median") + OUTLIER_CRITICAL * F.col("mad"), "critical").otherwise("warning"))
 
 
 def anomalous_span(spans: DataFrame, warnings: DataFrame | None, config: Config) -> DataFrame:

@@ -11,6 +11,7 @@ from runlens.functions.text import digest_id, preview, preview_within, safe_agen
 from runlens.functions import wide
 from runlens.functions.time import parse_timestamp
 from runlens.functions.wide import COUNT, most
+from runlens.operators.ranges import numbered
 from runlens.schema import NO_VIOLATIONS, USAGE, USAGE_FIELDS, agent_rules, span_rules
 from runlens.sources.scan import PHASES
 from runlens.workers import materialized
@@ -217,8 +218,7 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
     boundary = F.coalesce(F.col("subtype") == "compact_boundary", F.lit(False))
     system = rows.where("type = 'system'").select(*blank("system_event", F.when(boundary, F.struct(F.lit("compact_boundary").alias("code"), F.lit("").alias("detail"))).cast(error)))
     pending = reduce(DataFrame.unionByName, [model, tools, users, system])
-    by_trace = Window.partitionBy("trace_id").orderBy("anchor", "sub", "kind")
-    spans = pending.withColumn("seq", (F.row_number().over(by_trace) - 1).cast("int"))
+    spans = numbered(pending, ("trace_id",), ("anchor", "sub", "kind"), "seq", "pending")
     spans = spans.withColumn("span_id", digest_id(*map(F.col, ("trace_id", "agent_id", "seq", "kind"))))
     call = F.first(F.struct("seq", "span_id")).over(Window.partitionBy("trace_id", "anchor").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
     spans = spans.withColumn("parent", F.when(F.col("kind") == "tool_call", call)).withColumns({"parent_seq": F.col("parent.seq"), "parent_span_id": F.col("parent.span_id")}).drop("parent")
