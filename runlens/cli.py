@@ -79,7 +79,7 @@ def run(argv: list[str], stdout, stderr, spark=None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from runlens.plans import analyze, report
+    from runlens.plans import analyze, publish, report
     from runlens.sources import rates
     from runlens.sources.scan import check_paths
 
@@ -89,10 +89,10 @@ def run(argv: list[str], stdout, stderr, spark=None) -> int:
     if bad := tables["fatal"].first():
         raise InputError(bad.code, f"file {bad.file_index}, line {bad.line}")
     trace = tables["source_files"].first().trace_id
-    texts = ({args.json_out: report.json_parts(report.streamed(tables, trace, not args.no_previews))} if args.json_out else {}) | ({args.html_out: report.html_report(tables, trace)} if args.html_out else {})
+    texts = ({args.json_out: report.json_parts(report.streamed(tables, trace, not args.no_previews))} if args.json_out else {}) | ({args.html_out: report.html_parts(tables, trace, not args.no_previews)} if args.html_out else {})
     report.write_all(texts)
     if args.tables:
-        analyze.write_tables(tables, args.tables)
+        publish.write_tables(tables, args.tables)
     n = tables["findings"].count()
     stdout.write(f"{n} findings in trace {trace}; wrote {', '.join([*texts, *([args.tables] if args.tables else [])])}\n")
     floor = SEVERITIES.index(args.fail_on) if args.fail_on else len(SEVERITIES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.time import duration_ms, millis_between, round_half_up
@@ -32,3 +32,13 @@ def rectangles(spans: DataFrame, agents: DataFrame, findings: DataFrame | None =
 def lanes(rects: DataFrame, agents: DataFrame) -> DataFrame:
     drawn = rects.where("timed").groupBy("trace_id", "lane").agg(F.count("*").alias("drawn"))
     return agents.select("trace_id", F.col("agent_index").alias("lane"), "agent_id").join(drawn, ["trace_id", "lane"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+
+
+def untimed(rects: DataFrame, most: int) -> DataFrame:
+    """trace_id, seqs (the first `most` of the spans that aren't drawn, in order) and more (how many others there are); traces with all spans drawn have no row.
+
+    Each task cuts its rows to the first of a trace before they are shuffled."""
+    rest = rects.where("not timed").select("trace_id", "seq")
+    place = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq"))
+    first = rest.withColumn("place", place).where(F.col("place") <= most).groupBy("trace_id").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
+    return rest.groupBy("trace_id").agg(F.count("*").alias("n")).join(first, "trace_id").select("trace_id", "seqs", (F.col("n") - F.size("seqs")).alias("more"))

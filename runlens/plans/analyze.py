@@ -1,4 +1,4 @@
-"""The whole analysis of many traces: scan, normalize, detect, price; and the table sink."""
+"""The whole analysis of many traces: scan, normalize, detect, price."""
 
 from __future__ import annotations
 
@@ -36,9 +36,3 @@ def severity_counts(findings: DataFrame, traces: DataFrame) -> DataFrame:
     """Counts of each severity; traces without findings have zeros."""
     n = findings.groupBy("trace_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
     return traces.select("trace_id").distinct().join(n, "trace_id", "left").na.fill(0, [*SEVERITIES])
-
-
-def write_tables(tables: dict[str, DataFrame], out: str) -> None:
-    """Parquet, one folder a table. Spark's committer publishes a table whole or not at all."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")

@@ -1,6 +1,6 @@
-"""Reports of one trace: a JSON document with all spans and findings, and a plain HTML page with capped rows.
+"""Reports of one trace: a JSON document with all spans and findings, and a plain HTML page with all findings and the whole timeline.
 
-Both are put together on the driver; the JSON's spans and findings pass through it one partition at a time when they are written to a file.
+Both are put together on the driver; what grows with the trace passes through it one partition at a time when it is written to a file.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from runlens.functions.text import escape_html, json_text, redact
 from runlens.functions.time import format_timestamp
+from runlens.operators.timeline import SCALE, untimed
 from runlens.schema import SEVERITIES, VERSION
 
-#: Caps of the HTML page.
-SPAN_ROWS, UNTIMED_ROWS, FINDING_ROWS = 5000, 200, 10_000
+#: Caps of the HTML page's table of spans and of its list of spans without times.
+SPAN_ROWS, UNTIMED_ROWS = 5000, 200
 
 
 #: Columns, and fields of structs, that hold free text of the trace; without previews they are empty where they aren't null.
@@ -105,28 +106,35 @@ def json_report(doc: dict) -> str:
     return "".join(json_parts(doc))
 
 
-def html_report(tables: dict[str, DataFrame], trace_id: str) -> str:
-    """Findings, the timeline and spans as one static page without scripts; texts are redacted, then escaped, by Spark."""
+def html_parts(tables: dict[str, DataFrame], trace_id: str, previews: bool = True) -> Iterator[str]:
+    """One static page without scripts, piece by piece: all findings, critical ones first, the whole timeline, and the first spans. Texts are redacted, then
+    escaped, by Spark. Rows without an end come one sorted partition at a time; spans and untimed spans are cut at their caps, each with a line for the rest."""
     one = lambda name: tables[name].where(F.col("trace_id") == trace_id)
-    shown = lambda c: escape_html(redact(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    n_found, n_drawn = one("findings").count(), one("timeline").where("timed").count()
-    found = one("findings").orderBy(F.desc("severity_rank"), "detector", "finding_id").limit(FINDING_ROWS).select(*(shown(c).alias(c) for c in ("severity", "detector", "summary", "wasted_cost_usd"))).collect()
-    total = one("spans").count()
-    spans = one("spans").join(one("costs").select("trace_id", "seq", "cost_usd"), ["trace_id", "seq"], "left").orderBy("seq").limit(SPAN_ROWS)
-    spans = spans.select(*(shown(c).alias(c) for c in ("seq", "agent_id", "kind", "model", "tool_name", "tool_result_status", "text_preview", "cost_usd"))).collect()
-    rects = one("timeline").where("timed").orderBy("lane", "seq").limit(SPAN_ROWS).collect()
-    untimed = one("timeline").where("not timed").orderBy("seq").limit(UNTIMED_ROWS).collect()
-    row = lambda r: "<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>"
-    height = 12 * (max((r.lane for r in rects), default=0) + 1)
-    svg = "".join(f'<rect x="{r.x}" y="{12 * r.lane}" width="{r.width}" height="10" class="s{r.severity_rank if r.severity_rank is not None else ""}"/>' for r in rects)
-    left_out = lambda n, most, what: f"<p>{n - most} more {what}</p>" if n > most else ""
+    shown = lambda c: escape_html(redact(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c)
+    row = lambda r: "<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>\n"
+    rest = lambda n, what: f"<p>{n} more {what}</p>" if n > 0 else ""
     style = "body{font-family:sans-serif}td{padding:2px 8px}rect{fill:#789}.s1{fill:#d90}.s2{fill:#c33}"
-    return (
+    yield (
         '<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'unsafe-inline\'">'
-        f"<title>Trace {trace_id}</title><style>{style}</style></head><body><h1>Trace {trace_id}</h1><h2>Findings</h2><table>{''.join(map(row, found))}</table>{left_out(n_found, FINDING_ROWS, 'findings')}"
-        f'<h2>Timeline</h2><svg viewBox="0 0 1000 {height}" width="1000">{svg}</svg>{left_out(n_drawn, SPAN_ROWS, 'spans in the timeline')}<p>Without times: {", ".join(str(r.seq) for r in untimed) or "none"}</p>'
-        f"<h2>Spans</h2><table>{''.join(map(row, spans))}</table>{left_out(total, SPAN_ROWS, 'spans')}</body></html>\n"
+        f"<title>Trace {trace_id}</title><style>{style}</style></head><body><h1>Trace {trace_id}</h1><h2>Findings</h2><table>\n"
     )
+    found = one("findings").orderBy(F.desc("severity_rank"), "detector", "finding_id").select(*map(shown, ("severity", "detector", "summary", "wasted_cost_usd")))
+    yield from map(row, found.toLocalIterator())
+    height = 12 * ((one("timeline").where("timed").agg(F.max("lane").alias("lane")).first().lane or 0) + 1)
+    yield f'</table><h2>Timeline</h2><svg viewBox="0 0 {SCALE} {height}" width="{SCALE}">\n'
+    for r in one("timeline").where("timed").orderBy("lane", "seq").select("x", "lane", "width", "severity_rank").toLocalIterator():
+        yield f'<rect x="{r.x}" y="{12 * r.lane}" width="{r.width}" height="10" class="s{r.severity_rank if r.severity_rank is not None else ""}"/>\n'
+    undrawn = untimed(one("timeline"), UNTIMED_ROWS).first()
+    yield f"</svg><p>Without times: {', '.join(map(str, undrawn.seqs)) if undrawn else 'none'}</p>{rest(undrawn.more, 'spans without times') if undrawn else ''}<h2>Spans</h2><table>\n"
+    # the first rows are found before they are redacted
+    spans = redacted(one("spans").orderBy("seq").limit(SPAN_ROWS), previews).join(one("costs").select("trace_id", "seq", "cost_usd"), ["trace_id", "seq"], "left").orderBy("seq")
+    yield from map(row, spans.select(*map(shown, ("seq", "agent_id", "kind", "model", "tool_name", "tool_result_status", "text_preview", "cost_usd"))).toLocalIterator())
+    yield f"</table>{rest(one('spans').count() - SPAN_ROWS, 'spans')}</body></html>\n"
+
+
+def html_report(tables: dict[str, DataFrame], trace_id: str, previews: bool = True) -> str:
+    """The whole page in memory."""
+    return "".join(html_parts(tables, trace_id, previews))
 
 
 def write_all(texts: dict[str, str | Iterable[str]]) -> None:

@@ -81,6 +81,22 @@ def test_json_report_has_all_spans_and_findings(spark, tmp_path):
     assert report.json_report({"b": iter([]), "a": [], "c": {}}) == json.dumps({"a": [], "b": [], "c": {}}, indent=2) + "\n"
 
 
+def test_html_has_all_findings_and_the_whole_timeline(spark, tmp_path):
+    t = analyze.analyze(spark, sample(tmp_path))
+    trace, n = t["spans"].first().trace_id, spark.range(6000)
+    drawn = t["timeline"].where("timed").limit(1)
+    t["findings"] = t["findings"].crossJoin(n.limit(4000)).withColumn("finding_id", F.concat_ws("-", "finding_id", "id")).drop("id")
+    many = drawn.crossJoin(n).withColumn("seq", F.col("id").cast("int")).drop("id")
+    t["timeline"] = many.unionByName(many.where("seq < 203").withColumns({"timed": F.lit(False), "x": F.lit(None).cast("int"), "width": F.lit(None).cast("int")}))
+    t["spans"] = t["spans"].limit(1).crossJoin(n).withColumn("seq", F.col("id").cast("int")).drop("id")
+    page = report.html_report(t, trace)
+    assert page.count("<rect ") == 6000 and page.count("<td>critical</td>") == 4000 and page.count("<tr>") == 12_000 + 5000
+    assert page.index("<td>critical</td>") < page.index("<td>warning</td>") < page.index("<td>info</td>")
+    assert "198, 199</p><p>3 more spans without times</p>" in page and "<p>1000 more spans</p>" in page and page.endswith("</html>\n")
+    t["timeline"], t["findings"] = many.limit(0), t["findings"].limit(0)
+    assert "Without times: none" in report.html_report(t, trace)
+
+
 def test_a_key_in_any_string_appears_nowhere(spark, tmp_path):
     key = "ghp_abcdefghij0123456789abcd"
     t = Transcript()
@@ -101,6 +117,7 @@ def test_a_key_in_any_string_appears_nowhere(spark, tmp_path):
     assert key not in text and key not in report.html_report(tables, trace) and text.count("[redacted:github_token]") > 12
     assert {x["metrics"]["tool_name"] for x in doc["findings"] if "tool_name" in x["metrics"]} >= {"[redacted:github_token]"} and doc["last_timestamp"].startswith("2025-03-01T12:00:04")
     blank = report.document(tables, trace, previews=False)
+    assert ">say [redacted" in report.html_report(tables, trace) and ">say " not in report.html_report(tables, trace, previews=False)
     assert {s["model"] for s in blank["spans"]} <= {None, ""} and {s["tool_name"] for s in blank["spans"]} <= {None, ""} and key not in report.json_report(blank)
 
 
