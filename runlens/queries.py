@@ -535,6 +535,107 @@ def q33_conversation_spans(spark, d):
     return spans.select("trace_id", "seq", "kind", "agent_id", F.unix_seconds("start").alias("start"), F.col("text_preview").alias("preview"))
 
 
+def some_untimed(spans: DataFrame) -> DataFrame:
+    """Every ninth span without an end."""
+    return spans.withColumn("end", F.when(F.col("seq") % 9 != 4, F.col("end")))
+
+
+@query(EV + """,
+l AS (SELECT trace_id, agent_id, row_number() OVER (PARTITION BY trace_id ORDER BY min(seq)) - 1 AS lane, count(*) FILTER (seq % 9 <> 4 AND "end" IS NOT NULL) AS drawn FROM ev GROUP BY trace_id, agent_id)
+SELECT trace_id, agent_id, lane::INTEGER AS lane, drawn FROM l""")
+def q37_lanes(spark, d):
+    spans = some_untimed(ev_spans(spark, d))
+    agents = agents_of(spans)
+    return timeline.lanes(timeline.rectangles(spans, agents), agents)
+
+
+@query(EV + """SELECT trace_id, array_to_string(list_sort(list(seq))[1:200], ',') AS seqs, greatest(count(*) - 200, 0)::BIGINT AS more FROM ev WHERE seq % 9 = 4 OR "end" IS NULL GROUP BY trace_id""")
+def q38_untimed(spark, d):
+    spans = some_untimed(ev_spans(spark, d))
+    rows = timeline.untimed(timeline.rectangles(spans, agents_of(spans)), 200)
+    return rows.select("trace_id", F.array_join(F.transform("seqs", lambda x: x.cast("string")), ",").alias("seqs"), F.col("more").cast("long").alias("more"))
+
+
+@query(EV + """,
+f AS (SELECT trace_id, CASE WHEN count(*) >= 4 THEN 2 ELSE 1 END AS rank, list_sort(list(seq))[1:50] AS seqs FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type, props HAVING count(*) >= 2
+UNION ALL SELECT trace_id, CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END, list_sort(list(seq))[1:50] FROM ev WHERE status = 'error' GROUP BY trace_id, agent_id)
+SELECT trace_id, seq::INTEGER AS seq, max(rank)::INTEGER AS severity_rank FROM (SELECT trace_id, rank, unnest(seqs) AS seq FROM f) GROUP BY trace_id, seq""")
+def q39_span_severity(spark, d):
+    found, _ = detect.run(ev_spans(spark, d), None, detect.Config(enabled=("repeated_tool_call", "failed_tool_call")))
+    return timeline.severities(found)
+
+
+USES = ("input", "output", "read", "written_5m", "written_1h")
+
+
+@query(EV + PRICED + f"""SELECT trace_id, {USD.format('coalesce(sum(m), 0)::BIGINT')} AS cost_usd, count(m) AS priced_calls, count(reason) AS unpriced_calls,
+{', '.join(f'coalesce(sum(CASE WHEN has_usage THEN u{k} END), 0)::BIGINT AS {u}' for k, u in enumerate(USES, 1))} FROM c GROUP BY trace_id""")
+def q40_cost_totals(spark, d):
+    rows = cost.totals(costs(spark, d))
+    return rows.select("trace_id", cost.format_usd(F.col("cost_usd")).alias("cost_usd"), "priced_calls", "unpriced_calls", *(F.coalesce(F.col(f).cast("long"), F.lit(0).cast("long")).alias(u) for u, f in zip(USES, USAGE_FIELDS)))
+
+
+@query(EV + """SELECT trace_id, strftime(date_trunc('milliseconds', max(greatest(start, "end"))), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_timestamp FROM ev GROUP BY trace_id""")
+def q41_last_timestamp(spark, d):
+    from runlens.plans.report import last_timestamp
+
+    return last_timestamp(ev_spans(spark, d))
+
+
+@query(EV + PRICED + f""",
+w0 AS (SELECT trace_id, parent_seq, event_type, props, row_number() OVER (PARTITION BY trace_id, event_type, props ORDER BY seq) AS k FROM ev WHERE kind = 'tool_call'),
+w1 AS (SELECT DISTINCT w0.trace_id, event_type, props, c.seq, u1, u2, u3, u4, u5 FROM w0 JOIN c ON w0.trace_id = c.trace_id AND w0.parent_seq = c.seq WHERE k >= 2 AND has_usage),
+s AS (SELECT trace_id, {', '.join(f'sum(u{k})::BIGINT AS {u}' for k, u in enumerate(USES, 1))} FROM w1 GROUP BY trace_id),
+n AS (SELECT trace_id, count(*) AS findings FROM (SELECT trace_id FROM ev WHERE kind = 'tool_call' GROUP BY trace_id, event_type, props HAVING count(*) >= 2) GROUP BY trace_id)
+SELECT n.trace_id, findings, {', '.join(f'coalesce({u}, 0)::BIGINT AS {u}' for u in USES)} FROM n LEFT JOIN s ON n.trace_id = s.trace_id""")
+def q42_wasted_usage(spark, d):
+    """Usage that the findings of a trace waste; each finding counts a model call once."""
+    found, _ = detect.run(ev_spans(spark, d), None, detect.Config(enabled=("repeated_tool_call",)))
+    return found.groupBy("trace_id").agg(F.count("*").alias("findings"), *(F.sum(f"wasted.{f}").cast("long").alias(u) for u, f in zip(USES, USAGE_FIELDS)))
+
+
+@query(TR + r""",
+b AS (SELECT tr.trace_id, tr.agent_id, tr.message_id, props, min(rec) AS rec FROM tr WHERE event_type = 'view' AND id % 2 = 1 AND props IS NOT NULL GROUP BY ALL),
+x AS (SELECT trace_id, agent_id, message_id, trim(regexp_replace(regexp_replace(string_agg(props, ' ' ORDER BY rec), '[\p{C}\p{Z}]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM b GROUP BY ALL)
+SELECT cl.trace_id, cl.agent_id, epoch_us(start) AS start_us, CASE WHEN t IS NULL THEN '' WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 240) || '…' END AS preview
+FROM cl LEFT JOIN x ON x.trace_id = cl.trace_id AND x.agent_id = cl.agent_id AND x.message_id = cl.message_id""")
+def q43_call_text(spark, d):
+    """What a model call says: its distinct text blocks over all fragments, in order of appearance."""
+    spans = normalized(transcript(spark, d))["spans"]
+    return spans.where("kind = 'model_call'").select("trace_id", "agent_id", F.unix_micros("start").alias("start_us"), F.col("text_preview").alias("preview"))
+
+
+@query("""WITH l AS (SELECT event_id AS id, lpad(user_id::VARCHAR, 16, '0') AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line FROM events),
+e AS (SELECT trace_id, line, CASE WHEN id % 131 = 0 THEN 'missing_field' WHEN id % 137 = 0 THEN 'bad_timestamp' WHEN id % 139 = 0 THEN 'bad_message' END AS code FROM l WHERE id % 131 = 0 OR id % 137 = 0 OR id % 139 = 0
+UNION ALL SELECT trace_id, line, 'duplicate_uuid' FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY line) AS k FROM l WHERE id % 29 = 0 AND id % 131 <> 0) WHERE k > 1)
+SELECT trace_id, min(line)::INTEGER AS line, arg_min(code, struct_pack(line, code)) AS code, 2 AS phase FROM e GROUP BY trace_id""")
+def q44_first_fatal(spark, d):
+    """The one error of each trace with a broken line: fields that are missing or wrong, and ids that recur. A trace is a user."""
+    e, id_ = table(spark, d, "events"), F.col("event_id")
+    uuid = F.when(id_ % 131 == 0, "").when(id_ % 29 == 0, "again").otherwise(F.concat(F.lit("e"), id_.cast("string")))
+    record = F.struct(F.lit("user").alias("type"), uuid.alias("uuid"), F.when(id_ % 137 == 0, "soon").otherwise("2025-03-01T12:00:00Z").alias("timestamp"), F.when(id_ % 139 == 0, 5).alias("message"))
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    _, fatal = records(lines_of(e.select(F.lpad(F.col("user_id").cast("string"), 16, "0").alias("trace_id"), line.alias("line"), F.to_json(record).alias("value"))))
+    return fatal.select("trace_id", "line", "code", "phase")
+
+
+@query(EV + """,
+s AS (SELECT trace_id, seq, agent_id, CASE WHEN user_id % 3 = 0 THEN 100 + user_id ELSE user_id % 2 END AS file, CASE WHEN kind = 'tool_call' THEN 'x' || (seq % 50) END AS tid FROM ev),
+alone AS (SELECT trace_id, file, min(agent_id) AS agent_id FROM s GROUP BY trace_id, file HAVING count(DISTINCT agent_id) = 1),
+em AS (SELECT trace_id, tid, arg_min(agent_id, seq) AS e FROM s WHERE tid IS NOT NULL GROUP BY trace_id, tid)
+SELECT a.trace_id, a.agent_id, CASE WHEN file IS NOT NULL THEN 'T ' || file END AS agent_type, CASE WHEN file % 5 > 0 THEN file % 5 - 1 END::INTEGER AS depth, CASE WHEN e <> a.agent_id THEN e END AS parent_agent_id
+FROM (SELECT DISTINCT trace_id, agent_id FROM s) a LEFT JOIN alone ON alone.trace_id = a.trace_id AND alone.agent_id = a.agent_id LEFT JOIN em ON em.trace_id = a.trace_id AND em.tid = 'x' || (file % 50)""")
+def q45_sidecars(spark, d):
+    """Sidecars of files with one agent describe that agent; its parent is the agent that emitted the tool use they name. Negative depths are none."""
+    user = F.substring("agent_id", 2, 20).cast("int")
+    file = F.when(user % 3 == 0, user + 100).otherwise(user % 2)
+    spans = ev_spans(spark, d).withColumns({"file_index": file, "tool_use_id": F.when(F.col("kind") == "tool_call", F.concat(F.lit("x"), (F.col("seq") % 50).cast("string")))})
+    n = F.col("file_index")
+    about = F.struct(F.concat(F.lit("T "), n.cast("string")).alias("agentType"), (n % 5 - 1).alias("spawnDepth"), F.concat(F.lit("x"), (n % 50).cast("string")).alias("toolUseId"))
+    side = spans.select("trace_id", "file_index").distinct().withColumn("m", F.parse_json(F.to_json(about)))
+    return agents_of(spans, side).select("trace_id", "agent_id", "agent_type", "depth", "parent_agent_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
