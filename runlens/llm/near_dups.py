@@ -212,6 +212,8 @@ def _roots(found: np.ndarray) -> np.ndarray:
 
 
 OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("last", pa.bool_()), ("comp", pa.int64()), ("size", pa.int64()), ("bins", pa.list_(pa.int64()))])
+#: Tables of texts, shingles and labels get files of so many times fewer rows than narrow ones.
+WIDE = 16
 #: Similarities of links are counted in this many bins from 0 to 1.
 BINS = 200
 #: Most bytes of text in a block of several texts.
@@ -221,8 +223,8 @@ BLOCK_BYTES = 16 << 20
 SHINGLE = pa.schema([("comp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
 
 
-def _rare_groups(large: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """large: comp, node, text. Returns node, label: the parts of each group that shingles among the rarest of a text hold together.
+def _rare_groups(large: DataFrame, words: int, threshold: Fraction, n_docs: int) -> DataFrame:
+    """large: comp, node, text; n_docs: of the whole table. Returns node, label: the parts of each group that shingles among the rarest of a text hold together.
 
     No pair at the threshold is parted. A text that shares none of its rarest shingles has no row.
     """
@@ -234,7 +236,7 @@ def _rare_groups(large: DataFrame, words: int, threshold: Fraction) -> DataFrame
             repeated = lambda k: pa.array(np.repeat(b.column(k).to_numpy(), n))
             yield batch_of(SHINGLE, comp=repeated(0), node=repeated(1), n=pa.array(np.repeat(n, n)), shingle=pa.array(np.concatenate(each).view(np.int64)))
 
-    rows = checkpointed(large.select("comp", "node", "text").mapInArrow(run, "comp long, node long, n long, shingle long"), "shingles")
+    rows = checkpointed(large.select("comp", "node", "text").mapInArrow(run, "comp long, node long, n long, shingle long"), "shingles", WIDE * n_docs)
     # one row a shingle meets those that hold it: a join whose large partitions can be split
     shared = rows.join(rows.groupBy("comp", "shingle").agg(F.count("*").alias("f")).where("f > 1"), ["comp", "shingle"])
     by = Window.partitionBy("node")
@@ -242,18 +244,18 @@ def _rare_groups(large: DataFrame, words: int, threshold: Fraction) -> DataFrame
     most = F.expr(f"n - ({t} * n + {of - 1}) DIV {of} + 1")
     alone = F.col("n") - F.count("*").over(by)  # shingles of no other text come first among the rarest
     tokens = shared.withColumns({"at": F.row_number().over(by.orderBy("f", "shingle")), "alone": alone}).where(F.col("at") + F.col("alone") <= most)
-    tokens, seen = observed(tokens.select("comp", "shingle", "node"), "rarest", n=F.count("*"))
+    tokens, seen = observed(tokens.select("comp", "shingle", "node"), "rarest", WIDE * n_docs, n=F.count("*"))
     heads = tokens.groupBy("comp", "shingle").agg(F.min("node").alias("head"))
     return components(tokens.join(heads, ["comp", "shingle"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), seen["n"])
 
 
-def _cut(members: DataFrame, words: int, threshold: Fraction, block: int) -> DataFrame:
+def _cut(members: DataFrame, words: int, threshold: Fraction, block: int, n_docs: int) -> DataFrame:
     """Members of all groups with the part to verify (part, part_size, part_bytes): small groups whole, large ones as `_rare_groups` parts them."""
     small = members.where(F.col("size") <= block).withColumns({"part": F.col("comp"), "part_size": F.col("size"), "part_bytes": F.col("n_bytes")})
     large = members.where(F.col("size") > block)
     if large.isEmpty():
         return small
-    parts = _rare_groups(large, words, threshold)
+    parts = _rare_groups(large, words, threshold, n_docs)
     own = large.join(parts, "node")
     sizes = own.groupBy("label").agg(F.count("*").alias("part_size"), F.sum(F.octet_length("text")).alias("part_bytes"))
     return small.unionByName(own.join(sizes, "label").withColumn("part", F.col("label")).drop("label"))
@@ -333,11 +335,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
         raise ValueError("at most 255 trees")
     ship(docs.sparkSession)
     least = depth_for(threshold, trees, depth, recall)
+    n_docs = docs.count()  # of a Parquet table from its footers
     signed = _signed(docs, words, trees, depth, seed)
     nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
-    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", WIDE * n_docs)
     ties = forest_ties(nodes, trees, depth, least)
-    ties, seen_ties = observed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", n=F.count("*"))
+    ties, seen_ties = observed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", n_docs, n=F.count("*"))
     n_ties = seen_ties["n"]
     plain = nodes.drop("labels")
     # the texts of all nodes that any depth may bring together, once
@@ -346,7 +349,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     own = plain.join(tied, "node")
     same = [own.rep.eqNullSafe(texts.rep), own.h1 == texts.h1, own.h2 == texts.h2]
     texts = own.join(texts, same).groupBy("node", "copies").agg(F.first("text").alias("text"))
-    texts = checkpointed(texts.withColumn("n_bytes", F.octet_length("text")), "texts")
+    texts = checkpointed(texts.withColumn("n_bytes", F.octet_length("text")), "texts", WIDE * n_docs)
     found, seen, size, groups = [], None, None, None
     for at in range(depth, least - 1, -1):
         # the groups of the longer prefixes, as stars, and what this depth adds
@@ -357,7 +360,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
         new = size if seen is None else size.join(seen, ["label", "size"], "left_anti")  # groups only grow: with the same size they are the same
         members = groups.join(new, "label").join(texts, "node").select(F.col("label").alias("comp"), "size", F.col("total").alias("n_bytes"), "node", "copies", "text")
         exact = Fraction(str(threshold))
-        found.append(checkpointed(_verified(_cut(members, words, exact, block), words, exact, block), "verified"))
+        found.append(checkpointed(_verified(_cut(members, words, exact, block, n_docs), words, exact, block), "verified", WIDE * n_docs))
         seen = size.select("label", "size")
         links = reduce(DataFrame.unionByName, found).join(seen.withColumnRenamed("label", "comp"), ["comp", "size"], "left_semi")
         bins = links.where("bins is not null").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
@@ -377,7 +380,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, with one of each class: that of the least doc_id; of rows equal in doc_id and text, one."""
-    kept = checkpointed(classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("rows")), "kept")
+    kept = checkpointed(classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("rows")), "kept", docs.count())
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
     same = keyed.doc_id.eqNullSafe(kept.doc_id) & (keyed._h1 == kept.h1) & (keyed._h2 == kept.h2)
