@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/runlens-{label}-{uuid.uuid4().hex}"
 
 
-#: Rows of a narrow table to a file, where their number is known, and the fewest files.
-FILE_ROWS, LEAST_FILES = 20_000, 8
+#: Rows of a narrow table to a file, where their number is known.
+FILE_ROWS = 20_000
 
 
 def observed(df: DataFrame, label: str, rows: int | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -63,11 +63,11 @@ def observed(df: DataFrame, label: str, rows: int | None = None, **metrics: Colu
 def checkpointed(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cuts the lineage by a table written in the shared folder; it survives the loss of executors.
 
-    rows: about how many there are. The number of files then grows with them instead of being that of the shuffle's partitions, which for small tables
-    makes thousands of files of a few rows.
+    rows: about how many there are. The number of files then grows with them, from one, instead of being that of the shuffle's partitions, which for small
+    tables makes thousands of files of a few rows.
     """
     out = shared_dir(df.sparkSession, label)
-    (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))).write.parquet(out)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 

@@ -124,10 +124,10 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same[:, 0], np.logical_and.accumulate(values, axis=1).sum(axis=1), 0)
 
 
-def forest_ties(nodes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+def forest_ties(nodes: DataFrame, trees: int, depth: int, least: int, parts: int | None = None) -> DataFrame:
     """u, v, shared: each node and the head of the run, in some sorted trie, of those with which it shares `shared` values, `least` or more.
 
-    The ties with `shared` of d or more join the nodes that have a prefix of d values in common with another, and no others.
+    parts: ranges of the sorted labels (None: as many as the session's shuffle partitions). The ties with `shared` of d or more join the nodes that have a prefix of d values in common with another, and no others.
     """
     width = 2 * depth
 
@@ -161,7 +161,8 @@ def forest_ties(nodes: DataFrame, trees: int, depth: int, least: int) -> DataFra
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = nodes.where("labels is not null").select("node", "labels", tree.alias("tree"))
     label = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring(F.col("labels"), F.col("tree") * width + 1, F.lit(width)))
-    rows = rows.select(label.alias("label"), "node").repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    rows = rows.select(label.alias("label"), "node")
+    rows = (rows.repartitionByRange("label", "node") if parts is None else rows.repartitionByRange(parts, "label", "node")).sortWithinPartitions("label", "node")
     found = checkpointed(rows.mapInArrow(run, "u long, v long, shared int, part int, last boolean, label binary"), "ties")
     inner = found.where("part is null").select("u", "v", "shared")
     # two rows for each partition: the last label of one and the first of the next may share a prefix
@@ -214,6 +215,8 @@ def _roots(found: np.ndarray) -> np.ndarray:
 OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("last", pa.bool_()), ("comp", pa.int64()), ("size", pa.int64()), ("bins", pa.list_(pa.int64()))])
 #: Tables of texts, shingles and labels get files of so many times fewer rows than narrow ones.
 WIDE = 16
+#: Labels of all trees to a range of their sort.
+LABEL_ROWS = 200_000
 #: Similarities of links are counted in this many bins from 0 to 1.
 BINS = 200
 #: Most bytes of text in a block of several texts.
@@ -339,7 +342,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int
     signed = _signed(docs, words, trees, depth, seed)
     nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", WIDE * n_docs)
-    ties = forest_ties(nodes, trees, depth, least)
+    ties = forest_ties(nodes, trees, depth, least, parts=-(-n_docs * trees // LABEL_ROWS) or 1)
     ties, seen_ties = observed(ties.groupBy("u", "v").agg(F.max("shared").alias("shared")), "forest", n_docs, n=F.count("*"))
     n_ties = seen_ties["n"]
     plain = nodes.drop("labels")
