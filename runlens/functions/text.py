@@ -116,7 +116,8 @@ def tool_inputs(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical JSON of `input` for each content block of a record, null for other blocks. Number formats of the record are kept, so not native."""
 
     def one(text: str | None) -> list[str | None] | None:
-        blocks = (json.loads(text).get("message") or {}).get("content") if text else None
+        message = json.loads(text).get("message") if text else None
+        blocks = message.get("content") if isinstance(message, dict) else None
         return [canonical(b.get("input")) if isinstance(b, dict) and b.get("type") == "tool_use" else None for b in blocks] if isinstance(blocks, list) else None
 
     for batch in values:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runlens.functions.once import once
+
 #: Date, time and a mandatory offset; letters in either case.
 RFC3339 = r"\A\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z"
 
 
 def parse_timestamp(text: Column) -> Column:
     """Null unless the text has a date, a time and an offset and names a point in the years 0001 to 9999."""
-    upper = F.regexp_replace(F.upper(text), r"\A(\d{4}-\d{2}-\d{2}) ", "$1T")
-    micros = F.regexp_replace(upper, r"(\.\d{6})\d+", "$1")
+    # what the pattern lets through has its letters in known places; only fractions of over six digits are cut by another pattern
+    plain = F.concat(F.substring(text, 1, 10), F.lit("T"), F.translate(F.substring(text, 12, 1 << 20), "z", "Z"))
+    micros = F.when(F.char_length(text) > 27, F.regexp_replace(plain, r"(\.\d{6})\d+", "$1")).otherwise(plain)
     at = F.when(text.rlike(RFC3339), F.try_to_timestamp(micros))
-    return F.when(at.between(F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp")), at)
+    return once(at, lambda x: F.when(x.between(F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp")), x))
 
 
 def millis_between(earlier: Column, later: Column) -> Column:

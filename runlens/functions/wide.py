@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runlens.functions.once import once
+
 COUNT = "decimal(38,0)"
 #: The greatest count; every greater one is read as this.
 MOST = 10**38 - 1
@@ -65,9 +67,13 @@ def micro_usd(pairs: list[tuple[Column, Column]]) -> Column:
     sum_ = lambda parts: reduce(lambda a, b: a + b, (p.cast("decimal(38,0)") for p in parts))
     up, low = sum_(high(n) * unit(r) for n, r in pairs), sum_(rest(n) * unit(r) for n, r in pairs)
     held = reduce(lambda a, b: a & b, ((n < most()) | (unit(r) == 0) for n, r in pairs))
-    half = low + F.lit(5 * 10 ** (RATE_DIGITS - 1)).cast("decimal(13,0)")
-    wide = (up.cast("decimal(31,0)") * F.lit(10 ** (LOW - RATE_DIGITS)).cast("decimal(7,0)")).cast(COUNT) + high(half.cast(COUNT), RATE_DIGITS)
-    return F.when(held & (up < F.lit(str(10**31)).cast("decimal(32,0)")), wide.cast(COUNT))
+
+    def micro(s: Column) -> Column:
+        half = s["low"] + F.lit(5 * 10 ** (RATE_DIGITS - 1)).cast("decimal(13,0)")
+        whole = (s["up"].cast("decimal(31,0)") * F.lit(10 ** (LOW - RATE_DIGITS)).cast("decimal(7,0)")).cast(COUNT) + high(half.cast(COUNT), RATE_DIGITS)
+        return F.when(s["up"] < F.lit(str(10**31)).cast("decimal(32,0)"), whole.cast(COUNT))
+
+    return F.when(held, once(F.struct(up.alias("up"), low.alias("low")), micro))
 
 
 def usd(micro: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import wide
+from runlens.functions.once import once
 from runlens.schema import USAGE_FIELDS
 from runlens.sources.rates import PRICE_KEYS
 
@@ -40,7 +41,7 @@ def price(usage: Column) -> Column:
     small = reduce(lambda a, b: a & b, (usage[f] < SMALL for f in USAGE_FIELDS))
     terms = [(usage[f].cast("decimal(15,0)") * F.coalesce(F.col(k), F.lit(0).cast(wide.RATE))).cast("decimal(34,12)") for f, k in PAIRS]
     micro = F.round(reduce(lambda a, b: a + b, terms), 0).cast(wide.COUNT)
-    return wide.usd(F.when(small, micro).otherwise(wide.micro_usd([(usage[f], F.col(k)) for f, k in PAIRS])))
+    return once(F.when(small, micro).otherwise(wide.micro_usd([(usage[f], F.col(k)) for f, k in PAIRS])), wide.usd)
 
 
 def priced(spans: DataFrame, rates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import digest_id, preview, preview_within, safe_agent_id, short_sha, slug, tool_inputs
 from runlens.functions import wide
+from runlens.functions.once import once
 from runlens.functions.time import parse_timestamp
 from runlens.functions.wide import COUNT, most
 from runlens.operators.ranges import numbered
@@ -23,6 +24,7 @@ SYNTHETIC = "<synthetic>"
 IGNORED_KEYS = ("iterations", "output_tokens_details", "server_tool_use", "diagnostics", "stop_details", "container", "context_management", "quotaLimits", "rendered", "apiBlockIndex", "logicalParentUuid", "compactMetadata")
 RECORD_KEYS = ("type", "uuid", "timestamp", "parentUuid", "agentId", "sessionId", "requestId", "subtype", "isSidechain", "isMeta", "isApiErrorMessage", "apiErrorStatus", "error", "message", "content")
 MESSAGE_KEYS = ("id", "model", "role", "type", "stop_reason", "stop_sequence", "content", "usage")
+BLOCK_KEYS = ("type", "id", "tool_use_id", "name", "is_error", "text", "thinking", "content")
 USAGE_KEYS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation")
 
 
@@ -30,28 +32,40 @@ def kind_of(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def text_of(x: Column) -> Column:
+    """A variant's string, or null if it isn't one (a number isn't made a string)."""
+    return F.when(kind_of(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+
 def string_at(v: Column, path: str) -> Column:
-    """A string, or null if what is there isn't one (a number isn't made a string)."""
-    x = F.try_variant_get(v, path, "variant")
-    return F.when(kind_of(x) == "STRING", F.try_variant_get(v, path, "string"))
+    """A string, or null if what is there isn't one."""
+    return once(F.try_variant_get(v, path, "variant"), text_of)
 
 
-def count_at(v: Column, path: str, line: Column | None = None, line_path: str | None = None) -> Column:
+def count_of(x: Column, line: Column | None = None, line_path: str | None = None) -> Column:
     """A whole number of 0 or more; 0 for anything else, fractions written as 1.0 and booleans included.
 
     A variant holds 38 digits. Where `line` is the JSON text with the number at line_path, one of more digits is `MOST`; it is looked up only then.
     """
-    x = kind_of(F.try_variant_get(v, path, "variant"))
-    whole = (x == "BIGINT") | x.rlike(r"\ADECIMAL\((19|2\d|3\d),0\)\z")
-    count = F.when(whole, F.greatest(F.coalesce(F.try_variant_get(v, path, COUNT), F.lit(0).cast(COUNT)), F.lit(0).cast(COUNT)))
+    kind = kind_of(x)
+    whole = (kind == "BIGINT") | kind.rlike(r"\ADECIMAL\((19|2\d|3\d),0\)\z")
+    count = F.when(whole, F.greatest(F.coalesce(F.try_variant_get(x, "$", COUNT), F.lit(0).cast(COUNT)), F.lit(0).cast(COUNT)))
     if line is not None:
-        count = count.when((x == "DOUBLE") & (F.try_variant_get(v, path, "double") > 9e37) & F.get_json_object(line, line_path).rlike(r"\A\d{39,}\z"), most())
+        count = count.when((kind == "DOUBLE") & (F.try_variant_get(x, "$", "double") > 9e37) & F.get_json_object(line, line_path).rlike(r"\A\d{39,}\z"), most())
     return count.otherwise(F.lit(0).cast(COUNT))
 
 
-def true_at(v: Column, path: str) -> Column:
+def count_at(v: Column, path: str) -> Column:
+    return once(F.try_variant_get(v, path, "variant"), count_of)
+
+
+def true_of(x: Column) -> Column:
     """Only the JSON value true is true."""
-    return F.coalesce((kind_of(F.try_variant_get(v, path, "variant")) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
+    return F.coalesce((kind_of(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"), F.lit(False))
+
+
+def true_at(v: Column, path: str) -> Column:
+    return once(F.try_variant_get(v, path, "variant"), true_of)
 
 
 def object_at(v: Column, path: str) -> Column:
@@ -59,56 +73,78 @@ def object_at(v: Column, path: str) -> Column:
     return F.when(kind_of(x).startswith("OBJECT"), x)
 
 
-def list_at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "array<variant>")
+def fields_at(v: Column, path: str, names: tuple[str, ...]) -> Column:
+    """The named values of an object as a struct of variants, in one pass over it; null if there is no object."""
+    return F.try_variant_get(v, path, f"struct<{','.join(f'{n}:variant' for n in names)}>")
+
+
+def items_at(v: Column, path: str) -> Column:
+    """An object as a map of variants; null if there is none."""
+    return F.try_variant_get(v, path, "map<string,variant>")
 
 
 def joined_text(content: Column) -> Column:
     """A string as it is, or the `text` strings of a list's text blocks, with blanks between."""
-    texts = F.transform(F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda b: (string_at(b, "$.type") == "text") & string_at(b, "$.text").isNotNull()), lambda b: F.try_variant_get(b, "$.text", "string"))
-    return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.coalesce(F.array_join(texts, " "), F.lit("")))
+    parts = F.transform(F.try_variant_get(content, "$", "array<struct<type:variant,text:variant>>"), lambda b: F.when(text_of(b["type"]) == "text", text_of(b["text"])))
+    return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.coalesce(F.array_join(parts, " "), F.lit("")))
+
+
+def usage_in(items: Column, line: Column | None = None) -> Column:
+    """Five counters that don't overlap, from the items of a usage object; null without one. line: the record's JSON text."""
+    zero = F.lit(0).cast(COUNT)
+
+    def counters(u: Column, split: Column) -> Column:
+        at = lambda name: count_of(u[name], line, f"$.message.usage.{name}")
+        part = lambda name, without: F.when(split.isNotNull(), count_of(split[name], line, f"$.message.usage.cache_creation.{name}")).otherwise(without)
+        parts = (at("input_tokens"), at("output_tokens"), at("cache_read_input_tokens"), part("ephemeral_5m_input_tokens", at("cache_creation_input_tokens")), part("ephemeral_1h_input_tokens", zero))
+        return F.when(u.isNotNull(), F.struct(*(c.alias(f) for c, f in zip(parts, USAGE_FIELDS))))
+
+    split_of = lambda u: fields_at(u["cache_creation"], "$", ("ephemeral_5m_input_tokens", "ephemeral_1h_input_tokens"))
+    return once(items, lambda u: once(split_of(u), lambda split: counters(u, split))).cast(USAGE)
 
 
 def usage_of(message: Column, line: Column | None = None) -> Column:
-    """Five counters that don't overlap; null without a usage object. line: the record's JSON text."""
-    u = object_at(message, "$.usage")
-    split = object_at(u, "$.cache_creation")
-    at = lambda o, name, inside="": count_at(o, f"$.{name}", line, f"$.message.usage.{inside}{name}")
-    return F.when(
-        u.isNotNull(),
-        F.struct(
-            at(u, "input_tokens").alias(USAGE_FIELDS[0]),
-            at(u, "output_tokens").alias(USAGE_FIELDS[1]),
-            at(u, "cache_read_input_tokens").alias(USAGE_FIELDS[2]),
-            F.when(split.isNotNull(), at(split, "ephemeral_5m_input_tokens", "cache_creation.")).otherwise(at(u, "cache_creation_input_tokens")).alias(USAGE_FIELDS[3]),
-            F.when(split.isNotNull(), at(split, "ephemeral_1h_input_tokens", "cache_creation.")).otherwise(F.lit(0).cast(COUNT)).alias(USAGE_FIELDS[4]),
-        ),
-    ).cast(USAGE)
-
-
-def keys_of(v: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+    return usage_in(items_at(message, "$.usage"), line)
+
+
+def block_of(b: Column) -> Column:
+    """A content block, given as variants, with its types."""
+    return F.struct(
+        text_of(b["type"]).alias("block_type"), text_of(b["id"]).alias("id"), text_of(b["tool_use_id"]).alias("tool_use_id"), text_of(b["name"]).alias("name"), true_of(b["is_error"]).alias("is_error"),
+        F.coalesce(text_of(b["text"]), text_of(b["thinking"])).alias("text"), joined_text(b["content"]).alias("result_text"),
+    )
 
 
 def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Typed records of the traces without a fatal error, and all fatal errors.
 
-    Every value is taken from a line once: one pass writes the typed records of all lines with the error of each, and all else reads that table.
+    Every value is taken from a line once: one pass writes the typed records of all lines, their content blocks included, with the error of each, and all
+    else reads that table. No variant is written. `value`, the JSON text, is kept where a block is a tool use.
     """
     v = F.col("v")
-    message_kind = kind_of(F.try_variant_get(v, "$.message", "variant"))
+    o = lambda name: F.col(f"o.{name}")
     rows = scanned["lines"].withColumns({
-        "object": F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False)), "type": string_at(v, "$.type"), "uuid": string_at(v, "$.uuid"), "stamp": string_at(v, "$.timestamp"), "message": object_at(v, "$.message"),
-        "bad_message": F.coalesce(~(message_kind.startswith("OBJECT") | (message_kind == "VOID")), F.lit(False)),
-        "agent_id": safe_agent_id(string_at(v, "$.agentId")), "session": string_at(v, "$.sessionId"), "request": string_at(v, "$.requestId"),
-        "subtype": string_at(v, "$.subtype"), "api_error": true_at(v, "$.isApiErrorMessage"), "api_status": string_at(v, "$.apiErrorStatus"), "api_code": string_at(v, "$.error"), "keys": F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")),
+        "o": fields_at(v, "$", ("type", "uuid", "timestamp", "agentId", "sessionId", "requestId", "subtype", "isApiErrorMessage", "apiErrorStatus", "error", "content")), "m": items_at(v, "$.message"),
+        "keys": F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")),
     }).withColumns({
-        "when": parse_timestamp(F.col("stamp")), "message_id": string_at(F.col("message"), "$.id"), "content": F.try_variant_get(F.coalesce("message", "v"), "$.content", "variant"),
+        "object": F.col("o").isNotNull(), "type": text_of(o("type")), "uuid": text_of(o("uuid")), "stamp": text_of(o("timestamp")),
+        "message_kind": F.when(F.col("m").isNull(), kind_of(F.try_variant_get(v, "$.message", "variant"))),
+        "agent_id": once(text_of(o("agentId")), safe_agent_id), "session": text_of(o("sessionId")), "request": text_of(o("requestId")), "subtype": text_of(o("subtype")), "api_error": true_of(o("isApiErrorMessage")),
+        "api_status": text_of(o("apiErrorStatus")), "api_code": text_of(o("error")), "message_id": text_of(F.col("m")["id"]), "model": text_of(F.col("m")["model"]), "stop_reason": text_of(F.col("m")["stop_reason"]),
+        "use": items_at(F.col("m")["usage"], "$"), "content": F.when(F.col("m").isNull(), o("content")).otherwise(F.col("m")["content"]), "message_keys": F.map_keys("m"),
         "n_extra": F.size(F.array_except("keys", F.array(*map(F.lit, (*RECORD_KEYS, *IGNORED_KEYS))))),
-    })
+    }).withColumns({
+        "when": parse_timestamp(F.col("stamp")), "usage": F.when(F.col("type") == "assistant", usage_in(F.col("use"), F.col("value"))), "usage_keys": F.map_keys("use"),
+        "parts": F.transform(F.try_variant_get("content", "$", f"array<struct<{','.join(f'{k}:variant' for k in BLOCK_KEYS)}>>"), block_of),
+    }).withColumn("spoken", F.coalesce(kind_of(F.col("content")) == "STRING", F.lit(False)) | F.coalesce(F.exists("parts", lambda b: F.coalesce(b["block_type"] != "tool_result", F.lit(False))), F.lit(False)))
     missing = (F.coalesce("type", F.lit("")) == "") | (F.coalesce("uuid", F.lit("")) == "") | (F.coalesce("stamp", F.lit("")) == "")
-    code = F.when(missing, "missing_field").when(F.col("when").isNull(), "bad_timestamp").when(F.col("type").isin("assistant", "user") & F.col("bad_message"), "bad_message")
-    rows = materialized(rows.withColumn("code", F.when(F.col("object"), code)).drop("v", "stamp", "bad_message"), "records").where("object").drop("object")
+    bad_message = F.coalesce(F.col("message_kind") != "VOID", F.lit(False))
+    code = F.when(missing, "missing_field").when(F.col("when").isNull(), "bad_timestamp").when(F.col("type").isin("assistant", "user") & bad_message, "bad_message")
+    rows = rows.withColumns({
+        "code": F.when(F.col("object"), code), "said": F.when((F.col("type") == "system") | (F.col("type") == "user") & F.col("spoken"), joined_text(F.col("content"))),
+        "value": F.when(F.exists("parts", lambda b: b["block_type"] == "tool_use"), F.col("value")),
+    })
+    rows = materialized(rows.drop("v", "o", "m", "use", "content", "stamp", "message_kind"), "records").where("object").drop("object")
     parse = rows.select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", "code").where("code is not null")
     nth = F.row_number().over(Window.partitionBy("trace_id", "file_index", "uuid").orderBy("line"))
     again = rows.withColumn("nth", nth).where("nth > 1").select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", F.lit("duplicate_uuid").alias("code"))
@@ -120,30 +156,24 @@ def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Content blocks: one row each, with the digest input of tool calls."""
-    some = rows.withColumn("inputs", F.when(F.col("value").contains("tool_use"), tool_inputs(F.when(F.col("value").contains("tool_use"), F.col("value")))))
-    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), "inputs", F.posexplode(list_at(F.col("content"), "$")).alias("pos", "b"))
-    b = F.col("b")
-    object_ = F.coalesce(kind_of(b).startswith("OBJECT"), F.lit(False))
-    return out.select(
-        "trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "pos", F.when(object_, string_at(b, "$.type")).alias("block_type"),
-        string_at(b, "$.id").alias("id"), string_at(b, "$.tool_use_id").alias("tool_use_id"), string_at(b, "$.name").alias("name"), true_at(b, "$.is_error").alias("is_error"),
-        F.coalesce(string_at(b, "$.text"), string_at(b, "$.thinking")).alias("text"), joined_text(F.try_variant_get(b, "$.content", "variant")).alias("result_text"), F.get("inputs", F.col("pos")).alias("input"),
-    )
+    """Content blocks: one row each, with the digest input of tool calls. Only records with a tool use go through Python."""
+    calls = rows.where("value is not null").withColumn("inputs", tool_inputs("value"))
+    some = calls.unionByName(rows.where("value is null").withColumn("inputs", F.lit(None).cast("array<string>")))
+    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), "inputs", F.posexplode("parts").alias("pos", "b"))
+    return out.select("trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "pos", "b.*", F.get("inputs", F.col("pos")).alias("input"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """Assistant records with the key of the call that they are fragments of. Null ids are ids of their own; without both, a record stands alone."""
     solo = F.col("message_id").isNull() & F.col("request").isNull()
     key = F.when(solo, F.concat(F.lit("solo:"), F.col("record_index"))).otherwise(F.to_json(F.struct("session", "agent_id", "message_id", "request"), {"ignoreNullFields": "false"}))
-    return rows.where("type = 'assistant'").withColumn("key", key).withColumn("usage", usage_of(F.col("message"), F.col("value")))
+    return rows.where("type = 'assistant'").withColumn("key", key)
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
     """One row a model call: what it was at the first fragment, and what the last fragment says of it, wholesale."""
-    some = rows.withColumns({"model": string_at(F.col("message"), "$.model"), "stop_reason": string_at(F.col("message"), "$.stop_reason")})
     last = F.max_by(F.struct("when", "model", "usage", "stop_reason", "api_error", "api_code", "api_status"), "record_index")
-    out = some.groupBy("trace_id", "key").agg(
+    out = rows.groupBy("trace_id", "key").agg(
         F.min("record_index").alias("anchor"), F.min_by("when", "record_index").alias("start"), F.min_by("agent_id", "record_index").alias("agent_id"), F.min_by("file_index", "record_index").alias("file_index"),
         last.alias("last"), F.sum("n_extra").cast("int").alias("extras_dropped"), F.count("*").alias("fragments"),
     )
@@ -212,9 +242,8 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
         F.when(F.col("result_when").isNull(), "missing").when(F.col("is_error"), "error").otherwise("ok").alias("tool_result_status"), F.lit("").alias("text_preview"), shown(F.col("input")).alias("tool_input_preview"),
         shown(F.col("result_text")).alias("tool_result_preview"), none(error).alias("error"), F.lit(0).alias("extras_dropped"), F.coalesce(F.col("result_when") < F.col("start"), F.lit(False)).alias("negative"),
     )
-    blank = lambda kind, err: ["trace_id", F.col("record_index").alias("anchor"), F.lit(0).alias("sub"), "agent_id", "file_index", F.lit(kind).alias("kind"), F.col("when").alias("start"), F.col("when").alias("end"), none("string").alias("model"), none(USAGE).alias("usage"), none("string").alias("stop_reason"), none("string").alias("tool_name"), none("string").alias("tool_use_id"), none("string").alias("tool_input_digest"), none("string").alias("tool_result_status"), shown(joined_text(F.col("content"))).alias("text_preview"), F.lit("").alias("tool_input_preview"), F.lit("").alias("tool_result_preview"), err.alias("error"), F.col("n_extra").alias("extras_dropped"), F.lit(False).alias("negative")]
-    spoken = (kind_of(F.col("content")) == "STRING") | F.exists(list_at(F.col("content"), "$"), lambda b: F.coalesce(kind_of(b).startswith("OBJECT") & (string_at(b, "$.type") != "tool_result"), F.lit(False)))
-    users = rows.where((F.col("type") == "user") & F.coalesce(spoken, F.lit(False))).select(*blank("user_message", none(error)))
+    blank = lambda kind, err: ["trace_id", F.col("record_index").alias("anchor"), F.lit(0).alias("sub"), "agent_id", "file_index", F.lit(kind).alias("kind"), F.col("when").alias("start"), F.col("when").alias("end"), none("string").alias("model"), none(USAGE).alias("usage"), none("string").alias("stop_reason"), none("string").alias("tool_name"), none("string").alias("tool_use_id"), none("string").alias("tool_input_digest"), none("string").alias("tool_result_status"), shown(F.col("said")).alias("text_preview"), F.lit("").alias("tool_input_preview"), F.lit("").alias("tool_result_preview"), err.alias("error"), F.col("n_extra").alias("extras_dropped"), F.lit(False).alias("negative")]
+    users = rows.where((F.col("type") == "user") & F.col("spoken")).select(*blank("user_message", none(error)))
     boundary = F.coalesce(F.col("subtype") == "compact_boundary", F.lit(False))
     system = rows.where("type = 'system'").select(*blank("system_event", F.when(boundary, F.struct(F.lit("compact_boundary").alias("code"), F.lit("").alias("detail"))).cast(error)))
     pending = reduce(DataFrame.unionByName, [model, tools, users, system])
@@ -262,12 +291,11 @@ def warnings_of(rows: DataFrame, every: DataFrame, calls: DataFrame, spans: Data
     def emit(df: DataFrame, code: str, detail: Column | None = None, n: Column | None = None) -> DataFrame:
         return df.select("trace_id", F.lit(code).alias("code"), (F.lit("") if detail is None else detail).alias("detail"), (F.lit(1) if n is None else n).cast("long").alias("count"))
 
-    def keys(path: str | None, known: tuple[str, ...]) -> list[DataFrame]:
-        source = F.col("keys") if path is None else keys_of(object_at(F.col("message"), path) if path != "$" else F.col("message"))
-        some = rows.where(F.col("type").isin("assistant", "user", "system"))
-        each = some.select("trace_id", F.explode(source).alias("key"))
-        ignored = F.col("key").isin(*IGNORED_KEYS)
-        return [emit(each.where(ignored), "known_ignored_key", F.col("key")), emit(each.where(~ignored & ~F.col("key").isin(*known)), "unknown_extra_key")]
+    some = rows.where(F.col("type").isin("assistant", "user", "system"))
+    levels = (("keys", RECORD_KEYS), ("message_keys", MESSAGE_KEYS), ("usage_keys", USAGE_KEYS))
+    odd = lambda name, known: F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda k: ~k.isin(*(x for x in known if x not in IGNORED_KEYS)))
+    odd_keys = some.select("trace_id", F.explode(F.concat(*(odd(*level) for level in levels))).alias("key"))
+    ignored = F.col("key").isin(*IGNORED_KEYS)
 
     uses = every.where("block_type = 'tool_use' and id is not null").select("trace_id", F.col("id").alias("tool_use_id")).distinct()
     orphans = every.where("block_type = 'tool_result' and tool_use_id <> ''").select("trace_id", "tool_use_id").distinct().join(uses, ["trace_id", "tool_use_id"], "left_anti")
@@ -285,6 +313,6 @@ def warnings_of(rows: DataFrame, every: DataFrame, calls: DataFrame, spans: Data
         emit(calls.where((F.col("model") == SYNTHETIC) & ~F.col("api_error")), "synthetic_model"),
         emit(rows.where("type = 'system' and subtype = 'compact_boundary'"), "compaction_boundary"),
         emit(calls.where("api_error"), "api_error_record"),
-        *keys(None, RECORD_KEYS), *keys("$", MESSAGE_KEYS), *keys("$.usage", USAGE_KEYS),
+        odd_keys.select("trace_id", F.when(ignored, "known_ignored_key").otherwise("unknown_extra_key").alias("code"), F.when(ignored, F.col("key")).otherwise("").alias("detail"), F.lit(1).cast("long").alias("count")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("trace_id", "code", "detail").agg(F.sum("count").alias("count"))

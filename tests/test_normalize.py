@@ -167,3 +167,18 @@ def test_coercion(spark):
     c = F.col("v")
     row = v.select(normalize.count_at(c, "$.a").alias("a"), normalize.count_at(c, "$.b").alias("b"), normalize.count_at(c, "$.c").alias("c"), normalize.count_at(c, "$.d").alias("d"), normalize.count_at(c, "$.e").alias("e"), normalize.string_at(c, "$.a").alias("s"), normalize.true_at(c, "$.b").alias("t"), normalize.true_at(c, "$.g").alias("u")).first()
     assert tuple(row) == (5, 0, 0, 0, 0, None, True, False)
+
+
+def test_typed_records_hold_no_variants(spark, tmp_path):
+    """Everything is taken from a line in the one pass; the text of a line is kept only for canonical tool inputs."""
+    rows, _ = normalize.records(scan(spark, sample(tmp_path)))
+    assert "variant" not in rows.schema.simpleString()
+    kept = {r.record_index: r.value for r in rows.select("record_index", "value").collect()}
+    assert {k for k, v in kept.items() if v is not None} == {2, 3, 9}
+    content = ["x", {"type": "text", "text": "a b"}, {"type": "text", "text": 5}, 7, None, {"type": "tool_use", "id": "i", "input": {"b": 1.0, "a": 2}}, {"text": "u"}]
+    t = Transcript().add("assistant", 0, message={"id": "m", "content": content}).add("attachment", 1, message=[1], content=[tool("a")])
+    t.write(tmp_path / "odd" / "t" / "a.jsonl")
+    rows, fatal = normalize.records(scan(spark, str(tmp_path / "odd")))
+    got = normalize.blocks(rows).where("record_index = 0").orderBy("pos").select("block_type", "id", "text", "input").collect()
+    none = (None,) * 4
+    assert fatal.isEmpty() and list(map(tuple, got)) == [none, ("text", None, "a b", None), ("text", None, None, None), none, none, ("tool_use", "i", None, '{"a":2,"b":1.0}'), (None, None, "u", None)]

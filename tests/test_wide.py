@@ -67,3 +67,10 @@ def test_a_trace_of_large_counts(spark):
     with localcontext() as c:
         c.prec = 60
         assert total.cost_precision_exceeded == 2 and total[USAGE_FIELDS[0]] == wide.MOST and total.cost_usd == sum(got[k].cost_usd for k in range(5))
+
+
+def test_a_usage_object_is_read_once(spark):
+    """Its plan names each value a few times; it grew to over 200 readings of the line, one below another."""
+    rows = spark.createDataFrame([('{"message":{"usage":{"input_tokens":1}}}',)], "line string").select("line", F.try_parse_json("line").alias("v"))
+    plan = rows.select(usage_of(F.col("v"), F.col("line")).alias("usage"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get(") < 40
