@@ -159,15 +159,20 @@ def blocks(rows: DataFrame) -> DataFrame:
     """Content blocks: one row each, with the digest input of tool calls. Only records with a tool use go through Python."""
     calls = rows.where("value is not null").withColumn("inputs", tool_inputs("value"))
     some = calls.unionByName(rows.where("value is null").withColumn("inputs", F.lit(None).cast("array<string>")))
-    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), "inputs", F.posexplode("parts").alias("pos", "b"))
-    return out.select("trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "pos", "b.*", F.get("inputs", F.col("pos")).alias("input"))
+    key = F.when(F.col("type") == "assistant", key_of()).alias("key")
+    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), key, "inputs", F.posexplode("parts").alias("pos", "b"))
+    return out.select("trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "key", "pos", "b.*", F.get("inputs", F.col("pos")).alias("input"))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Assistant records with the key of the call that they are fragments of. Null ids are ids of their own; without both, a record stands alone."""
+def key_of() -> Column:
+    """The key of the call that an assistant record is a fragment of. Null ids are ids of their own; without both, a record stands alone."""
     solo = F.col("message_id").isNull() & F.col("request").isNull()
-    key = F.when(solo, F.concat(F.lit("solo:"), F.col("record_index"))).otherwise(F.to_json(F.struct("session", "agent_id", "message_id", "request"), {"ignoreNullFields": "false"}))
-    return rows.where("type = 'assistant'").withColumn("key", key)
+    return F.when(solo, F.concat(F.lit("solo:"), F.col("record_index"))).otherwise(F.to_json(F.struct("session", "agent_id", "message_id", "request"), {"ignoreNullFields": "false"}))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Assistant records with the key of their call."""
+    return rows.where("type = 'assistant'").withColumn("key", key_of())
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
@@ -196,14 +201,14 @@ def collapse_stats(rows: DataFrame) -> DataFrame:
     return records_.join(naive, "trace_id", "left").join(sums, "trace_id", "left")
 
 
-def distinct_blocks(parts: DataFrame, all_blocks: DataFrame) -> DataFrame:
-    """Blocks of each call without repeats, in order of first appearance."""
-    own = all_blocks.join(parts.select("trace_id", "record_index", "key"), ["trace_id", "record_index"])
+def distinct_blocks(all_blocks: DataFrame, kinds: tuple[str, ...] = BLOCK_TYPES) -> DataFrame:
+    """Blocks of these types of each call without repeats, in order of first appearance. Only blocks of one type can be equal."""
+    own = all_blocks.where(F.col("key").isNotNull() & F.col("block_type").isin(*kinds))
     identity = F.when(F.col("block_type") == "tool_use", F.concat(F.lit("u:"), F.coalesce("id", F.concat(F.lit("#"), "record_index", F.lit("."), "pos")))).when(
         F.col("block_type") == "tool_result", F.concat(F.lit("r:"), F.coalesce("tool_use_id", F.concat(F.lit("#"), "record_index", F.lit("."), "pos")))
     ).when(F.col("text").isNotNull(), F.concat(F.lit("t:"), "block_type", F.lit(":"), F.sha2("text", 256))).otherwise(F.concat(F.lit("p:"), "record_index", F.lit("."), "pos"))
     first = F.row_number().over(Window.partitionBy("trace_id", "key", "identity").orderBy("record_index", "pos"))
-    return own.where(F.col("block_type").isin(*BLOCK_TYPES)).withColumn("identity", identity).withColumn("nth", first).where("nth = 1").drop("nth", "identity")
+    return own.withColumn("identity", identity).withColumn("nth", first).where("nth = 1").drop("nth", "identity")
 
 
 def tool_results(all_blocks: DataFrame) -> DataFrame:
@@ -218,12 +223,10 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
     rows, fatal = records(scanned)
     shown = (lambda c, n=240: preview(c, n)) if previews else (lambda c, n=240: F.lit(""))
     every = materialized(blocks(rows), "blocks")
-    parts = grouped(rows)
-    calls = materialized(collapsed(parts), "calls")
-    own = distinct_blocks(parts, every)
+    calls = materialized(collapsed(grouped(rows)), "calls")
     results = tool_results(every)
 
-    texts = own.where(F.col("block_type").isin("text", "thinking")).groupBy("trace_id", "key").agg(F.array_sort(F.collect_list(F.struct("record_index", "pos", "block_type", "text"))).alias("texts"))
+    texts = distinct_blocks(every, ("text", "thinking")).groupBy("trace_id", "key").agg(F.array_sort(F.collect_list(F.struct("record_index", "pos", "block_type", "text"))).alias("texts"))
     said = lambda kind: F.transform(F.filter("texts", lambda x: (x["block_type"] == kind) & x["text"].isNotNull()), lambda x: x["text"])
     text = F.coalesce(F.when(F.size(said("text")) > 0, F.array_join(said("text"), " ")).otherwise(F.array_join(said("thinking"), " ")), F.lit(""))
     none = lambda kind: F.lit(None).cast(kind)
@@ -234,7 +237,7 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
         F.lit("").alias("tool_result_preview"), F.col("error").cast(error).alias("error"), "extras_dropped", F.col("negative"),
     )
     order = F.row_number().over(Window.partitionBy("trace_id", "key").orderBy("record_index", "pos"))
-    uses = own.where("block_type = 'tool_use'").withColumn("sub", order).select("trace_id", "key", "sub", F.col("id").alias("tool_use_id"), "name", "input")
+    uses = distinct_blocks(every, ("tool_use",)).withColumn("sub", order).select("trace_id", "key", "sub", F.col("id").alias("tool_use_id"), "name", "input")
     uses = uses.join(calls.select("trace_id", "key", "anchor", "agent_id", "file_index", F.col("end").alias("start")), ["trace_id", "key"]).join(results, ["trace_id", "tool_use_id"], "left")
     tools = uses.select(
         "trace_id", "anchor", "sub", "agent_id", "file_index", F.lit("tool_call").alias("kind"), "start", F.when(F.col("result_when").isNotNull(), F.greatest("start", "result_when")).alias("end"), none("string").alias("model"),

@@ -182,3 +182,14 @@ def test_typed_records_hold_no_variants(spark, tmp_path):
     got = normalize.blocks(rows).where("record_index = 0").orderBy("pos").select("block_type", "id", "text", "input").collect()
     none = (None,) * 4
     assert fatal.isEmpty() and list(map(tuple, got)) == [none, ("text", None, "a b", None), ("text", None, None, None), none, none, ("tool_use", "i", None, '{"a":2,"b":1.0}'), (None, None, "u", None)]
+
+
+def test_blocks_know_their_call(spark, tmp_path):
+    """No join finds the call of a block, and blocks of one type are told apart without those of others."""
+    rows, _ = normalize.records(scan(spark, sample(tmp_path)))
+    every = normalize.blocks(rows)
+    keys = {(r.trace_id, r.record_index): r.key for r in normalize.grouped(rows).collect()}
+    assert all(r.key == keys.get((r.trace_id, r.record_index)) for r in every.collect())
+    whole = sorted((r.record_index, r.pos, r.block_type) for r in normalize.distinct_blocks(every).collect())
+    parts = sorted((r.record_index, r.pos, r.block_type) for kinds in (("text", "thinking"), ("tool_use",)) for r in normalize.distinct_blocks(every, kinds).collect())
+    assert whole == parts == [(1, 0, "thinking"), (2, 0, "tool_use"), (5, 0, "text"), (9, 0, "tool_use")]
