@@ -17,7 +17,9 @@ def parse_timestamp(text: Column) -> Column:
     plain = F.concat(F.substring(text, 1, 10), F.lit("T"), F.translate(F.substring(text, 12, 1 << 20), "z", "Z"))
     micros = F.when(F.char_length(text) > 27, F.regexp_replace(plain, r"(\.\d{6})\d+", "$1")).otherwise(plain)
     at = F.when(text.rlike(RFC3339), F.try_to_timestamp(micros))
-    return once(at, lambda x: F.when(x.between(F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp")), x))
+    # only in the outermost years can an offset lead out of the range
+    inside = once(at, lambda x: F.when(x.between(F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp")), x))
+    return F.when(F.substring(text, 1, 4).isin("0000", "0001", "9999"), inside).otherwise(at)
 
 
 def millis_between(earlier: Column, later: Column) -> Column:

@@ -26,6 +26,7 @@ RECORD_KEYS = ("type", "uuid", "timestamp", "parentUuid", "agentId", "sessionId"
 MESSAGE_KEYS = ("id", "model", "role", "type", "stop_reason", "stop_sequence", "content", "usage")
 BLOCK_KEYS = ("type", "id", "tool_use_id", "name", "is_error", "text", "thinking", "content")
 USAGE_KEYS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation")
+KEY_LEVELS = (("keys", RECORD_KEYS), ("message_keys", MESSAGE_KEYS), ("usage_keys", USAGE_KEYS))
 
 
 def kind_of(v: Column) -> Column:
@@ -115,36 +116,101 @@ def block_of(b: Column) -> Column:
     )
 
 
+#: What makes a line odd, so that its values are looked at as variants: a key that holds a string (or an object, a flag, a count) elsewhere holds something
+#: else, or a content starts like JSON. It may match too much (the keys of a tool's input), never too little. Keys stand behind `{` or `,`.
+ODD = r'[{,]\s*+"(?:' + "|".join((
+    r't(?:ype|imestamp|ext|hinking|ool_use_id)"\s*+:\s*+[^"n]', r's(?:essionId|ubtype|top_reason)"\s*+:\s*+[^"n]', r'(?:uuid|id|error|model|name|requestId|agentId|apiErrorStatus)"\s*+:\s*+[^"n]',
+    r'content"\s*+:\s*+(?:[^"\[n]|"[\[{])', r'(?:message|usage|cache_creation)"\s*+:\s*+[^{n]', r'is(?:_error|ApiErrorMessage)"\s*+:\s*+[^tfn]',
+    r'(?:input|output|cache_read_input|cache_creation_input|ephemeral_5m_input|ephemeral_1h_input)_tokens"\s*+:\s*+(?!\d{1,18}\s*+[,}])',
+)) + ")"
+#: An escape that may stand for a character of a key, or half of a surrogate pair.
+ESCAPED = r"\\u(?:00[2-7]|[dD][89a-fA-F])"
+PLAIN_RECORD = "type string, uuid string, timestamp string, agentId string, sessionId string, requestId string, subtype string, isApiErrorMessage boolean, apiErrorStatus string, error string, content string, message map<string,string>"
+PLAIN_USAGE = "input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long, cache_creation struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>"
+PLAIN_BLOCKS = "array<struct<type:string,id:string,tool_use_id:string,name:string,is_error:boolean,text:string,thinking:string,content:string>>"
+
+
+def typed(v: Column, line: Column) -> Column:
+    """The typed values of a record from its variant; every value is looked at once. `object` is false where it is no object."""
+
+    def values(o: Column, m: Column) -> Column:
+        content = F.when(m.isNull(), o["content"]).otherwise(m["content"])
+        kind = text_of(o["type"])
+        parts = F.transform(F.try_variant_get(content, "$", f"array<struct<{','.join(f'{k}:variant' for k in BLOCK_KEYS)}>>"), block_of)
+        use = items_at(m["usage"], "$")
+        return F.struct(
+            o.isNotNull().alias("object"), kind.alias("type"), text_of(o["uuid"]).alias("uuid"), text_of(o["timestamp"]).alias("stamp"), F.when(m.isNull(), kind_of(F.try_variant_get(v, "$.message", "variant"))).alias("message_kind"),
+            text_of(o["agentId"]).alias("agent"), text_of(o["sessionId"]).alias("session"), text_of(o["requestId"]).alias("request"), text_of(o["subtype"]).alias("subtype"), true_of(o["isApiErrorMessage"]).alias("api_error"),
+            text_of(o["apiErrorStatus"]).alias("api_status"), text_of(o["error"]).alias("api_code"), text_of(m["id"]).alias("message_id"), text_of(m["model"]).alias("model"), text_of(m["stop_reason"]).alias("stop_reason"),
+            F.map_keys(m).alias("message_keys"), F.map_keys(use).alias("usage_keys"), F.when(kind == "assistant", usage_in(use, line)).alias("usage"), parts.alias("parts"),
+            F.coalesce(kind_of(content) == "STRING", F.lit(False)).alias("is_text"), F.when(kind.isin("system", "user"), joined_text(content)).alias("said"),
+        )
+
+    o = fields_at(v, "$", ("type", "uuid", "timestamp", "agentId", "sessionId", "requestId", "subtype", "isApiErrorMessage", "apiErrorStatus", "error", "content"))
+    return once(o, lambda o: once(items_at(v, "$.message"), lambda m: values(o, m)))
+
+
+def plainly_typed() -> Column:
+    """The same of a record that isn't odd, from what `records` read of its text: p, content, blocks and use."""
+    p, m, content, parts, use = (F.col(c) for c in ("p", "p.message", "content", "blocks", "use"))
+    is_list = content.startswith("[")
+    split = use["cache_creation"]
+    part = lambda name, without: F.when(split.isNotNull(), split[name]).otherwise(without)
+    counts = (use["input_tokens"], use["output_tokens"], use["cache_read_input_tokens"], part("ephemeral_5m_input_tokens", use["cache_creation_input_tokens"]), part("ephemeral_1h_input_tokens", F.lit(0).cast("long")))
+    usage = F.when(use.isNotNull(), F.struct(*(F.coalesce(c, F.lit(0)).cast(COUNT).alias(f) for c, f in zip(counts, USAGE_FIELDS)))).cast(USAGE)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    block = lambda b: F.struct(b["type"].alias("block_type"), b["id"].alias("id"), b["tool_use_id"].alias("tool_use_id"), b["name"].alias("name"), flag(b["is_error"]).alias("is_error"), F.coalesce(b["text"], b["thinking"]).alias("text"), F.coalesce(b["content"], F.lit("")).alias("result_text"))
+    said = F.when(is_list, F.array_join(F.transform(parts, lambda b: F.when(b["type"] == "text", b["text"])), " ")).otherwise(F.coalesce(content, F.lit("")))
+    return F.struct(
+        F.lit(True).alias("object"), p["type"].alias("type"), p["uuid"].alias("uuid"), p["timestamp"].alias("stamp"), F.lit(None).cast("string").alias("message_kind"),
+        p["agentId"].alias("agent"), p["sessionId"].alias("session"), p["requestId"].alias("request"), p["subtype"].alias("subtype"), flag(p["isApiErrorMessage"]).alias("api_error"),
+        p["apiErrorStatus"].alias("api_status"), p["error"].alias("api_code"), m["id"].alias("message_id"), m["model"].alias("model"), m["stop_reason"].alias("stop_reason"),
+        F.map_keys(m).alias("message_keys"), F.json_object_keys(m["usage"]).alias("usage_keys"), F.when(p["type"] == "assistant", usage).alias("usage"), F.transform(parts, block).alias("parts"),
+        F.coalesce(~is_list, F.lit(False)).alias("is_text"), F.when(p["type"].isin("system", "user"), said).alias("said"),
+    )
+
+
+def odd_keys(name: str, known: tuple[str, ...]) -> Column:
+    """The keys of a level that aren't modelled there: those that are ignored and those that nobody knows."""
+    return F.coalesce(F.filter(name, lambda k: ~k.isin(*(x for x in known if x not in IGNORED_KEYS))), F.array().cast("array<string>"))
+
+
+def values_of(lines: DataFrame) -> DataFrame:
+    """Lines with their typed values as `t`: plain records are read from their text by schema, odd ones through their variant.
+
+    Without a column `v`, only odd lines are parsed as variants.
+    """
+    v = F.col("v") if "v" in lines.columns else F.try_parse_json("value")
+    value = F.col("value")
+    even = F.col("plain") & value.startswith("{") & ~(value.contains("\\u") & value.rlike(ESCAPED)) & ~value.rlike(ODD)
+    rows = lines.withColumn("p", F.from_json(F.when(even, value), PLAIN_RECORD))
+    rows = rows.withColumn("content", F.when(F.col("p.message").isNull(), F.col("p.content")).otherwise(F.col("p.message")["content"]))
+    rows = rows.withColumns({"blocks": F.from_json(F.when(F.col("content").startswith("["), F.col("content")), PLAIN_BLOCKS), "use": F.from_json(F.col("p.message")["usage"], PLAIN_USAGE)})
+    # items that aren't objects with a type, and results in parts, are odd
+    whole = F.coalesce((F.size("blocks") == F.json_array_length("content")) & F.forall("blocks", lambda b: b["type"].isNotNull() & ~F.coalesce(b["content"].startswith("["), F.lit(False))), F.lit(False))
+    odd = F.coalesce(F.col("p.type").isNull() | F.col("p.uuid").isNull() | F.col("p.timestamp").isNull() | F.col("content").startswith("[") & ~whole, F.lit(False))
+    return rows.withColumn("t", F.when(odd, once(v, lambda x: typed(x, value))).otherwise(plainly_typed())).drop("v", "p", "content", "blocks", "use", "plain")
+
+
 def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Typed records of the traces without a fatal error, and all fatal errors.
 
     Every value is taken from a line once: one pass writes the typed records of all lines, their content blocks included, with the error of each, and all
     else reads that table. No variant is written. `value`, the JSON text, is kept where a block is a tool use.
     """
-    v = F.col("v")
-    o = lambda name: F.col(f"o.{name}")
-    rows = scanned["lines"].withColumns({
-        "o": fields_at(v, "$", ("type", "uuid", "timestamp", "agentId", "sessionId", "requestId", "subtype", "isApiErrorMessage", "apiErrorStatus", "error", "content")), "m": items_at(v, "$.message"),
-        "keys": F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")),
-    }).withColumns({
-        "object": F.col("o").isNotNull(), "type": text_of(o("type")), "uuid": text_of(o("uuid")), "stamp": text_of(o("timestamp")),
-        "message_kind": F.when(F.col("m").isNull(), kind_of(F.try_variant_get(v, "$.message", "variant"))),
-        "agent_id": once(text_of(o("agentId")), safe_agent_id), "session": text_of(o("sessionId")), "request": text_of(o("requestId")), "subtype": text_of(o("subtype")), "api_error": true_of(o("isApiErrorMessage")),
-        "api_status": text_of(o("apiErrorStatus")), "api_code": text_of(o("error")), "message_id": text_of(F.col("m")["id"]), "model": text_of(F.col("m")["model"]), "stop_reason": text_of(F.col("m")["stop_reason"]),
-        "use": items_at(F.col("m")["usage"], "$"), "content": F.when(F.col("m").isNull(), o("content")).otherwise(F.col("m")["content"]), "message_keys": F.map_keys("m"),
-        "n_extra": F.size(F.array_except("keys", F.array(*map(F.lit, (*RECORD_KEYS, *IGNORED_KEYS))))),
-    }).withColumns({
-        "when": parse_timestamp(F.col("stamp")), "usage": F.when(F.col("type") == "assistant", usage_in(F.col("use"), F.col("value"))), "usage_keys": F.map_keys("use"),
-        "parts": F.transform(F.try_variant_get("content", "$", f"array<struct<{','.join(f'{k}:variant' for k in BLOCK_KEYS)}>>"), block_of),
-    }).withColumn("spoken", F.coalesce(kind_of(F.col("content")) == "STRING", F.lit(False)) | F.coalesce(F.exists("parts", lambda b: F.coalesce(b["block_type"] != "tool_result", F.lit(False))), F.lit(False)))
+    rows = values_of(scanned["lines"]).withColumn("keys", F.json_object_keys("value"))
+    rows = rows.select(*(c for c in rows.columns if c != "t"), "t.*").withColumns({
+        "agent_id": safe_agent_id(F.col("agent")), "when": parse_timestamp(F.col("stamp")), "n_extra": F.coalesce(F.size(F.array_distinct(F.filter("keys", lambda k: ~k.isin(*RECORD_KEYS, *IGNORED_KEYS)))), F.lit(0)), "odd_keys": F.concat(*(odd_keys(*level) for level in KEY_LEVELS)),
+        "spoken": F.col("is_text") | F.coalesce(F.exists("parts", lambda b: F.coalesce(b["block_type"] != "tool_result", F.lit(False))), F.lit(False)),
+    })
     missing = (F.coalesce("type", F.lit("")) == "") | (F.coalesce("uuid", F.lit("")) == "") | (F.coalesce("stamp", F.lit("")) == "")
     bad_message = F.coalesce(F.col("message_kind") != "VOID", F.lit(False))
     code = F.when(missing, "missing_field").when(F.col("when").isNull(), "bad_timestamp").when(F.col("type").isin("assistant", "user") & bad_message, "bad_message")
     rows = rows.withColumns({
-        "code": F.when(F.col("object"), code), "said": F.when((F.col("type") == "system") | (F.col("type") == "user") & F.col("spoken"), joined_text(F.col("content"))),
+        "code": F.when(F.col("object"), code), "said": F.when((F.col("type") == "system") | (F.col("type") == "user") & F.col("spoken"), F.col("said")),
         "value": F.when(F.exists("parts", lambda b: b["block_type"] == "tool_use"), F.col("value")),
     })
-    rows = materialized(rows.drop("v", "o", "m", "use", "content", "stamp", "message_kind"), "records").where("object").drop("object")
+    rows = materialized(rows.drop("agent", "stamp", "message_kind", "is_text", "keys", "message_keys", "usage_keys"), "records").where("object").drop("object")
     parse = rows.select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", "code").where("code is not null")
     nth = F.row_number().over(Window.partitionBy("trace_id", "file_index", "uuid").orderBy("line"))
     again = rows.withColumn("nth", nth).where("nth > 1").select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", F.lit("duplicate_uuid").alias("code"))
@@ -221,6 +287,29 @@ def tool_results(all_blocks: DataFrame) -> DataFrame:
 def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, previews: bool = True) -> dict[str, DataFrame]:
     """spans, agents, warnings, fatal, source_files and stats of all traces. previews=False leaves free text out."""
     rows, fatal = records(scanned)
+    broken: list[DataFrame] = []
+    spans, every, calls = spanned(rows, previews, broken)
+    agents = materialized(agents_of(spans, side), "agents", agent_rules(), broken)
+    sources = scanned["source_files"].join(fatal.select("trace_id"), "trace_id", "left_anti")
+    return {"spans": public(spans), "agents": agents, "warnings": warnings_of(rows, every, calls, spans), "fatal": fatal, "source_files": sources, "stats": collapse_stats(rows), "violations": all_of(broken, spans)}
+
+
+def public(spans: DataFrame) -> DataFrame:
+    return spans.select(
+        "trace_id", "seq", "span_id", "parent_span_id", "parent_seq", "agent_id", "kind", "start", "end", "model", "usage", "stop_reason", "tool_name", "tool_use_id", "tool_input_digest",
+        "tool_result_status", "text_preview", "tool_input_preview", "tool_result_preview", "error", "extras_dropped",
+    )
+
+
+def warning_log(scanned: dict[str, DataFrame]) -> DataFrame:
+    """The log alone: no agents are written for it."""
+    rows, _ = records(scanned)
+    spans, every, calls = spanned(rows)
+    return warnings_of(rows, every, calls, spans)
+
+
+def spanned(rows: DataFrame, previews: bool = True, broken: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans, with file_index and `negative`, the blocks and the calls that they are made of. broken: takes tables of rows that break a rule."""
     shown = (lambda c, n=240: preview(c, n)) if previews else (lambda c, n=240: F.lit(""))
     every = materialized(blocks(rows), "blocks")
     calls = materialized(collapsed(grouped(rows)), "calls")
@@ -254,16 +343,7 @@ def normalized(scanned: dict[str, DataFrame], side: DataFrame | None = None, pre
     spans = spans.withColumn("span_id", digest_id(*map(F.col, ("trace_id", "agent_id", "seq", "kind"))))
     call = F.first(F.struct("seq", "span_id")).over(Window.partitionBy("trace_id", "anchor").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
     spans = spans.withColumn("parent", F.when(F.col("kind") == "tool_call", call)).withColumns({"parent_seq": F.col("parent.seq"), "parent_span_id": F.col("parent.span_id")}).drop("parent")
-    broken: list[DataFrame] = []
-    spans = materialized(spans, "spans", span_rules(), broken)
-    agents = materialized(agents_of(spans, side), "agents", agent_rules(), broken)
-    log = warnings_of(rows, every, calls, spans)
-    public = spans.select(
-        "trace_id", "seq", "span_id", "parent_span_id", "parent_seq", "agent_id", "kind", "start", "end", "model", "usage", "stop_reason", "tool_name", "tool_use_id", "tool_input_digest",
-        "tool_result_status", "text_preview", "tool_input_preview", "tool_result_preview", "error", "extras_dropped",
-    )
-    sources = scanned["source_files"].join(fatal.select("trace_id"), "trace_id", "left_anti")
-    return {"spans": public, "agents": agents, "warnings": log, "fatal": fatal, "source_files": sources, "stats": collapse_stats(rows), "violations": all_of(broken, spans)}
+    return materialized(spans, "spans", span_rules(), [] if broken is None else broken), every, calls
 
 
 def all_of(broken: list[DataFrame], like: DataFrame) -> DataFrame:
@@ -295,9 +375,7 @@ def warnings_of(rows: DataFrame, every: DataFrame, calls: DataFrame, spans: Data
         return df.select("trace_id", F.lit(code).alias("code"), (F.lit("") if detail is None else detail).alias("detail"), (F.lit(1) if n is None else n).cast("long").alias("count"))
 
     some = rows.where(F.col("type").isin("assistant", "user", "system"))
-    levels = (("keys", RECORD_KEYS), ("message_keys", MESSAGE_KEYS), ("usage_keys", USAGE_KEYS))
-    odd = lambda name, known: F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda k: ~k.isin(*(x for x in known if x not in IGNORED_KEYS)))
-    odd_keys = some.select("trace_id", F.explode(F.concat(*(odd(*level) for level in levels))).alias("key"))
+    odd_ones = some.select("trace_id", F.explode("odd_keys").alias("key"))
     ignored = F.col("key").isin(*IGNORED_KEYS)
 
     uses = every.where("block_type = 'tool_use' and id is not null").select("trace_id", F.col("id").alias("tool_use_id")).distinct()
@@ -316,6 +394,6 @@ def warnings_of(rows: DataFrame, every: DataFrame, calls: DataFrame, spans: Data
         emit(calls.where((F.col("model") == SYNTHETIC) & ~F.col("api_error")), "synthetic_model"),
         emit(rows.where("type = 'system' and subtype = 'compact_boundary'"), "compaction_boundary"),
         emit(calls.where("api_error"), "api_error_record"),
-        odd_keys.select("trace_id", F.when(ignored, "known_ignored_key").otherwise("unknown_extra_key").alias("code"), F.when(ignored, F.col("key")).otherwise("").alias("detail"), F.lit(1).cast("long").alias("count")),
+        odd_ones.select("trace_id", F.when(ignored, "known_ignored_key").otherwise("unknown_extra_key").alias("code"), F.when(ignored, F.col("key")).otherwise("").alias("detail"), F.lit(1).cast("long").alias("count")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("trace_id", "code", "detail").agg(F.sum("count").alias("count"))

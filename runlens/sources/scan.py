@@ -127,7 +127,10 @@ def numbered_lines(lines: DataFrame, index: DataFrame) -> tuple[DataFrame, DataF
 
 
 def scan(spark: SparkSession, path: str | list[str], limits: Limits = Limits(), one_trace: bool = False) -> dict[str, DataFrame]:
-    """source_files, lines (trace_id, file_index, name, line, record_index, value, v) and fatal (trace_id, phase, file_index, line, code)."""
+    """source_files, lines (trace_id, file_index, name, line, record_index, value, v, plain) and fatal (trace_id, phase, file_index, line, code).
+
+    plain: the text of `value` says what `v` does, without repeated keys.
+    """
     ship(spark)
     most = min(limits.file_bytes, ROW_MAX)
     named = materialized(listing(spark, path, most, one_trace), "files")
@@ -141,7 +144,7 @@ def scan(spark: SparkSession, path: str | list[str], limits: Limits = Limits(),
     rows = rows.drop("raw").withColumn("v", F.when(~F.col("blank") & ~F.col("deep"), F.try_parse_json("value")))
     lines, ranges = numbered_lines(materialized(rows, "lines"), index)
     whole = F.col("v").isNotNull() | F.col("long") | F.col("deep") | F.col("odd_bytes")
-    checked = lines.where(whole).unionByName(lines.where(~whole).withColumn("v", F.try_parse_json(plain_json("value"))))
+    checked = lines.where(whole).withColumn("plain", F.col("v").isNotNull()).unionByName(lines.where(~whole).withColumns({"v": F.try_parse_json(plain_json("value")), "plain": F.lit(False)}))
     kind = F.schema_of_variant("v")
     code = F.when(F.col("long"), "line_too_long").when(F.col("record_index") >= limits.records, "too_many_records").when(F.col("deep"), "json_too_deep").when(F.col("v").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "not_an_object")
     error = lambda df, phase, line, c: df.select("trace_id", F.lit(PHASES[phase]).alias("phase"), "file_index", line.alias("line"), c.alias("code")).where("code is not null")

@@ -193,3 +193,34 @@ def test_blocks_know_their_call(spark, tmp_path):
     whole = sorted((r.record_index, r.pos, r.block_type) for r in normalize.distinct_blocks(every).collect())
     parts = sorted((r.record_index, r.pos, r.block_type) for kinds in (("text", "thinking"), ("tool_use",)) for r in normalize.distinct_blocks(every, kinds).collect())
     assert whole == parts == [(1, 0, "thinking"), (2, 0, "tool_use"), (5, 0, "text"), (9, 0, "tool_use")]
+
+
+def test_plain_lines_are_read_as_odd_ones(spark):
+    """What is read by schema is what the variant says, and lines where that could differ are looked at as variants."""
+    whole = {"type": "assistant", "uuid": "u", "timestamp": "2025-01-01T00:00:00Z"}
+    block = {"type": "tool_result", "tool_use_id": "t", "content": "[x", "is_error": True}
+    messages = [
+        {"id": "m", "content": [{"type": "text", "text": '{"text":5}'}, tool("a", path="x")], "usage": usage(1, 2, 3, 4, 5), "more": 1}, {"id": 5, "content": [{"type": "text", "text": 5}]}, {"content": "[1]"}, {"content": '[{"type":"text","text":"a"}]'},
+        {"content": [5, {"type": "text", "text": "a"}, None]}, {"content": [{"text": "a"}]}, {"content": [block, block | {"content": [{"type": "text", "text": "b"}, {"type": "text", "text": 1}]}, block | {"is_error": "true"}]}, {"content": {"a": 1}},
+        {"usage": {"input_tokens": 1.0, "output_tokens": "7", "cache_read_input_tokens": 10**25, "cache_creation_input_tokens": -1}}, {"usage": {"cache_creation": {}}}, {"usage": []}, {"content": ""}, {"content": None, "usage": None}, [1], None, "x",
+    ]
+    lines = [json.dumps(whole | {"message": m, "type": t, "agentId": a}, separators=sep) for m in messages for t, a in (("assistant", "a"), ("user", 7)) for sep in ((",", ":"), (" , ", " : "))]
+    lines += [json.dumps(whole | more) for more in ({"uuid": 1}, {"content": "x", "type": "system"}, {"isApiErrorMessage": "true", "error": "e"}, {"isApiErrorMessage": True, "apiErrorStatus": 429}, {"a": {"type": 1}})]
+    lines += [lines[0].replace('"content"', '"\\u0063ontent"').replace('"text":', '"te\\u0078t":'), f"[{lines[0]}]", "5", "{}"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, value string")
+    keys = lambda df: df.select("k", F.col("t").withField("message_keys", F.array_sort("t.message_keys")).withField("usage_keys", F.array_sort("t.usage_keys")).withField("message_kind", F.nullif("t.message_kind", F.lit("VOID"))).alias("t"))
+    got, want = ({r.k: r.t for r in keys(normalize.values_of(rows.withColumn("plain", F.lit(p)))).collect()} for p in (True, False))
+    assert len(got) == len(lines) and got == want
+    first = normalize.values_of(rows.where("k = 0").withColumns({"plain": F.lit(True), "v": F.lit(None).cast("variant")})).first().t
+    assert first.usage.cache_creation_1h_tokens == 5 and first.parts[0].text == '{"text":5}'
+    repeated = rows.limit(1).select("k", F.lit(lines[0].replace('"id":"m"', '"id":"q","id":"m"')).alias("value"), F.lit(False).alias("plain"), F.parse_json(F.lit(lines[0])).alias("v"))
+    assert normalize.values_of(repeated).first().t.message_id == "m"
+
+
+def test_the_log_writes_no_agents(spark, tmp_path, monkeypatch):
+    labels = []
+    write = normalize.materialized
+    monkeypatch.setattr(normalize, "materialized", lambda df, label, *more: labels.append(label) or write(df, label, *more))
+    scanned = scan(spark, sample(tmp_path))
+    log = {tuple(r) for r in normalize.warning_log(scanned).collect()}
+    assert "agents" not in labels and log == {tuple(r) for r in normalize.normalized(scanned)["warnings"].collect()}
