@@ -127,7 +127,24 @@ ODD = r'[{,]\s*+"(?:' + "|".join((
 ESCAPED = r"\\u(?:00[2-7]|[dD][89a-fA-F])"
 PLAIN_RECORD = "type string, uuid string, timestamp string, agentId string, sessionId string, requestId string, subtype string, isApiErrorMessage boolean, apiErrorStatus string, error string, content string, message map<string,string>"
 PLAIN_USAGE = "input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long, cache_creation struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>"
-PLAIN_BLOCKS = "array<struct<type:string,id:string,tool_use_id:string,name:string,is_error:boolean,text:string,thinking:string,content:string>>"
+PLAIN_BLOCKS = "array<struct<type:string,id:string,tool_use_id:string,name:string,is_error:boolean,text:string,thinking:string,content:string,input:string>>"
+
+
+#: An input whose text is canonical JSON if its keys ascend: a flat object of plain strings, whole numbers of up to 18 digits, true, false and null.
+FLAT_ITEM = r'"[ !#-\[\]-~]*+":(?:"(?:[ !#-\[\]-~]|\\["\\nrt])*+"|0|-?[1-9]\d{0,17}|true|false|null)'
+FLAT_INPUT = rf"\A\{{(?:{FLAT_ITEM}(?:,{FLAT_ITEM})*+)?\}}\z"
+#: What a number beyond the doubles is written as when a value is copied.
+INFINITE = ('"Infinity"', '"-Infinity"')
+
+
+def canonical_input(text: Column) -> Column:
+    """An input, as a reader copied it, if that is canonical JSON (see `text.canonical`) for certain, else null."""
+    finite = reduce(lambda a, b: a & b, (~text.contains(x) for x in INFINITE))
+
+    def ascending(keys: Column) -> Column:
+        return (F.size(keys) < 2) | (keys == F.array_sort(F.array_distinct(keys)))
+
+    return F.when(text.rlike(FLAT_INPUT) & finite & (~text.contains(",") | once(F.json_object_keys(text), ascending)), text)
 
 
 def typed(v: Column, line: Column) -> Column:
@@ -150,8 +167,8 @@ def typed(v: Column, line: Column) -> Column:
     return once(o, lambda o: once(items_at(v, "$.message"), lambda m: values(o, m)))
 
 
-def plainly_typed() -> Column:
-    """The same of a record that isn't odd, from what `records` read of its text: p, content, blocks and use."""
+def plainly_typed() -> list[Column]:
+    """The same of a record that isn't odd, each value by itself, from what `values_of` read of its text: p, content, blocks and use."""
     p, m, content, parts, use = (F.col(c) for c in ("p", "p.message", "content", "blocks", "use"))
     is_list = content.startswith("[")
     split = use["cache_creation"]
@@ -161,13 +178,13 @@ def plainly_typed() -> Column:
     flag = lambda c: F.coalesce(c, F.lit(False))
     block = lambda b: F.struct(b["type"].alias("block_type"), b["id"].alias("id"), b["tool_use_id"].alias("tool_use_id"), b["name"].alias("name"), flag(b["is_error"]).alias("is_error"), F.coalesce(b["text"], b["thinking"]).alias("text"), F.coalesce(b["content"], F.lit("")).alias("result_text"))
     said = F.when(is_list, F.array_join(F.transform(parts, lambda b: F.when(b["type"] == "text", b["text"])), " ")).otherwise(F.coalesce(content, F.lit("")))
-    return F.struct(
+    return [
         F.lit(True).alias("object"), p["type"].alias("type"), p["uuid"].alias("uuid"), p["timestamp"].alias("stamp"), F.lit(None).cast("string").alias("message_kind"),
         p["agentId"].alias("agent"), p["sessionId"].alias("session"), p["requestId"].alias("request"), p["subtype"].alias("subtype"), flag(p["isApiErrorMessage"]).alias("api_error"),
         p["apiErrorStatus"].alias("api_status"), p["error"].alias("api_code"), m["id"].alias("message_id"), m["model"].alias("model"), m["stop_reason"].alias("stop_reason"),
         F.map_keys(m).alias("message_keys"), F.json_object_keys(m["usage"]).alias("usage_keys"), F.when(p["type"] == "assistant", usage).alias("usage"), F.transform(parts, block).alias("parts"),
         F.coalesce(~is_list, F.lit(False)).alias("is_text"), F.when(p["type"].isin("system", "user"), said).alias("said"),
-    )
+    ]
 
 
 def odd_keys(name: str, known: tuple[str, ...]) -> Column:
@@ -176,9 +193,18 @@ def odd_keys(name: str, known: tuple[str, ...]) -> Column:
 
 
 def values_of(lines: DataFrame) -> DataFrame:
-    """Lines with their typed values as `t`: plain records are read from their text by schema, odd ones through their variant.
+    """Lines with their typed values as one struct `t`."""
+    rows = valued(lines)
+    kept = [c for c in lines.columns if c not in ("v", "plain")]
+    return rows.select(*kept, F.struct(*(c for c in rows.columns if c not in (*kept, "inputs"))).alias("t"))
+
 
-    Without a column `v`, only odd lines are parsed as variants.
+def valued(lines: DataFrame) -> DataFrame:
+    """Lines with their typed values: plain records are read from their text by schema, odd ones through their variant.
+
+    inputs: for each block of a plain record its input, if it is a tool use whose input is canonical as it stands; else null.
+
+    Without a column `v`, only odd lines are parsed as variants. Each value is a column of its own, so that those that nobody uses aren't taken.
     """
     v = F.col("v") if "v" in lines.columns else F.try_parse_json("value")
     value = F.col("value")
@@ -189,17 +215,27 @@ def values_of(lines: DataFrame) -> DataFrame:
     # items that aren't objects with a type, and results in parts, are odd
     whole = F.coalesce((F.size("blocks") == F.json_array_length("content")) & F.forall("blocks", lambda b: b["type"].isNotNull() & ~F.coalesce(b["content"].startswith("["), F.lit(False))), F.lit(False))
     odd = F.coalesce(F.col("p.type").isNull() | F.col("p.uuid").isNull() | F.col("p.timestamp").isNull() | F.col("content").startswith("[") & ~whole, F.lit(False))
-    return rows.withColumn("t", F.when(odd, once(v, lambda x: typed(x, value))).otherwise(plainly_typed())).drop("v", "p", "content", "blocks", "use", "plain")
+    rows = rows.withColumns({"odd": odd, "t": F.when(odd, once(v, lambda x: typed(x, value)))})
+    plain = dict(zip(rows.schema["t"].dataType.names, plainly_typed()))
+    certain = F.when(~F.col("odd"), F.transform("blocks", lambda b: F.when(b["type"] == "tool_use", canonical_input(b["input"]))))
+    values = {name: F.when(F.col("odd"), F.col(f"t.{name}")).otherwise(c) for name, c in plain.items()}
+    return rows.withColumns(values | {"inputs": F.coalesce(certain, F.array().cast("array<string>"))}).drop("v", "p", "content", "blocks", "use", "plain", "odd", "t")
+
 
+#: Columns of records that every query of spans needs: places, keys of calls and blocks.
+PLACES = ("trace_id", "file_index", "line", "record_index", "value", "type", "agent_id", "when", "session", "request", "message_id", "parts", "inputs", "spoken")
 
-def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+
+def records(scanned: dict[str, DataFrame], only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed records of the traces without a fatal error, and all fatal errors.
 
     Every value is taken from a line once: one pass writes the typed records of all lines, their content blocks included, with the error of each, and all
-    else reads that table. No variant is written. `value`, the JSON text, is kept where a block is a tool use.
+    else reads that table. No variant is written. `value`, the JSON text, is kept where the input of a tool use isn't known to be canonical.
+
+    only: columns that are taken from the lines and written, for a caller that uses no others; the others are null. All lines are checked in any case.
     """
-    rows = values_of(scanned["lines"]).withColumn("keys", F.json_object_keys("value"))
-    rows = rows.select(*(c for c in rows.columns if c != "t"), "t.*").withColumns({
+    rows = valued(scanned["lines"]).withColumn("keys", F.json_object_keys("value"))
+    rows = rows.withColumns({
         "agent_id": safe_agent_id(F.col("agent")), "when": parse_timestamp(F.col("stamp")), "n_extra": F.coalesce(F.size(F.array_distinct(F.filter("keys", lambda k: ~k.isin(*RECORD_KEYS, *IGNORED_KEYS)))), F.lit(0)), "odd_keys": F.concat(*(odd_keys(*level) for level in KEY_LEVELS)),
         "spoken": F.col("is_text") | F.coalesce(F.exists("parts", lambda b: F.coalesce(b["block_type"] != "tool_result", F.lit(False))), F.lit(False)),
     })
@@ -208,12 +244,20 @@ def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     code = F.when(missing, "missing_field").when(F.col("when").isNull(), "bad_timestamp").when(F.col("type").isin("assistant", "user") & bad_message, "bad_message")
     rows = rows.withColumns({
         "code": F.when(F.col("object"), code), "said": F.when((F.col("type") == "system") | (F.col("type") == "user") & F.col("spoken"), F.col("said")),
-        "value": F.when(F.exists("parts", lambda b: b["block_type"] == "tool_use"), F.col("value")),
+        "value": F.when(F.size(F.filter("parts", lambda b: b["block_type"] == "tool_use")) > F.size(F.filter("inputs", lambda x: x.isNotNull())), F.col("value")),
     })
-    rows = materialized(rows.drop("agent", "stamp", "message_kind", "is_text", "keys", "message_keys", "usage_keys"), "records").where("object").drop("object")
+    rows = rows.drop("agent", "stamp", "message_kind", "is_text", "keys", "message_keys", "usage_keys")
+    whole = rows.schema
+    if only is not None:
+        rows = rows.select("object", "code", "uuid", *only)
+    rows = materialized(rows, "records").where("object").drop("object")
+    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in whole if f.name not in rows.columns and f.name != "object"})
     parse = rows.select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", "code").where("code is not null")
+    # rows that share a hash are few; only they are sorted
+    hashed = rows.withColumn("hash", F.xxhash64("trace_id", "file_index", "uuid"))
+    shared = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     nth = F.row_number().over(Window.partitionBy("trace_id", "file_index", "uuid").orderBy("line"))
-    again = rows.withColumn("nth", nth).where("nth > 1").select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", F.lit("duplicate_uuid").alias("code"))
+    again = hashed.join(shared, "hash", "left_semi").withColumn("nth", nth).where("nth > 1").select("trace_id", F.lit(PHASES["parse"]).alias("phase"), "file_index", "line", F.lit("duplicate_uuid").alias("code"))
     fatal = scanned["fatal"].unionByName(parse).unionByName(again)
     # the error that a reader of one file after another would meet first
     fatal = fatal.groupBy("trace_id").agg(F.min(F.struct("phase", "file_index", "line", "code")).alias("e")).select("trace_id", "e.*")
@@ -222,12 +266,13 @@ def records(scanned: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Content blocks: one row each, with the digest input of tool calls. Only records with a tool use go through Python."""
-    calls = rows.where("value is not null").withColumn("inputs", tool_inputs("value"))
-    some = calls.unionByName(rows.where("value is null").withColumn("inputs", F.lit(None).cast("array<string>")))
+    """Content blocks: one row each, with the digest input of tool calls. Only records with an input that isn't known to be canonical go through Python."""
+    calls = rows.where("value is not null").withColumn("read", tool_inputs("value"))
+    some = calls.unionByName(rows.where("value is null").withColumn("read", F.lit(None).cast("array<string>")))
     key = F.when(F.col("type") == "assistant", key_of()).alias("key")
-    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), key, "inputs", F.posexplode("parts").alias("pos", "b"))
-    return out.select("trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "key", "pos", "b.*", F.get("inputs", F.col("pos")).alias("input"))
+    out = some.select("trace_id", "file_index", "record_index", "agent_id", "when", F.col("type").alias("record_type"), key, "inputs", "read", F.posexplode("parts").alias("pos", "b"))
+    input_ = F.coalesce(F.get("inputs", F.col("pos")), F.get("read", F.col("pos")))
+    return out.select("trace_id", "file_index", "record_index", "agent_id", "when", "record_type", "key", "pos", "b.*", input_.alias("input"))
 
 
 def key_of() -> Column:
@@ -244,8 +289,8 @@ def grouped(rows: DataFrame) -> DataFrame:
 def collapsed(rows: DataFrame) -> DataFrame:
     """One row a model call: what it was at the first fragment, and what the last fragment says of it, wholesale."""
     last = F.max_by(F.struct("when", "model", "usage", "stop_reason", "api_error", "api_code", "api_status"), "record_index")
-    out = rows.groupBy("trace_id", "key").agg(
-        F.min("record_index").alias("anchor"), F.min_by("when", "record_index").alias("start"), F.min_by("agent_id", "record_index").alias("agent_id"), F.min_by("file_index", "record_index").alias("file_index"),
+    out = rows.groupBy("trace_id", "key", "agent_id").agg(  # the key has the agent in it, or is one record's
+        F.min("record_index").alias("anchor"), F.min_by("when", "record_index").alias("start"), F.min_by("file_index", "record_index").alias("file_index"),
         last.alias("last"), F.sum("n_extra").cast("int").alias("extras_dropped"), F.count("*").alias("fragments"),
     )
     api = F.col("last.api_error")
@@ -308,6 +353,41 @@ def warning_log(scanned: dict[str, DataFrame]) -> DataFrame:
     return warnings_of(rows, every, calls, spans)
 
 
+def outlined(rows: DataFrame) -> DataFrame:
+    """Spans without free text, models, usage and times, from records of which only PLACES need be taken."""
+    every = blocks(rows).where(F.col("block_type").isin("tool_use", "tool_result")).drop("text", "result_text")
+    none = F.lit(None).cast("string")
+    every = materialized(every, "blocks").withColumns({"text": none, "result_text": none})
+    calls = materialized(collapsed(grouped(rows)).select("trace_id", "key", "anchor", "agent_id"), "calls")
+    own = ["trace_id", "anchor", F.lit(0).alias("sub"), "agent_id"]
+    bare = lambda df, kind: df.select(*own, F.lit(kind).alias("kind"), none.alias("tool_result_status"), none.alias("tool_input_digest"))
+    alone = rows.withColumn("anchor", F.col("record_index"))
+    uses = tool_uses(every).join(calls, ["trace_id", "key"]).join(tool_results(every), ["trace_id", "tool_use_id"], "left")
+    tools = uses.select("trace_id", "anchor", "sub", "agent_id", F.lit("tool_call").alias("kind"), result_status().alias("tool_result_status"), short_sha(F.col("input")).alias("tool_input_digest"))
+    parts = [bare(calls, "model_call"), tools, bare(alone.where((F.col("type") == "user") & F.col("spoken")), "user_message"), bare(alone.where("type = 'system'"), "system_event")]
+    return placed(reduce(DataFrame.unionByName, parts))
+
+
+def tool_uses(every: DataFrame) -> DataFrame:
+    """Tool uses of each call without repeats, `sub` being their place in it, from 1."""
+    order = F.row_number().over(Window.partitionBy("trace_id", "key").orderBy("record_index", "pos"))
+    # dealt by call once, for both windows and the join with the calls
+    own = every.where("block_type = 'tool_use'").repartition("trace_id", "key")
+    return distinct_blocks(own, ("tool_use",)).withColumn("sub", order).select("trace_id", "key", "sub", F.col("id").alias("tool_use_id"), "name", "input")
+
+
+def result_status() -> Column:
+    return F.when(F.col("result_when").isNull(), "missing").when(F.col("is_error"), "error").otherwise("ok")
+
+
+def placed(pending: DataFrame) -> DataFrame:
+    """Adds seq, span_id, parent_seq and parent_span_id. An anchor is one call's, and its tool calls follow it with sub 1, 2, 3 and so on."""
+    # written before it is dealt in ranges, as their bounds are sampled in a run of their own
+    spans = numbered(materialized(pending, "unnumbered"), ("trace_id",), ("anchor", "sub", "kind"), "seq", "pending")
+    spans = spans.withColumns({"span_id": digest_id(*map(F.col, ("trace_id", "agent_id", "seq", "kind"))), "parent_seq": F.when(F.col("kind") == "tool_call", F.col("seq") - F.col("sub"))})
+    return spans.withColumn("parent_span_id", F.when(F.col("kind") == "tool_call", digest_id(F.col("trace_id"), F.col("agent_id"), F.col("parent_seq"), F.lit("model_call"))))
+
+
 def spanned(rows: DataFrame, previews: bool = True, broken: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans, with file_index and `negative`, the blocks and the calls that they are made of. broken: takes tables of rows that break a rule."""
     shown = (lambda c, n=240: preview(c, n)) if previews else (lambda c, n=240: F.lit(""))
@@ -325,13 +405,11 @@ def spanned(rows: DataFrame, previews: bool = True, broken: list[DataFrame] | No
         none("string").alias("tool_use_id"), none("string").alias("tool_input_digest"), none("string").alias("tool_result_status"), shown(text).alias("text_preview"), F.lit("").alias("tool_input_preview"),
         F.lit("").alias("tool_result_preview"), F.col("error").cast(error).alias("error"), "extras_dropped", F.col("negative"),
     )
-    order = F.row_number().over(Window.partitionBy("trace_id", "key").orderBy("record_index", "pos"))
-    uses = distinct_blocks(every, ("tool_use",)).withColumn("sub", order).select("trace_id", "key", "sub", F.col("id").alias("tool_use_id"), "name", "input")
-    uses = uses.join(calls.select("trace_id", "key", "anchor", "agent_id", "file_index", F.col("end").alias("start")), ["trace_id", "key"]).join(results, ["trace_id", "tool_use_id"], "left")
+    uses = tool_uses(every).join(calls.select("trace_id", "key", "anchor", "agent_id", "file_index", F.col("end").alias("start")), ["trace_id", "key"]).join(results, ["trace_id", "tool_use_id"], "left")
     tools = uses.select(
         "trace_id", "anchor", "sub", "agent_id", "file_index", F.lit("tool_call").alias("kind"), "start", F.when(F.col("result_when").isNotNull(), F.greatest("start", "result_when")).alias("end"), none("string").alias("model"),
         none(USAGE).alias("usage"), none("string").alias("stop_reason"), F.col("name").alias("tool_name"), "tool_use_id", short_sha(F.col("input")).alias("tool_input_digest"),
-        F.when(F.col("result_when").isNull(), "missing").when(F.col("is_error"), "error").otherwise("ok").alias("tool_result_status"), F.lit("").alias("text_preview"), shown(F.col("input")).alias("tool_input_preview"),
+        result_status().alias("tool_result_status"), F.lit("").alias("text_preview"), shown(F.col("input")).alias("tool_input_preview"),
         shown(F.col("result_text")).alias("tool_result_preview"), none(error).alias("error"), F.lit(0).alias("extras_dropped"), F.coalesce(F.col("result_when") < F.col("start"), F.lit(False)).alias("negative"),
     )
     blank = lambda kind, err: ["trace_id", F.col("record_index").alias("anchor"), F.lit(0).alias("sub"), "agent_id", "file_index", F.lit(kind).alias("kind"), F.col("when").alias("start"), F.col("when").alias("end"), none("string").alias("model"), none(USAGE).alias("usage"), none("string").alias("stop_reason"), none("string").alias("tool_name"), none("string").alias("tool_use_id"), none("string").alias("tool_input_digest"), none("string").alias("tool_result_status"), shown(F.col("said")).alias("text_preview"), F.lit("").alias("tool_input_preview"), F.lit("").alias("tool_result_preview"), err.alias("error"), F.col("n_extra").alias("extras_dropped"), F.lit(False).alias("negative")]
@@ -339,11 +417,8 @@ def spanned(rows: DataFrame, previews: bool = True, broken: list[DataFrame] | No
     boundary = F.coalesce(F.col("subtype") == "compact_boundary", F.lit(False))
     system = rows.where("type = 'system'").select(*blank("system_event", F.when(boundary, F.struct(F.lit("compact_boundary").alias("code"), F.lit("").alias("detail"))).cast(error)))
     pending = reduce(DataFrame.unionByName, [model, tools, users, system])
-    spans = numbered(pending, ("trace_id",), ("anchor", "sub", "kind"), "seq", "pending")
-    spans = spans.withColumn("span_id", digest_id(*map(F.col, ("trace_id", "agent_id", "seq", "kind"))))
-    call = F.first(F.struct("seq", "span_id")).over(Window.partitionBy("trace_id", "anchor").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
-    spans = spans.withColumn("parent", F.when(F.col("kind") == "tool_call", call)).withColumns({"parent_seq": F.col("parent.seq"), "parent_span_id": F.col("parent.span_id")}).drop("parent")
-    return materialized(spans, "spans", span_rules(), [] if broken is None else broken), every, calls
+    rules = None if broken is None else span_rules()
+    return materialized(placed(pending), "spans", rules, broken), every, calls
 
 
 def all_of(broken: list[DataFrame], like: DataFrame) -> DataFrame:

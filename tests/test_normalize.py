@@ -3,8 +3,10 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from runlens.functions.text import canonical
 from runlens.operators import normalize
 from runlens.plans import analyze, report
+from runlens.queries import lines_of
 from runlens.schema import violations
 from runlens.sources.limits import Limits
 from runlens.sources.scan import scan
@@ -224,3 +226,33 @@ def test_the_log_writes_no_agents(spark, tmp_path, monkeypatch):
     scanned = scan(spark, sample(tmp_path))
     log = {tuple(r) for r in normalize.warning_log(scanned).collect()}
     assert "agents" not in labels and log == {tuple(r) for r in normalize.normalized(scanned)["warnings"].collect()}
+
+
+def test_plain_inputs_are_canonical_as_they_are(spark):
+    """Inputs that are canonical as they stand need no Python, and all others give what Python says."""
+    sure = ["{}", '{"a":"x"}', '{"a": 1, "ab" : true, "b":null}', '{"a,b":"x, \\"y\\" \\\\ \\n"}', '{"a":-12}', '{"a":"\\/"}']
+    other = [
+        '{"b":1,"a":2}', '{"a":1.0}', '{"a":-0}', '{"a":1e400}', '{"a":-1e400,"b":1}', '{"a":"Infinity"}', '{"a":"\u00e9"}', '{"a":"\\u00e9"}', '{"a":"\x7f"}', '{"a":"\\u001f"}', '{"a":{"b":1}}', '{"a":[1]}', "null", '"x"', "[1]", "5",
+        '{"a":12345678901234567890}', '{"a":1E2}', '{"\\u0061":1}', '{"a":"\\ud83d\\ude00"}', '{"a":"\u2028"}', '{"type":5}',
+    ]
+    line = '{"type":"assistant","uuid":"u%d","timestamp":"2025-01-01T00:00:00Z","message":{"id":"m","content":[{"type":"text","text":"a"},{"type":"tool_use","id":"t%d","name":"n","input":%s}]}}'
+    rows = spark.createDataFrame([("t", k + 1, line % (k, k, x)) for k, x in enumerate(sure + other)], "trace_id string, line int, value string")
+    records, _ = normalize.records(lines_of(rows))
+    got = {r.record_index: r.input for r in normalize.blocks(records).where("block_type = 'tool_use'").collect()}
+    assert got == {k: canonical(json.loads(x)) for k, x in enumerate(sure + other)}
+    assert {r.record_index for r in records.where("value is null").collect()} >= set(range(len(sure)))
+
+
+def test_outlined_spans_are_those_of_the_whole(spark, tmp_path, monkeypatch):
+    """They need the places of records alone, and name the same spans, parents and digests."""
+    written = {}
+    write = normalize.materialized
+    monkeypatch.setattr(normalize, "materialized", lambda df, label, *more: written.update({label: df.columns}) or write(df, label, *more))
+    scanned = scan(spark, sample(tmp_path))
+    named = ("trace_id", "seq", "span_id", "parent_seq", "parent_span_id", "agent_id", "kind", "tool_result_status", "tool_input_digest")
+    got = sorted(map(tuple, normalize.outlined(normalize.records(scanned, normalize.PLACES)[0]).select(*named).collect()))
+    assert set(written["records"]) == {"object", "code", "uuid", *normalize.PLACES} and "text" not in written["blocks"]
+    spans = normalize.normalized(scanned)["spans"].select(*named).collect()
+    ids = {(s.trace_id, s.seq): s.span_id for s in spans}
+    assert len(spans) == 7 and got == sorted(map(tuple, spans))
+    assert all(s.parent_span_id == ids.get((s.trace_id, s.parent_seq)) for s in spans)
