@@ -30,8 +30,10 @@ from runlens.llm.common import checkpointed, ship, slices
 from runlens.llm.words import Words, fold_table
 
 LETTERS = fold_table(digits=False)
-#: Bytes of text that a task holds at once (or one text).
-SLICE_BYTES = 16 << 20
+#: Bytes of text whose words a task holds at once (or one text); they take many times as much memory.
+SLICE_BYTES = 2 << 20
+#: Bytes of counts of several slices that a task adds up before it sends them.
+HELD_BYTES = 16 << 20
 #: Cells of the sketch that are shipped and added up together.
 CHUNK = 1 << 16
 #: p is in parts of a thousand million; each kept term has five occurrences more than were counted.
@@ -131,11 +133,34 @@ def sketch(docs: DataFrame, least: int, bits: int, depth: int) -> list[np.ndarra
     return out
 
 
+def added_up(counts: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same sums in fewer rows, as the slices of a task share terms; about 1.5 times `limit` bytes of counts are held, and as much while they are added up."""
+    held, size, least = [], 0, limit
+
+    def total() -> pa.Table:
+        by = ["lang", "source", "term"]
+        return pa.Table.from_batches(held).group_by(by, use_threads=False).aggregate([("n", "sum"), ("df", "sum")]).select([*by, "n_sum", "df_sum"]).rename_columns([*by, "n", "df"])
+
+    for b in counts:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            rows = total()
+            held, size = rows.to_batches(), rows.nbytes
+            if size > limit // 2:
+                yield from rows.to_batches(max_chunksize=20_000)
+                held, size = [], 0
+            least = size + limit
+            del rows
+    if held:
+        yield from total().to_batches(max_chunksize=20_000)
+
+
 def counted(docs: DataFrame, full: list[np.ndarray], bits: int) -> DataFrame:
     """lang, source, term, n (occurrences), df (documents) for all terms that the sketch can't rule out."""
     sent = docs.sparkSession.sparkContext.broadcast(full)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sent.value
         for b in slices(batches, "text", SLICE_BYTES):
             s = Slice(b)
@@ -151,12 +176,13 @@ def counted(docs: DataFrame, full: list[np.ndarray], bits: int) -> DataFrame:
             keys, n = np.unique(s.group[s.row[take]] * s.n + s.word[take], return_counts=True)
             _, df = np.unique(s.group[s.doc_row[once]] * s.n + s.doc_word[once], return_counts=True)
             group, word = keys // s.n, keys % s.n
-            for a in range(0, len(keys), 100_000):
-                z = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [s.langs.take(pa.array(group[z] // len(s.sources))), s.sources.take(pa.array(group[z] % len(s.sources))), s.terms.take(pa.array(word[z])).cast(pa.binary()).cast(pa.string()), pa.array(n[z]), pa.array(df[z])],
-                    names=["lang", "source", "term", "n", "df"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [s.langs.take(pa.array(group // len(s.sources))), s.sources.take(pa.array(group % len(s.sources))), s.terms.take(pa.array(word)).cast(pa.binary()).cast(pa.string()), pa.array(n), pa.array(df)],
+                names=["lang", "source", "term", "n", "df"],
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(by_slice(batches), HELD_BYTES)
 
     rows = _texts(docs).mapInArrow(count, "lang string, source string, term string, n long, df long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))

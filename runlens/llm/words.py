@@ -30,10 +30,18 @@ class Words:
         first[1:] &= ~solid[:-1]
         heads = ends[:-1][ends[:-1] < len(raw)]
         first[heads] = solid[heads]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:]
+        heads = heads[heads > 0] - 1
+        last[heads] = solid[heads]
         starts = np.flatnonzero(first)
-        offsets = np.append(np.cumsum(solid)[starts] - 1, solid.sum()).astype(np.int64)
-        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+        joined = raw[solid]
+        del raw, solid, first, last
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
         coded = every.dictionary_encode()
+        del every, offsets, joined
         self.n_rows = len(texts)
         self.words = coded.dictionary
         self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,11 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runlens.llm import divergence
+from runlens.llm.common import slices
+from runlens.llm.words import Words
 from tests.llm.conftest import SCHEMA, prose
 
 
@@ -89,3 +93,43 @@ def test_capped_cells():
     divergence.add_capped(cells, np.array([1, 1, 3, 1]), np.array([10, 15, 29, 10]), 30)
     divergence.add_capped(cells, np.array([3, 3]), np.array([200, 200]), 30)
     assert cells.tolist() == [0, 30, 0, 30, 0, 0, 0, 0]
+
+
+def test_words_at_the_edges_of_texts():
+    texts = ["", "ab", "cd", None, " x", "y ", "", " ", "Zö-ö1q", "e", "f", "", None]
+    w = Words(pa.array(["hidden", *texts], pa.string()).slice(1), divergence.LETTERS)
+    have = [(row, w.words[k].as_py().decode()) for row, k in zip(w.row.tolist(), w.word.tolist())]
+    assert have == [(k, x) for k, t in enumerate(texts) for x in re.findall("[a-zö]+", (t or "").lower())]
+    assert Words(pa.array(["", None], pa.string()), divergence.LETTERS).word.tolist() == []
+
+
+def test_memory_of_a_batch_of_texts():
+    """A worker's arrays follow the slice, not the batch that Spark sends: two workers share an executor with its heap."""
+    rnd = random.Random(3)
+    texts = [prose(rnd, 60) for _ in range(200)]
+    texts = texts * ((24 << 20) // sum(map(len, texts)))
+    b = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * len(texts), "source": ["a"] * len(texts)})
+    tracemalloc.start()
+    try:
+        n = sum(len(divergence.Slice(s).word) for s in slices([b], "text", divergence.SLICE_BYTES))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(re.findall("[A-Za-z]+", t)) for t in texts)
+
+
+def test_counts_added_up_in_parts():
+    rnd, want, batches = random.Random(4), Counter(), []
+    for _ in range(40):
+        rows = [("en", rnd.choice("ab"), rnd.choice(["x", "y", "ö", f"w{rnd.randrange(400)}"]), rnd.randint(1, 9), 1) for _ in range(100)]
+        for lang, source, term, n, df in rows:
+            want.update({(lang, source, term, "n"): n, (lang, source, term, "df"): df})
+        batches.append(pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "term", "n", "df"), r)) for r in rows]))
+    for limit in (1, 9_000, 1 << 20):
+        out, have = list(divergence.added_up(iter(batches), limit)), Counter()
+        for r in (r for b in out for r in b.to_pylist()):
+            have.update({(r["lang"], r["source"], r["term"], "n"): r["n"], (r["lang"], r["source"], r["term"], "df"): r["df"]})
+        assert have == want
+        assert out[0].schema.names == ["lang", "source", "term", "n", "df"]
+    assert sum(b.num_rows for b in out) == len(want) // 2
+    assert list(divergence.added_up(iter([]), 1)) == []
